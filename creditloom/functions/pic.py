@@ -80,12 +80,14 @@ def band(x: Column, steps: list[tuple[int, object]], other: object, op: str = ">
 
 
 def clamp(x: Column, low: int | None = None, high: int | None = None) -> Column:
-    """Bound x; a missing bound is open."""
+    """Bound x; a missing bound is open, NULL stays NULL."""
+    out = None
     if low is not None:
-        x = F.greatest(x, F.lit(low).cast("bigint"))
+        out = F.when(x < low, F.lit(low).cast("bigint"))
     if high is not None:
-        x = F.least(x, F.lit(high).cast("bigint"))
-    return x
+        top = F.lit(high).cast("bigint")
+        out = F.when(x > high, top) if out is None else out.when(x > high, top)
+    return x if out is None else out.otherwise(x)
 
 
 def implied_decimal(text: Column) -> Column:

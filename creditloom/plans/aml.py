@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.pic import LITERAL, check_mode
+from creditloom.functions.pic import LITERAL, check_mode, clamp
 from creditloom.functions.text import inspect_tally, normalize_name
 
 # Points, thresholds in cents, texts.
@@ -66,46 +66,52 @@ def _map(col: Column, table: dict, other) -> Column:
     return out.otherwise(other)
 
 
-def aml_score(amount: Column, nationality: Column) -> Column:
-    """Points from hit columns, amount and nationality, capped."""
-    name_points = F.when(
-        F.col("name_hit"), _map(F.col("hit_list"), {k: PEP_POINTS if k == "PEP" else LIST_POINTS for k in LIST_LABELS}, 0)
-    ).otherwise(0)
+def person_risk(hits: DataFrame, nationality: str = "nationality") -> DataFrame:
+    """What the amount does not change: points of the person, listed country, text of the hit."""
+    points = {k: PEP_POINTS if k == "PEP" else LIST_POINTS for k in LIST_LABELS}
+    name_points = F.when(F.col("name_hit"), _map(F.col("hit_list"), points, 0)).otherwise(0)
     cin_points = F.when(F.col("cin_hit"), CIN_POINTS).otherwise(0)
-    amount_points = (
-        F.when(amount > VERY_LARGE_CENTS, VERY_LARGE_POINTS).when(amount > LARGE_CENTS, LARGE_POINTS).otherwise(0)
-    )
     nat = F.rpad(nationality, 3, " ")
     tally = inspect_tally(F.lit(RISK_COUNTRIES.ljust(60)), nat)
-    base = name_points + cin_points + amount_points + tally
-    listed = nat.isin(*RISK_COUNTRIES.split())
-    return F.least(base + F.when((base > 0) & listed, COUNTRY_POINTS).otherwise(0), F.lit(SCORE_CAP)).cast("bigint")
-
-
-def aml_outcome(score: Column) -> tuple[Column, Column]:
-    """(clear flag Y/C/N, reason) from the score and the hit columns."""
-    hit = F.col("name_hit") | F.col("cin_hit")
     label = F.rpad(_map(F.col("hit_list"), LIST_LABELS, ""), 20, " ")
     found = F.when(
         F.col("name_hit"),
         F.concat(F.lit("HIT "), label, F.lit(" SEVERITY "), F.col("hit_severity").cast("string")),
     ).when(F.col("cin_hit"), REASON_CIN)
-    clear = (
-        F.when(hit & (score > HIT_REJECT_ABOVE), "N").when(score >= REJECT_FROM, "N").when(score >= REVIEW_FROM, "C")
-        .otherwise("Y")
+    return hits.withColumns(
+        {
+            "person_points": (name_points + cin_points + tally).cast("bigint"),
+            "listed_country": nat.isin(*RISK_COUNTRIES.split()),
+            "hit_reason": found,
+        }
+    ).drop("name_hit", "cin_hit", "hit_list", "hit_severity")
+
+
+def aml_score(amount: Column) -> Column:
+    """Points of the person and the amount, capped."""
+    amount_points = (
+        F.when(amount > VERY_LARGE_CENTS, VERY_LARGE_POINTS).when(amount > LARGE_CENTS, LARGE_POINTS).otherwise(0)
     )
+    base = F.col("person_points") + amount_points
+    country = F.when(F.col("listed_country") & (base > 0), COUNTRY_POINTS).otherwise(0)
+    return clamp((base + country).cast("bigint"), None, SCORE_CAP)
+
+
+def aml_outcome(score: Column) -> tuple[Column, Column]:
+    """(clear flag Y/C/N, reason) from the score and the hit text."""
+    found = F.col("hit_reason")
+    sure = found.isNotNull() & (score > HIT_REJECT_ABOVE)
+    clear = F.when(sure | (score >= REJECT_FROM), "N").when(score >= REVIEW_FROM, "C").otherwise("Y")
     reason = (
-        F.when(hit & (score > HIT_REJECT_ABOVE), found)
-        .when(score >= REJECT_FROM, F.coalesce(found, F.lit(REASON_HIGH)))
-        .when(score >= REVIEW_FROM, F.coalesce(found, F.lit(REASON_REVIEW)))
-        .otherwise(REASON_CLEAR)
+        F.when(sure, found).when(score >= REJECT_FROM, F.coalesce(found, F.lit(REASON_HIGH)))
+        .when(score >= REVIEW_FROM, F.coalesce(found, F.lit(REASON_REVIEW))).otherwise(REASON_CLEAR)
     )
     return clear, reason
 
 
 def aml_screen(requests: DataFrame, sanctions: DataFrame) -> DataFrame:
     """Screen requests(name, cin, nationality, amount_cents): adds aml_clear, aml_score, aml_reason."""
-    hits = sanction_hits(requests, sanctions)
-    scored = hits.withColumn("aml_score", aml_score(F.col("amount_cents"), F.col("nationality")))
+    hits = person_risk(sanction_hits(requests, sanctions))
+    scored = hits.withColumn("aml_score", aml_score(F.col("amount_cents")))
     clear, reason = aml_outcome(F.col("aml_score"))
     return scored.select(*requests.columns, clear.alias("aml_clear"), "aml_score", reason.alias("aml_reason"))

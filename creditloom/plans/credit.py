@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from creditloom.functions import conditions as cond
 from creditloom.functions.pic import CLEAN, LITERAL, band, check_mode, clamp, idiv, percent_of, ratio, store, years_between_yyyymmdd
 from creditloom.operators.ordered import fill_forward, number_by_id
-from creditloom.plans.aml import aml_outcome, aml_score, loan_name_key, sanction_hits
+from creditloom.plans.aml import aml_outcome, aml_score, loan_name_key, person_risk, sanction_hits
 
 # Scoring thresholds (ratios at scale 4), weights in percent.
 INCOME_BANDS = [(30000, 1000), (25000, 850), (20000, 700), (15000, 500), (12000, 300)]
@@ -39,13 +39,15 @@ TAX_RATE_E2 = 1900
 STAMP_CENTS = 500
 
 
-def score_income(income: Column, payment: Column) -> tuple[Column, Column, Column]:
-    """(ratio at scale 4, points, reason)."""
-    none = (income == 0) | (payment == 0)
-    r = F.when(~none, store(ratio(income, payment, 4), 4, 3, 4))
-    points = F.when(none, 0).otherwise(band(r, INCOME_BANDS, 0))
-    reason = F.when(none, REASON_NO_INCOME).when(r < INCOME_BANDS[-1][0], REASON_LOW_INCOME)
-    return r, points.cast("bigint"), reason
+def income_ratio(income: Column, payment: Column) -> Column:
+    """Income over payment at scale 4; NULL when either is zero."""
+    return F.when((income != 0) & (payment != 0), store(ratio(income, payment, 4), 4, 3, 4))
+
+
+def score_income(r: Column) -> tuple[Column, Column]:
+    """(points, reason) of an income ratio."""
+    reason = F.when(r.isNull(), REASON_NO_INCOME).when(r < INCOME_BANDS[-1][0], REASON_LOW_INCOME)
+    return band(r, INCOME_BANDS, 0).cast("bigint"), reason
 
 
 def score_history(dpd: Column, missed: Column) -> tuple[Column, Column]:
@@ -57,27 +59,34 @@ def score_history(dpd: Column, missed: Column) -> tuple[Column, Column]:
     return points.cast("bigint"), reason
 
 
-def score_dscr(income: Column, payment: Column, existing_debt: Column | None = None) -> tuple[Column, Column, Column]:
-    service = payment if existing_debt is None else payment + existing_debt
-    service = store(service, 2, 9, 2)
-    none = service == 0
-    r = F.when(~none, store(ratio(income, service, 4), 4, 3, 4))
-    points = F.when(none, 1000).otherwise(band(r, DSCR_BANDS, 0))
-    reason = F.when(none | (r >= 10000), F.lit(None)).when(r >= 8000, REASON_LOW_COVER).otherwise(REASON_NO_COVER)
-    return r, points.cast("bigint"), reason
+def debt_cover(income: Column, payment: Column, existing_debt: Column | None = None) -> Column:
+    """Income over debt service at scale 4; NULL without service."""
+    service = store(payment if existing_debt is None else payment + existing_debt, 2, 9, 2)
+    return F.when(service != 0, store(ratio(income, service, 4), 4, 3, 4))
+
+
+def score_dscr(r: Column) -> tuple[Column, Column]:
+    points = F.when(r.isNull(), 1000).otherwise(band(r, DSCR_BANDS, 0))
+    reason = F.when(r.isNull() | (r >= 10000), F.lit(None)).when(r >= 8000, REASON_LOW_COVER).otherwise(REASON_NO_COVER)
+    return points.cast("bigint"), reason
 
 
-def score_collateral(outstanding: Column, security: Column, mode: str = LITERAL) -> tuple[Column, Column]:
-    """(loan-to-value percent at scale 4, points).  Literal mode wraps at 1000 %."""
-    none = security == 0
+def loan_to_value(outstanding: Column, security: Column, mode: str = LITERAL) -> Column:
+    """Percent at scale 4; NULL without security.  Literal mode wraps at 1000 %."""
     raw = ratio(outstanding, security, 6)
-    r = F.when(~none, store(raw, 4, 3, 4) if check_mode(mode) == LITERAL else raw)
-    return r, F.when(none, 0).otherwise(band(r, LTV_BANDS, 0, "<=")).cast("bigint")
+    return F.when(security != 0, store(raw, 4, 3, 4) if check_mode(mode) == LITERAL else raw)
+
+
+def score_collateral(ltv: Column) -> Column:
+    return band(ltv, LTV_BANDS, 0, "<=").cast("bigint")
+
 
+def tenure_years(today: Column, open_date: Column) -> Column:
+    return store(years_between_yyyymmdd(today, open_date), 0, 3, 0)
 
-def score_tenure(today: Column, open_date: Column) -> tuple[Column, Column]:
-    years = store(years_between_yyyymmdd(today, open_date), 0, 3, 0)
-    return years, band(years, TENURE_BANDS, 0).cast("bigint")
+
+def score_tenure(years: Column) -> Column:
+    return band(years, TENURE_BANDS, 0).cast("bigint")
 
 
 def raw_score(income: Column, history: Column, dscr: Column, collateral: Column, tenure: Column) -> Column:
@@ -93,7 +102,7 @@ def final_score(raw_e2: Column, bureau: Column, sector: Column, mode: str = LITE
     """Literal mode keeps the magnitude of a negative score; clean mode floors at zero."""
     total = raw_e2 + (bureau + sector) * F.lit(100)
     if check_mode(mode) == LITERAL:
-        return F.least(store(total, 2, 4, 0), F.lit(MAX_SCORE).cast("bigint"))
+        return clamp(store(total, 2, 4, 0), None, MAX_SCORE)
     return clamp(idiv(total, 100), 0, MAX_SCORE)
 
 
@@ -113,24 +122,45 @@ def price(score: Column) -> Column:
     return band(score, RATE_BANDS, RATE_OTHER).cast("bigint")
 
 
-def fees(loan_type: Column, amount: Column) -> Column:
-    """Struct of file_fee, tax, insurance and total in cents."""
+def fee_rate(loan_type: Column) -> Column:
+    """File fee in percent at scale 4."""
     rate = None
     for code, value in FEE_RATES.items():
         rate = F.when(loan_type == code, value) if rate is None else rate.when(loan_type == code, value)
-    rate = rate.otherwise(FEE_RATE_OTHER).cast("bigint")
-    file_fee = clamp(store(percent_of(amount, rate, 4), 2, 7, 2), FEE_MIN, FEE_MAX)
-    insurance = F.when(
-        loan_type.isin(*INSURED_TYPES), store(percent_of(amount, INSURANCE_RATE_E4, 4), 2, 7, 2)
-    ).otherwise(F.lit(0).cast("bigint"))
-    tax = percent_of(file_fee, TAX_RATE_E2, 2) + F.lit(STAMP_CENTS)
-    total = store(file_fee + insurance + tax, 2, 9, 2)
+    return rate.otherwise(FEE_RATE_OTHER).cast("bigint")
+
+
+def file_fee(amount: Column, rate: Column) -> Column:
+    gross = store(percent_of(amount, rate, 4), 2, 7, 2)
+    return F.least(F.greatest(gross, F.lit(FEE_MIN).cast("bigint")), F.lit(FEE_MAX).cast("bigint"))
+
+
+def insurance_fee(loan_type: Column, amount: Column) -> Column:
+    part = store(percent_of(amount, INSURANCE_RATE_E4, 4), 2, 7, 2)
+    return F.when(loan_type.isin(*INSURED_TYPES), part).otherwise(F.lit(0).cast("bigint"))
+
+
+def fee_tax(fee: Column) -> Column:
+    return (percent_of(fee, TAX_RATE_E2, 2) + F.lit(STAMP_CENTS)).cast("bigint")
+
+
+def fees(loan_type: Column, amount: Column) -> Column:
+    """Struct of file_fee, tax, insurance and total in cents, for one-off use."""
+    fee, insurance = file_fee(amount, fee_rate(loan_type)), insurance_fee(loan_type, amount)
+    tax = fee_tax(fee)
     return F.struct(
-        file_fee.alias("file_fee"), tax.cast("bigint").alias("tax"), insurance.cast("bigint").alias("insurance"),
-        total.alias("total"),
+        fee.alias("file_fee"), tax.alias("tax"), insurance.alias("insurance"), store(fee + insurance + tax, 2, 9, 2).alias("total")
     )
 
 
+def with_fees(df: DataFrame, loan_type: str = "loan_type", amount: str = "original_cents") -> DataFrame:
+    """Add file_fee, insurance, tax and total in stages, each computed once."""
+    out = df.withColumn("_rate", fee_rate(F.col(loan_type)))
+    out = out.withColumns({"file_fee": file_fee(F.col(amount), F.col("_rate")), "insurance": insurance_fee(F.col(loan_type), F.col(amount))})
+    out = out.drop("_rate").withColumn("tax", fee_tax(F.col("file_fee")))
+    return out.withColumn("total", store(F.col("file_fee") + F.col("insurance") + F.col("tax"), 2, 9, 2))
+
+
 def security_by_loan(collateral: DataFrame, guarantees: DataFrame) -> DataFrame:
     """Active collateral and guarantee sums per loan, in one shuffle."""
     zero = F.lit(0).cast("bigint")
@@ -172,7 +202,7 @@ def rank_components(df: DataFrame, key: str = "loan_id") -> DataFrame:
 def screened_customers(customers: DataFrame, sanctions: DataFrame, mode: str = LITERAL) -> DataFrame:
     """Customers with their list hits: joined once per customer, not per loan."""
     named = customers.withColumn("_name", loan_name_key(F.col("first_name"), F.col("last_name"), mode))
-    return sanction_hits(named, sanctions, "_name", "cin").drop("_name")
+    return person_risk(sanction_hits(named, sanctions, "_name", "cin")).drop("_name")
 
 
 def evaluate_loans(
@@ -193,8 +223,9 @@ def evaluate_loans(
     """
     check_mode(mode)
     who = screened_customers(customers, sanctions, mode).select(
-        "cust_id", F.col("status").alias("cust_status"), "aml_flag", "kyc", "nationality", "employer", "income_cents",
-        "open_date", "name_hit", "cin_hit", "hit_list", "hit_severity", F.lit(True).alias("known"),
+        "cust_id", cond.check_customer(F.col("status"), F.col("aml_flag"), F.col("kyc")).alias("_refused"), "employer", "income_cents",
+        tenure_years(F.lit(today).cast("bigint"), F.col("open_date")).alias("_years"), "person_points", "listed_country", "hit_reason",
+        F.lit(True).alias("known"),
     )
     who = who.withColumn("sector", cond.sector_of(F.col("employer")))
     if sectors is None:
@@ -211,51 +242,58 @@ def evaluate_loans(
     security = security_by_loan(collateral, guarantees)
     j = loans.join(security, "loan_id", "left").join(who, "cust_id", "left")
 
-    bad = cond.check_preconditions(F.col("loan_id"), F.col("original_cents"), F.col("status"))
-    missing = F.when(
-        F.col("known").isNull(), F.concat(F.lit(cond.ERR_CUSTOMER), F.lpad(F.col("cust_id").cast("string"), 8, "0"))
-    )
-    j = j.withColumn("_aml_score", aml_score(F.col("original_cents"), F.col("nationality")))
-    clear, reason = aml_outcome(F.col("_aml_score"))
-    refused = cond.check_customer(F.col("cust_status"), F.col("aml_flag"), F.col("kyc"))
+    # Each stage reads the columns of the stage before, so a ratio or score is
+    # computed once instead of once per threshold that looks at it.
     j = j.select(
-        "loan_id", "cust_id", "loan_type", "original_cents", "outstanding_cents", "payment_cents", "rate_e4", "dpd",
-        "missed", "income_cents", "open_date", "bureau_adj", "sector_adj",
+        "loan_id", "cust_id", "loan_type", "original_cents", "outstanding_cents", "payment_cents", "rate_e4", "dpd", "missed",
+        "income_cents", "_years", "bureau_adj", "sector_adj", "hit_reason", "_refused",
         F.coalesce("collateral_cents", F.lit(0)).alias("collateral_cents"),
         F.coalesce("guarantee_cents", F.lit(0)).alias("guarantee_cents"),
-        F.when(bad.isNotNull() | missing.isNotNull(), "ERROR")
-        .when(refused.isNotNull() | (clear != "Y"), "REJECTED")
-        .otherwise("SCORED").alias("outcome"),
-        F.coalesce(bad, missing, refused, F.when(clear != "Y", reason)).alias("reject_reason"),
+        cond.check_preconditions(F.col("loan_id"), F.col("original_cents"), F.col("status")).alias("_bad"),
+        F.when(
+            F.col("known").isNull(), F.concat(F.lit(cond.ERR_CUSTOMER), F.lpad(F.col("cust_id").cast("string"), 8, "0"))
+        ).alias("_missing"),
+        aml_score(F.col("original_cents")).alias("_aml_score"),
+    )
+    clear, reason = aml_outcome(F.col("_aml_score"))
+    no_clear = clear != "Y"
+    hidden = ("_bad", "_missing", "_refused", "_aml_score", "hit_reason")
+    j = j.select(
+        *[c for c in j.columns if c not in hidden],
+        F.when(F.col("_bad").isNotNull() | F.col("_missing").isNotNull(), "ERROR")
+        .when(F.col("_refused").isNotNull() | no_clear, "REJECTED").otherwise("SCORED").alias("outcome"),
+        F.coalesce(F.col("_bad"), F.col("_missing"), F.col("_refused"), F.when(no_clear, reason)).alias("reject_reason"),
     )
     scored = F.col("outcome") == "SCORED"
     income = F.col("income_cents")
-    inc_ratio, inc, why_inc = score_income(income, F.col("payment_cents"))
-    hist, why_hist = score_history(F.col("dpd"), F.col("missed"))
-    cover, dscr, why_dscr = score_dscr(income, F.col("payment_cents"))
     security_sum = F.col("collateral_cents") + F.col("guarantee_cents")
-    ltv, coll = score_collateral(F.col("outstanding_cents"), security_sum, mode)
-    _, tenure = score_tenure(F.lit(today).cast("bigint"), F.col("open_date"))
     j = j.select(
-        "*", F.when(scored, inc_ratio).alias("income_ratio_e4"), F.when(scored, inc).alias("income_score"),
-        F.when(scored, hist).alias("history_score"), F.when(scored, cover).alias("dscr_e4"),
-        F.when(scored, dscr).alias("dscr_score"), F.when(scored, ltv).alias("ltv_e4"),
-        F.when(scored, coll).alias("collat_score"), F.when(scored, tenure).alias("tenure_score"),
-        F.when(scored, why_hist).alias("reason_1"), F.when(scored, why_inc).alias("reason_2"),
-        F.when(scored, why_dscr).alias("reason_3"),
+        "*",
+        F.when(scored, income_ratio(income, F.col("payment_cents"))).alias("income_ratio_e4"),
+        F.when(scored, debt_cover(income, F.col("payment_cents"))).alias("dscr_e4"),
+        F.when(scored, loan_to_value(F.col("outstanding_cents"), security_sum, mode)).alias("ltv_e4"),
     )
-    raw = raw_score(*[F.col(f"{n.lower()}_score") for n in WEIGHTS])
-    j = j.withColumn("raw_score_e2", raw).withColumn(
-        "score", final_score(F.col("raw_score_e2"), F.col("bureau_adj"), F.col("sector_adj"), mode)
+    inc, why_inc = score_income(F.col("income_ratio_e4"))
+    hist, why_hist = score_history(F.col("dpd"), F.col("missed"))
+    dscr, why_dscr = score_dscr(F.col("dscr_e4"))
+    j = j.select(
+        "*",
+        F.when(scored, inc).alias("income_score"), F.when(scored, hist).alias("history_score"), F.when(scored, dscr).alias("dscr_score"),
+        F.when(scored, score_collateral(F.col("ltv_e4"))).alias("collat_score"),
+        F.when(scored, score_tenure(F.col("_years"))).alias("tenure_score"),
+        F.when(scored, why_hist).alias("reason_1"), F.when(scored, why_inc).alias("reason_2"), F.when(scored, why_dscr).alias("reason_3"),
     )
+    j = j.withColumn("raw_score_e2", raw_score(*[F.col(f"{n.lower()}_score") for n in WEIGHTS]))
+    j = j.withColumn("score", final_score(F.col("raw_score_e2"), F.col("bureau_adj"), F.col("sector_adj"), mode))
     j = j.withColumn("decision", F.when(scored, decide(F.col("score"))))
     granted = F.col("decision").isin("AP", "CO")
     zero = F.lit(0).cast("bigint")
+    fee_names = ("file_fee", "insurance", "tax", "total")
+    j = with_fees(j.drop("_years"))
     return j.select(
-        "*",
+        *[c for c in j.columns if c not in fee_names], *[F.when(scored, F.col(c)).alias(c) for c in fee_names],
         F.when(granted, max_loan(income, security_sum, F.col("original_cents"))).when(scored, zero).alias("max_loan_cents"),
         F.when(granted, price(F.col("score"))).when(scored, zero).alias("max_rate_e4"),
-        F.when(scored, fees(F.col("loan_type"), F.col("original_cents"))).alias("fee"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.operators.ordered import fill_forward
+from creditloom.operators.ordered import fill_forward, previous, running
 from creditloom.plans.estate import _hit, join_continuations, reachable
 
 # Statement patterns of a job deck.
@@ -78,24 +78,30 @@ def step_runs(steps: DataFrame, return_codes: DataFrame) -> DataFrame:
     name the condition is tested against every earlier step.
     """
     rc = return_codes.select("file", "step", F.col("rc").cast("bigint").alias("rc"))
-    tests = steps.where(F.col("cond_op").isNotNull())
-    named = tests.where(F.col("cond_step").isNotNull()).join(
+    v, op = F.col("cond_rc"), F.col("cond_op")
+    r = F.col("rc")
+    named = steps.where(op.isNotNull() & F.col("cond_step").isNotNull()).join(
         rc.withColumnRenamed("step", "cond_step"), ["file", "cond_step"]
-    ).select("file", "line_no", "cond_rc", "cond_op", "rc")
-    placed = rc.join(steps.select("file", "step", F.col("line_no").alias("_at")), ["file", "step"])
-    # Earlier steps of one deck: a deck holds at most 255 steps.
-    earlier = tests.where(F.col("cond_step").isNull()).join(placed.drop("step"), "file").where(F.col("_at") < F.col("line_no")).select(
-        "file", "line_no", "cond_rc", "cond_op", "rc"
     )
-    v, r, op = F.col("cond_rc"), F.col("rc"), F.col("cond_op")
-    true = (
+    one = (
         F.when(op == "LT", v < r).when(op == "LE", v <= r).when(op == "EQ", v == r).when(op == "NE", v != r)
         .when(op == "GT", v > r).when(op == "GE", v >= r).otherwise(False)
     )
-    skip = named.unionByName(earlier).groupBy("file", "line_no").agg(F.max(true).alias("_skip"))
-    return steps.join(skip, ["file", "line_no"], "left").select(
-        "file", "step", "program", (~F.coalesce("_skip", F.lit(False))).alias("runs")
+    named_skip = named.where(one).select("file", "line_no")
+    # Any earlier step: the least and greatest code so far decide every
+    # comparison but equality, which looks up the first step with that code.
+    placed = steps.join(rc, ["file", "step"], "left")
+    run = running(placed, ["file"], "line_no", {"_lo": ("min", r), "_hi": ("max", r)})
+    run = previous(run, ["file"], "line_no", "_e", F.struct("_lo", "_hi"))
+    first = placed.where(r.isNotNull()).groupBy("file", F.col("rc").alias("cond_rc")).agg(F.min("line_no").alias("_first"))
+    free = run.where(op.isNotNull() & F.col("cond_step").isNull()).join(first, ["file", "cond_rc"], "left")
+    lo, hi = F.col("_e._lo"), F.col("_e._hi")
+    some = (
+        F.when(op == "LT", v < hi).when(op == "LE", v <= hi).when(op == "GT", v > lo).when(op == "GE", v >= lo)
+        .when(op == "NE", (v != lo) | (v != hi)).when(op == "EQ", F.col("_first") < F.col("line_no")).otherwise(False)
     )
+    skip = named_skip.unionByName(free.where(some).select("file", "line_no")).distinct().withColumn("_skip", F.lit(True))
+    return steps.join(skip, ["file", "line_no"], "left").select("file", "step", "program", F.col("_skip").isNull().alias("runs"))
 
 
 def bind_files(bindings: DataFrame, dds: DataFrame, steps: DataFrame) -> DataFrame:
