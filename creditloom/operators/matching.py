@@ -60,15 +60,15 @@ def _anchor_width(s: Column) -> Column:
     return out
 
 
+def _pieces(s: Column, width: int) -> Column:
+    """All substrings of one width."""
+    places = F.sequence(F.lit(1), F.length(s) - (width - 1))
+    cut = F.transform(places, lambda i: F.substring(s, i, F.lit(width)))
+    return F.when(F.length(s) >= width, cut).otherwise(F.array().cast("array<string>"))
+
+
 def _substrings(s: Column) -> Column:
-    pieces = [
-        F.when(
-            F.length(s) >= w,
-            F.transform(F.sequence(F.lit(1), F.length(s) - (w - 1)), lambda i, w=w: F.substring(s, i, F.lit(w))),
-        ).otherwise(F.array().cast("array<string>"))
-        for w in ANCHOR_WIDTHS
-    ]
-    return F.array_distinct(F.concat(*pieces))
+    return F.array_distinct(F.concat(*[_pieces(s, w) for w in ANCHOR_WIDTHS]))
 
 
 def longest_literal(lines: DataFrame, literals: DataFrame, group: str) -> DataFrame:
