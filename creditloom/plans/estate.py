@@ -272,12 +272,19 @@ ITEM = r"^(\d{2})\s+([A-Z0-9-]+)(.*?)\.?$"
 OCCURS = r"\bOCCURS\s+(\d+)\s+TIMES(?:\s+INDEXED\s+BY\s+([A-Z][A-Z0-9-]*(?:\s+[A-Z][A-Z0-9-]*)*))?"
 
 
-def data_items(ctx: DataFrame, levels: range = range(1, 50)) -> DataFrame:
+def data_items(ctx: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """Level, name, clauses, kind and parent of every data item.
 
     The parent is the nearest item above with a lower level.  One running
     maximum per level gives its line, so items are never compared pairwise.
+    Levels are two digits: when not given, the few in use are looked up, so
+    callers that use ``ctx`` more than once should materialize it.
     """
+    if levels is None:
+        found = ctx.where((F.col("division") == "DATA") & F.col("upper").rlike(ITEM)).select(
+            F.regexp_extract("upper", ITEM, 1).cast("bigint").alias("level")
+        )
+        levels = sorted(r[0] for r in found.distinct().collect() if 1 <= r[0] <= 49)
     up = F.col("upper")
     raw = ctx.where((F.col("division") == "DATA") & up.rlike(ITEM)).select(
         "file", "line_no", F.regexp_extract(up, ITEM, 1).cast("bigint").alias("level"), F.regexp_extract(up, ITEM, 2).alias("name"),
@@ -292,8 +299,9 @@ def data_items(ctx: DataFrame, levels: range = range(1, 50)) -> DataFrame:
         _hit(rest, r"\bREDEFINES\s+([A-Z0-9-]+)\b").alias("redefines"),
     )
     level = F.col("level")
-    seen = running(items, ["file"], "line_no", {f"_l{n}": ("max", F.when(level == n, F.col("line_no"))) for n in levels})
-    above = F.greatest(*[F.when(level > n, F.col(f"_l{n}")) for n in levels])
+    seen = items if not levels else running(items, ["file"], "line_no", {f"_l{n}": ("max", F.when(level == n, F.col("line_no"))) for n in levels})
+    places = [F.when(level > n, F.col(f"_l{n}")) for n in levels]
+    above = F.greatest(*places) if len(places) > 1 else places[0] if places else F.lit(None).cast("bigint")
     seen = seen.select(*items.columns, above.alias("parent_line"))
     up_names = items.select("file", F.col("line_no").alias("parent_line"), F.col("name").alias("parent"))
     pic = F.col("pic")
@@ -308,7 +316,8 @@ def _digit_count(s: Column, ch: str) -> Column:
     """Positions of one picture character, repeats expanded."""
     spans = F.regexp_extract_all(s, F.lit(ch + r"\((\d+)\)"), F.lit(1))
     repeated = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, x: acc + x.cast("bigint"))
-    return repeated + F.regexp_count(s, F.lit(ch + r"(?!\()")).cast("bigint")
+    single = F.regexp_replace(s, ch + r"\(\d+\)", "")
+    return repeated + F.regexp_count(single, F.lit(ch)).cast("bigint")
 
 
 def decode_pic(pic: Column) -> dict[str, Column]:
@@ -320,7 +329,8 @@ def decode_pic(pic: Column) -> dict[str, Column]:
     numeric = p.rlike("[S9]")
     whole, frac = F.split_part(p, F.lit("V"), F.lit(1)), F.split_part(p, F.lit("V"), F.lit(2))
     dec = F.when(numeric | shown, _digit_count(frac, "9")).otherwise(0)
-    ints = F.when(numeric | shown, _digit_count(whole, "9")).otherwise(0) + F.when(shown, _digit_count(p, "Z")).otherwise(0)
+    dec = F.when(~text, dec).otherwise(0)
+    ints = F.when((numeric & ~text) | shown, _digit_count(whole, "9")).otherwise(0) + F.when(shown, _digit_count(p, "Z")).otherwise(0)
     v_dec = F.greatest(_digit_count(p, "9"), F.lit(1))
     one = F.regexp_extract(p, r"[XA]\((\d+)\)", 1)
     letters = F.regexp_count(p, F.lit("[XA]")).cast("bigint")
