@@ -403,17 +403,22 @@ def call_edges(ctx: DataFrame) -> DataFrame:
     perform = rf"^PERFORM\s+({NAME})(?:\s+(?:VARYING|UNTIL)\s+.+|\s+(?:\d+|[A-Z0-9-]+)\s+TIMES)?\s*\.?$"
     goto = r"^GO\s+TO\s+([A-Z0-9-]+)\.?$"
     call = r"^CALL\s+['\"]?([A-Z0-9-]+)['\"]?(?:\s+USING\s+(.+?))?\.?$"
-    first = _hit(up, perform)
-    target = F.when(~first.isin("VARYING", "UNTIL"), first)
+    # Each pattern runs once per line; kind and target only look at the hits.
+    hits = stmts.select(
+        "file", "line_no", "paragraph", cond.alias("_cond"), _hit(up, when_p).alias("w_perform"), _hit(up, when_g).alias("w_goto"),
+        _hit(up, goto).alias("goto"), _hit(up, thru).alias("thru"), _hit(up, thru, 2).alias("dst_end"), _hit(up, perform).alias("perform"),
+        _hit(up, call).alias("call"), _hit(up, call, 2).alias("using_list"),
+    )
+    h = F.col
+    target = F.when(~h("perform").isin("VARYING", "UNTIL"), h("perform"))
+    in_when = h("w_perform").isNotNull() | h("w_goto").isNotNull()
     kind = (
-        F.when(_hit(up, when_p).isNotNull(), "PERFORM").when(_hit(up, when_g).isNotNull(), "GO TO").when(up.rlike(goto), "GO TO")
-        .when(up.rlike(thru), "PERFORM THRU").when(target.isNotNull(), "PERFORM").when(up.rlike(call), "CALL")
+        F.when(h("w_perform").isNotNull(), "PERFORM").when(h("w_goto").isNotNull() | h("goto").isNotNull(), "GO TO")
+        .when(h("thru").isNotNull(), "PERFORM THRU").when(target.isNotNull(), "PERFORM").when(h("call").isNotNull(), "CALL")
     )
-    dst = F.coalesce(_hit(up, when_p), _hit(up, when_g), _hit(up, goto), _hit(up, thru), target, _hit(up, call))
-    out = stmts.select(
-        "file", "line_no", F.col("paragraph").alias("src"), dst.alias("dst"), kind.alias("kind"),
-        (cond | _hit(up, when_p).isNotNull() | _hit(up, when_g).isNotNull()).alias("conditional"),
-        _hit(up, thru, 2).alias("dst_end"), _hit(up, call, 2).alias("using_list"),
+    out = hits.select(
+        "file", "line_no", h("paragraph").alias("src"), F.coalesce("w_perform", "w_goto", "goto", "thru", target, "call").alias("dst"),
+        kind.alias("kind"), (h("_cond") | in_when).alias("conditional"), "dst_end", "using_list",
     )
     return out.where(F.col("kind").isNotNull())
 
@@ -576,15 +581,17 @@ def control_points(ctx: DataFrame) -> DataFrame:
     vary = rf"^PERFORM\s+(?:{NAME}\s+)?VARYING\s+[A-Z0-9-]+\s+FROM\s+.+?\s+BY\s+.+?\s+UNTIL\s+(.+?)\.?$"
     until = rf"^PERFORM\s+(?:{NAME}\s+(?:THRU\s+{NAME}\s+)?)?UNTIL\s+(.+?)\.?$"
     times = rf"^PERFORM\s+(?:{NAME}\s+)?((?:\d+|[A-Z0-9-]+)\s+TIMES)\.?$"
-    kind = (
-        F.when(up.rlike(r"^IF\s+\S"), "IF").when(up.rlike(r"^EVALUATE\s+\S"), "EVALUATE").when(up.rlike(vary), "PERFORM_VARYING")
-        .when(up.rlike(until), "PERFORM_UNTIL").when(up.rlike(times), "PERFORM_TIMES")
+    hits = procedure_lines(ctx).select(
+        "file", "paragraph", "line_no", F.regexp_replace(_hit(up, r"^IF\s+(.+?)\.?$"), r"\s+THEN$", "").alias("i"),
+        _hit(up, r"^EVALUATE\s+(.+?)\.?$").alias("e"), _hit(up, vary).alias("v"), _hit(up, until).alias("u"), _hit(up, times).alias("t"),
     )
-    cond = F.coalesce(
-        F.regexp_replace(_hit(up, r"^IF\s+(.+?)\.?$"), r"\s+THEN$", ""), _hit(up, r"^EVALUATE\s+(.+?)\.?$"), _hit(up, vary), _hit(up, until),
-        F.when(up.rlike(times), F.lit("")),
+    some = lambda c: F.col(c).isNotNull()
+    kind = (
+        F.when(some("i"), "IF").when(some("e"), "EVALUATE").when(some("v"), "PERFORM_VARYING").when(some("u"), "PERFORM_UNTIL")
+        .when(some("t"), "PERFORM_TIMES")
     )
-    return procedure_lines(ctx).select("file", "paragraph", "line_no", kind.alias("kind"), cond.alias("condition")).where(F.col("kind").isNotNull())
+    cond = F.coalesce("i", "e", "v", "u", F.when(some("t"), F.lit("")))
+    return hits.select("file", "paragraph", "line_no", kind.alias("kind"), cond.alias("condition")).where(F.col("kind").isNotNull())
 
 
 LOOPS = ("PERFORM_VARYING", "PERFORM_UNTIL", "PERFORM_TIMES")
@@ -735,7 +742,8 @@ def boundary_cases(items: DataFrame, points: DataFrame, ctx: DataFrame) -> DataF
     occ = items.where(F.col("occurs") > 0).select(
         "file", F.lit("OCCURS boundary").alias("case_type"), none.alias("paragraph"), F.col("name").alias("field"), three(F.col("occurs")).alias("v")
     )
-    limit = condition_threshold(F.col("condition"))
+    points = points.withColumn("limit", condition_threshold(F.col("condition")))
+    limit = F.col("limit")
     lit_array = lambda *xs: F.array(*[F.lit(x) for x in xs])
     loop = points.where(F.col("kind").isin(*LOOPS)).select(
         "file", F.lit("loop boundary").alias("case_type"), "paragraph", F.col("kind").alias("field"),
