@@ -123,9 +123,9 @@ def _(s):
     return quality.score_drift(r)
 
 
-@query("e10_score_regression", R, "SELECT run_id, program, run_ts, score, prev AS previous_score FROM (SELECT *, LAG(score) OVER (PARTITION BY program ORDER BY run_ts, run_id) AS prev FROM run) WHERE score < prev")
+@query("e10_score_regression", R, "SELECT run_id, program, score, prev AS previous_score FROM (SELECT *, LAG(score) OVER (PARTITION BY program ORDER BY run_ts, run_id) AS prev FROM run) WHERE score < prev")
 def _(s):
-    return quality.score_regression(s(R))
+    return quality.score_regression(s(R)).drop("run_ts")
 
 
 RULES_AS = """rl AS (SELECT doc_id AS k, CASE doc_id % 4 WHEN 0 THEN CONCAT('Limited to ', CAST(doc_id AS STRING), ' entries') WHEN 1 THEN 'Overtime pays 1.5 times' WHEN 2 THEN 'The the and there' ELSE 'must confirm with the onesen' END AS rule FROM documents)"""

@@ -37,3 +37,35 @@ def dedupe_submissions(submissions: DataFrame, ts: str = "ts", delay: str = "1 d
     """Pass each content once within the delay; later copies are dropped."""
     keyed = submissions.withColumn("source_hash", source_hash(F.col("content")))
     return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["source_hash"])
+
+
+def run_append(stream: DataFrame, folder: str) -> DataFrame:
+    """Drain what is available into a parquet table and return it."""
+    out = f"{folder}/out"
+    q = (
+        stream.writeStream.format("parquet").outputMode("append").option("path", out)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def run_update(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Drain an aggregation and return its latest row per key.
+
+    Each batch overwrites its own folder, so a repeated batch changes nothing.
+    """
+    out = f"{folder}/out"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (
+        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    rows = stream.sparkSession.read.parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return last.select(*keys, "v.*")
