@@ -294,7 +294,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TEXTS:
         source, file, text, marks = TEXTS[name]
         lines = "array(" + ", ".join('"' + t + '"' for t in text) + ")"
-        df = table(spark, sf_dir, source).selectExpr("*", f"posexplode({lines}) AS (p, t)")
+        # A small table grows many-fold here: spread its rows over the cores first.
+        rows = table(spark, sf_dir, source).repartition(spark.sparkContext.defaultParallelism)
+        df = rows.selectExpr("*", f"posexplode({lines}) AS (p, t)")
         return df.selectExpr(f"{file} AS file", "CAST(p + 1 AS BIGINT) AS line_no", f"{_filled(marks)} AS text")
     source, keep, columns = VIEWS[name]
     df = table(spark, sf_dir, source)

@@ -152,7 +152,7 @@ def _(s):
 LETTERHEAD = ["CREDIT BANK", "1 MAIN STREET", "Tel: 000"]
 
 
-def _letter_check() -> str:
+def letter_check() -> str:
     body = "CASE action_type WHEN 'DUL' THEN 'Nous constatons un retard de paiement sur votre dossier de credit.' WHEN 'LEG' THEN 'Suite a nos rappels precedents restes sans suite, nous vous mettons formellement en demeure.' ELSE 'Nous nous reservons le droit de faire appel au garant en cas de non regularisation.' END"
     lines = {
         1: "'CREDIT BANK'", 2: "'1 MAIN STREET'", 3: "'Tel: 000'", 5: f"'Tunis, le {TODAY}'",
@@ -167,7 +167,7 @@ def _letter_check() -> str:
  FROM (SELECT q.*, c.first_name, c.last_name, c.line1, c.zip, c.city, UNNEST(range(1, 34)) AS n FROM q LEFT JOIN cust c ON c.cust_id = q.cust_id WHERE action_type IN ('DUL','LEG','GTR'))"""
 
 
-@query("i22_dunning_letters", "loan cust", _letter_check())
+@query("i22_dunning_letters", "loan cust", letter_check())
 def _(s):
     return recovery.dunning_letters(recovery.recovery_actions(master(s), TODAY), s("cust"), LETTERHEAD, "Tunis", TODAY)
 

@@ -163,8 +163,8 @@ def _(s):
     return quality.retry_scope(mm, sections, r)
 
 
-# Words of documents against the words of the benchmark passages.
-WORDS_SQL = "re AS (SELECT lang AS k, w AS name FROM (SELECT lang, UNNEST(REGEXP_EXTRACT_ALL(text, '[A-Za-z]{3,}')) AS w FROM documents)), va AS (SELECT DISTINCT l.k, w AS name FROM (SELECT UNNEST(REGEXP_EXTRACT_ALL(text, '[A-Za-z]{3,}')) AS w FROM benchmark) b, (SELECT DISTINCT lang AS k FROM documents) l)"
+# Words of documents against the words of good documents of the same language.
+WORDS_SQL = "re AS (SELECT lang AS k, w AS name FROM (SELECT lang, UNNEST(REGEXP_EXTRACT_ALL(text, '[A-Za-z]{3,}')) AS w FROM documents)), va AS (SELECT DISTINCT lang AS k, w AS name FROM (SELECT lang, UNNEST(REGEXP_EXTRACT_ALL(text, '[A-Za-z]{3,}')) AS w FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1))"
 
 
 def words(df, key):
@@ -172,10 +172,8 @@ def words(df, key):
 
 
 def valid_words(s):
-    langs = s.table("documents").select("lang").distinct()
-    w = words(s.table("benchmark").withColumn("one", F.lit(1)), "one").select("name").distinct()
-    # A handful of languages: every word is valid in each of them.
-    return w.select("name", F.lit(1).alias("j")).join(langs.withColumn("j", F.lit(1)), "j").select("lang", "name")
+    good = s.table("labels").where("quality = 1").select("doc_id")
+    return words(s.table("documents").join(good, "doc_id", "left_semi"), "lang")
 
 
 @query("d20_compliance_rate", sql=f"WITH {WORDS_SQL} SELECT re.k AS lang, COUNT(*) AS identifiers, COUNT(va.name) AS valid, (COUNT(va.name) * 20000 + COUNT(*)) // (COUNT(*) * 2) AS rate_e2 FROM re LEFT JOIN va ON va.k = re.k AND va.name = re.name GROUP BY re.k")

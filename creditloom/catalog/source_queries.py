@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from creditloom.catalog.adapters import TODAY, VIEWS
 from creditloom.catalog.credit_queries import BASE, eval_sql, evaluated
-from creditloom.catalog.portfolio_queries import MASTER_SQL, SECTIONS_SQL, TOP_SQL, TOTALS_SQL, cl_sql, master, rec_sql
+from creditloom.catalog.portfolio_queries import LETTERHEAD, MASTER_SQL, SECTIONS_SQL, TOP_SQL, TOTALS_SQL, cl_sql, letter_check, master, rec_sql
 from creditloom.catalog.registry import big, half_up, query
 from creditloom.catalog.credit_queries import PEOPLE_SQL, aml_ctes
 from creditloom.functions import pic
@@ -125,9 +126,18 @@ def _(s):
     back = s.spark.read.text(path).select("value", F.expr("CAST(substring(value, 17, 10) AS BIGINT)").alias("id"), F.monotonically_increasing_id().alias("pos"), F.col("_metadata.file_name").alias("f"))
     # Per file: ids rise with position; files are ranges of ids in name order.
     per = back.groupBy("f").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    prev = per.alias("a").join(per.alias("b"), F.col("b.f") < F.col("a.f"), "left").groupBy("a.f", "a.n", "a.c", "a.lo").agg(F.max("b.hi").alias("top"))
+    # One row per file: a small window tells where the files before end.
+    top = F.max("hi").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1))
     good = F.when(F.coalesce(F.col("top"), F.lit(-1)) < F.col("lo"), F.col("n")).otherwise(0)
-    return prev.agg(F.sum("n").alias("records"), F.sum("c").alias("chars"), F.sum(good).alias("in_order"))
+    return per.withColumn("top", top).agg(F.sum("n").alias("records"), F.sum("c").alias("chars"), F.sum(good).alias("in_order"))
+
+
+@query("a11_write_letters", "loan cust", letter_check().replace("SELECT queue_no AS action_id, n AS line_no, RPAD", "SELECT RPAD"))
+def _(s):
+    path = scratch_path(s.spark, "letters")
+    letters = recovery.dunning_letters(recovery.recovery_actions(master(s), TODAY), s("cust"), LETTERHEAD, "Tunis", TODAY)
+    reports.write_lines(letters, path, ("action_id", "line_no"))
+    return s.spark.read.text(path)
 
 
 CLASS_TEXT = {"1": "CLASSE 1 (COURANTS) ", "2": "CLASSE 2 (30-90J)   ", "3": "CLASSE 3 (90-180J)  ", "4": "CLASSE 4 (>180J)    "}

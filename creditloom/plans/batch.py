@@ -58,8 +58,6 @@ def batch_summary(tables: dict[str, DataFrame]) -> DataFrame:
     c = tables["class_totals"].agg(F.sum("loans").alias("classified"), F.sum("provision_cents").alias("provision_cents"))
     a = tables["action_totals"].agg(F.sum("actions").alias("actions"))
     t = tables["totals"].select(F.col("loans").alias("report_loans"), "outstanding_cents", "avg_rate_e4")
-    one = F.lit(1)
-    out = s.withColumn("_k", one)
-    for df in (c, a, t):  # single-row tables
-        out = out.join(df.withColumn("_k", one), "_k")
-    return out.drop("_k")
+    # Four single-row tables: stack them and keep the one value of each column.
+    rows = s.unionByName(c, allowMissingColumns=True).unionByName(a, allowMissingColumns=True).unionByName(t, allowMissingColumns=True)
+    return rows.agg(*[F.max(n).alias(n) for n in rows.columns])

@@ -81,7 +81,7 @@ def code_lines(lines: DataFrame, formats: DataFrame | None = None) -> DataFrame:
     body = F.when(fixed, F.substring(raw, 8, 65)).otherwise(raw)
     squeezed = F.trim(F.regexp_replace(body, r"\s+", " "))
     out = src.select(
-        "file", "line_no", raw.alias("raw"), mark.alias("indicator"), squeezed.alias("code"), F.upper(squeezed).alias("upper"),
+        "file", "line_no", mark.alias("indicator"), squeezed.alias("code"), F.upper(squeezed).alias("upper"),
         (~fixed | (F.length(body) - F.length(F.ltrim(body)) <= 3)).alias("area_a"),
         (fixed & (F.trim(F.substring(raw, 73, 8)) != "")).alias("beyond_72"),
         (F.when(fixed, F.substring(raw, 7, 1).isin("*", "/")).otherwise(F.ltrim(raw).startswith("*"))).alias("_comment"),
@@ -116,20 +116,24 @@ def with_context(code: DataFrame) -> DataFrame:
     between points where the stack is emptied) and ``bal`` (pushes minus pops).
     """
     up = F.col("upper")
-    div = F.when(up.rlike(r"^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"), F.split(up, " ")[0])
-    head = _header_like()
-    clears = div.isNotNull() | head | up.contains("END-EVALUATE")
-    push = F.when(up.rlike(r"^IF\s+\S"), 1).otherwise(0) + F.when(up.rlike(r"^WHEN\s+\S"), 1).otherwise(0)
-    pop = F.when(up.contains("END-IF"), 1).otherwise(0)
+    # Marks first, each pattern once per line; the running values only read them.
+    marked = code.select(
+        "*", F.when(up.rlike(r"^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"), F.split(up, " ")[0]).alias("_dv"),
+        F.when(_header_like(), F.regexp_replace(F.col("code"), r"\.$", "")).alias("_hd"),
+        F.when(up.rlike(r"^(IF|WHEN)\s+\S"), 1).otherwise(0).alias("_push"), F.when(up.contains("END-IF"), 1).otherwise(0).alias("_pop"),
+        up.contains("END-EVALUATE").alias("_end"),
+    )
+    div, head = F.col("_dv").isNotNull(), F.col("_hd").isNotNull()
+    clears = div | head | F.col("_end")
     out = running(
-        code, ["file"], "line_no",
+        marked, ["file"], "line_no",
         {
-            "division": ("last", div),
-            "_div_line": ("last", F.when(div.isNotNull(), F.col("line_no"))),
-            "_para": ("last", F.when(head, F.regexp_replace(F.col("code"), r"\.$", ""))),
+            "division": ("last", F.col("_dv")),
+            "_div_line": ("last", F.when(div, F.col("line_no"))),
+            "_para": ("last", F.col("_hd")),
             "_para_line": ("last", F.when(head, F.col("line_no"))),
             "seg": ("sum", F.when(clears, 1).otherwise(0).cast("bigint")),
-            "bal": ("sum", F.when(clears, 0).otherwise(push - pop).cast("bigint")),
+            "bal": ("sum", F.when(clears, 0).otherwise(F.col("_push") - F.col("_pop")).cast("bigint")),
         },
     )
     inside = (F.col("division") == "PROCEDURE") & (F.col("_para_line") > F.col("_div_line"))

@@ -22,6 +22,10 @@ LOAN_TYPE_WEIGHTS = [("CON", 40), ("IMM", 25), ("AUT", 15), ("PRO", 12), ("REV",
 LOAN_STATUS = [("AC", 85), ("RS", 7), ("LT", 5), ("SD", 2), ("WO", 1)]
 COLLATERAL_STATUS = [("A", 90), ("R", 7), ("S", 3)]
 GUARANTEE_STATUS = [("A", 88), ("C", 7), ("E", 5)]
+EMPLOYERS = [
+    ("BANQUE NATIONALE", 8), ("MINISTERE PUBLIC", 10), ("TUNISIE TELECOM", 5), ("ORANGE", 5), ("PHARMACIE CENTRALE", 7), ("GROUPE INDUSTRIEL", 20),
+    ("COMMERCE DETAIL", 12), ("ARTISAN INDEPENDANT", 13), ("CABINET MEDICAL", 20),
+]
 INCOME_CENTS = {"MM": (150000, 500000), "MB": (500000, 1500000), "PR": (1500000, 4000000), "PB": (4000000, 12000000)}
 AMOUNT_CENTS = {
     "IMM": (8000000, 80000000), "PRO": (2000000, 40000000), "AUT": (1500000, 12000000), "REV": (500000, 5000000),
@@ -64,6 +68,7 @@ def customers(ids: DataFrame) -> DataFrame:
         (F.lit(10000001) + k).alias("cust_id"), F.lpad(between(k, 1, 1000000, 99999999).cast("string"), 8, "0").alias("cin"),
         weighted(k, 3, CUST_TYPES).alias("cust_type"), F.concat(F.lit("FIRST"), between(k, 4, 0, 47).cast("string")).alias("first_name"),
         F.concat(F.lit("LAST"), between(k, 5, 0, 34).cast("string")).alias("last_name"), F.lit("TUN").alias("nationality"),
+        weighted(k, 14, EMPLOYERS).alias("employer"),
         seg.alias("segment"), between(k, 6, _by_code(seg, INCOME_CENTS, 0), _by_code(seg, INCOME_CENTS, 1)).alias("income_cents"),
         weighted(k, 7, KYC_WEIGHTS).alias("kyc"), F.when(F.pmod(draw(k, 8), F.lit(1000)) < 20, "Y").otherwise("N").alias("aml_flag"),
         F.when(F.pmod(draw(k, 9), F.lit(1000)) < 15, "Y").otherwise("N").alias("pep_flag"), weighted(k, 10, CUST_STATUS).alias("status"),
