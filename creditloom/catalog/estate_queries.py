@@ -150,12 +150,12 @@ def _(s):
 
 @query("k10_call_edges", SRC, f"WITH {EDGE_SQL} SELECT file, line_no, src, dst, kind, conditional FROM ed")
 def _(s):
-    return estate.call_edges(ctx(s)).select("file", "line_no", "src", "dst", "kind", "conditional")
+    return estate.call_edges(kept(s)).select("file", "line_no", "src", "dst", "kind", "conditional")
 
 
 @query("k11_external_calls", SRC, f"WITH {EDGE_SQL} SELECT file, dst AS program, COUNT(*) AS calls, STRING_AGG(DISTINCT CASE WHEN SPLIT_PART(using_list, ' ', 1) < SPLIT_PART(using_list, ' ', 2) THEN using_list ELSE CONCAT(SPLIT_PART(using_list, ' ', 2), ' ', SPLIT_PART(using_list, ' ', 1)) END, ' ') AS using_names FROM ed WHERE kind = 'CALL' GROUP BY file, dst")
 def _(s):
-    return estate.external_calls(estate.call_edges(ctx(s)))
+    return estate.external_calls(estate.call_edges(kept(s)))
 
 
 @query("k12_verb_counts", SRC, f"""WITH {CTX_SQL} SELECT file, paragraph, verb, COUNT(*) AS statements FROM (SELECT file, paragraph, RTRIM(SPLIT_PART(up, ' ', 1), '.') AS verb FROM st)
