@@ -280,7 +280,7 @@ def _(s):
  UNION ALL SELECT file, 'early exit', '4000-EXIT', 'EXIT_PARAGRAPH', 'early exit path' FROM q""")
 def _(s):
     c = kept(s)
-    return estate.boundary_cases(estate.data_items(c), estate.control_points(c), c)
+    return estate.boundary_cases(estate.data_items(c), cut(estate.control_points(c)), c)
 
 
 @query("k28_structure_checks", SRC, f"""WITH {EDGE_SQL.replace('WITH ', '')}, {ITEM_SQL.split(' i0 AS')[1].join([' i0 AS', ''])}

@@ -118,8 +118,7 @@ def replacing_pattern(old: Column) -> Column:
 def condition_threshold(condition: Column) -> Column:
     """First number after a comparison sign, else the first number."""
     tries = [r">\s*(\d+)", r">=\s*(\d+)", r"<\s*(\d+)", r"<=\s*(\d+)", r"=\s*(\d+)", r"\b(\d+)\b"]
-    hits = [F.nullif(F.regexp_extract(condition, p, 1), F.lit("")) for p in tries]
-    return F.coalesce(*hits).cast("bigint")
+    return F.coalesce(*[F.regexp_extract(condition, p, 1).try_cast("bigint") for p in tries])
 
 
 def boundary_rule(rule: Column) -> tuple[Column, Column, Column]:

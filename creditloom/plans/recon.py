@@ -447,9 +447,9 @@ def diff_json(pairs: DataFrame) -> DataFrame:
             return here if out is None else out.unionByName(here)
 
         def children(side: str) -> DataFrame:
-            inner.createOrReplaceTempView("_json_front")
             ex = inner.sparkSession.sql(
-                f"SELECT doc_id, path, ek, x.pos, x.key, x.value AS {side}v FROM _json_front, LATERAL variant_explode({side}) x"
+                f"SELECT doc_id, path, ek, x.pos, x.key, x.value AS {side}v FROM {{front}}, LATERAL variant_explode({side}) x",
+                front=inner,
             )
             p = F.col("path")
             child = F.when(F.col("ek") == "list", F.concat(p, F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
