@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from creditloom.llm.repeats import Group, Rule, repeats
+from creditloom.llm.repeats import STRETCH, Group, Rule, earliest_answers, repeats, stretch_answers
 
 
 def _rows_of(group: Group, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -17,24 +18,30 @@ def _rows_of(group: Group, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np
     return np.ascontiguousarray(cells), ((keys >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _suffix_array(n: int):
+def _settle(n: int):
     width = (n + 7) // 8
 
-    def settle(table: pa.Table, hi, lo, row):
-        """Dictionary suffixes in corpus order; starts of the runs that agree on n bytes.
-
-        The parse is present through the first and last document of each suffix's phrase.
-        """
-        raw = np.frombuffer(b"".join(table.column("content").to_pylist()), dtype=np.uint8).reshape(-1, n)
-        padded = np.zeros((len(raw), width * 8), np.uint8)
-        padded[:, :n] = raw
+    def suffix_array(data: np.ndarray, place: np.ndarray):
+        """Suffixes of the dictionary's phrases in corpus order, to n bytes; starts of the runs that agree on them."""
+        padded = np.zeros((len(place), width * 8), np.uint8)
+        padded[:, :n] = data[place[:, None] + np.arange(n)[None, :]]
         keys = padded.view(">u8")
         order = np.lexsort(tuple(keys[:, j] for j in range(width - 1, -1, -1)))
         new = np.ones(len(order), bool)
-        if len(order):
-            new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
         return order, np.flatnonzero(new)
 
+    def single(table: pa.Table, hi, lo, row):
+        data = np.frombuffer(b"".join(table.column("content").to_pylist()), dtype=np.uint8)
+        return suffix_array(data, np.arange(len(hi)) * n)
+
+    def settle(table: pa.Table) -> pa.Table:
+        """The parse comes in through the first and last document of each phrase."""
+        stretch = pc.equal(table.column("round"), STRETCH)
+        return pa.concat_tables(
+            [stretch_answers(table.filter(stretch), n, suffix_array), earliest_answers(table.filter(pc.invert(stretch)), 3, single)]
+        )
+
     return settle
 
 
@@ -73,7 +80,8 @@ def drop_repeated_bytes(docs: DataFrame, n: int = 50) -> DataFrame:
     n-byte string lies whole in a phrase, and equal contexts give equal phrases.  The parse (which documents hold
     a phrase) settles all strings inside phrases of earlier documents.  The dictionary, where each distinct phrase
     is read once, from its first document, is searched by a suffix array: suffixes that can repeat are sorted to
-    n bytes, and runs of equal neighbours take the smallest document of their phrases.
+    n bytes, and runs of equal neighbours take the smallest document of their phrases.  Suffixes in a row travel as one
+    phrase, cut where the trigger that they share ends; where a trigger is hot, suffixes travel one by one.
 
     Texts are UTF-8 bytes (null: none); strings do not cross documents and are judged on the input.  Rows with a
     null ``doc_id`` are returned whole and compared with nothing; rows that share a ``doc_id`` do not remove each
@@ -82,5 +90,5 @@ def drop_repeated_bytes(docs: DataFrame, n: int = 50) -> DataFrame:
     """
     if n < 4:
         raise ValueError("n must be at least 4")
-    rule = Rule(words=False, n=n, k=max(2, n * 16 // 25), period=160)
-    return repeats(docs, rule, _rows_of, _suffix_array(n), _finish, _OUT)
+    rule = Rule(words=False, n=n, k=max(2, n * 16 // 25), period=96, stretches=True)
+    return repeats(docs, rule, _rows_of, _settle(n), _finish, _OUT)

@@ -31,6 +31,12 @@ from creditloom.llm.hashing import BYTE_VALUES, MULTIPLIERS, U64, Rolling, slidi
 
 #: Text bytes of a group of documents and of what one bucket of messages stands for.
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: Windows whose contents are sorted together.
+WINDOWS_AT_ONCE = 1 << 20
+#: An anchor sent more often than this is hot: its windows travel one by one, by their own hashes.
+HOT_ANCHOR = 64
+#: Numbers of the kinds of messages besides rounds 1 to 3.
+HOT, STRETCH = 4, 5
 MESSAGE = "g bigint, round int, hi binary, lo binary, first binary, last binary, content binary, b bigint"
 MESSAGE_ARROW = pa.schema(
     [("g", pa.int64()), ("round", pa.int32())]
@@ -41,12 +47,16 @@ MESSAGE_ARROW = pa.schema(
 
 @dataclass(frozen=True)
 class Rule:
-    """Windows of ``n`` words or bytes; ``k`` symbols make an anchor; segments are cut at every ``period``-th window."""
+    """Windows of ``n`` words or bytes; ``k`` symbols make an anchor; segments are cut at every ``period``-th window.
+
+    ``stretches``: in the third round, windows under one anchor travel together.
+    """
 
     words: bool
     n: int
     k: int
     period: int
+    stretches: bool = False
 
 
 class Group:
@@ -54,6 +64,7 @@ class Group:
 
     def __init__(self, table: pa.Table, rule: Rule):
         self.rule = rule
+        self.g = _g(table)
         ids = table.column("doc_id").combine_chunks()
         texts = pc.fill_null(table.column("text"), b"").combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
@@ -119,25 +130,31 @@ def _joined(answers: pa.Table, rnd: int, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=kind)
 
 
-def _lookup(answers: pa.Table, rnd: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Smallest known document of each key; the largest integer where nothing is known."""
-    out = np.full(len(hi), _NONE)
-    their, other, docs = (_joined(answers, rnd, c, t) for c, t in (("hi", U64), ("lo", U64), ("first", np.int64)))
+def _find(their: np.ndarray, other: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Position of each key (hi, lo) among the known ones, -1 where it is not."""
+    out = np.full(len(hi), -1)
     if not len(their) or not len(hi):
         return out
     order = np.lexsort((other, their))
-    their, other, docs = their[order], other[order], docs[order]
+    their, other = their[order], other[order]
     at = np.searchsorted(their, hi)
     while True:  # keys that share their first half follow each other
-        live = np.flatnonzero((at < len(their)) & (out == _NONE))
+        live = np.flatnonzero((at < len(their)) & (out < 0))
         live = live[their[at[live]] == hi[live]]
         if not len(live):
             return out
         good = other[at[live]] == lo[live]
-        out[live[good]] = docs[at[live[good]]]
+        out[live[good]] = order[at[live[good]]]
         at[live] += 1
 
 
+def _lookup(answers: pa.Table, rnd: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Smallest known document of each key; the largest integer where nothing is known."""
+    their, other, docs = (_joined(answers, rnd, c, t) for c, t in (("hi", U64), ("lo", U64), ("first", np.int64)))
+    at = _find(their, other, hi, lo)
+    return np.where(at < 0, _NONE, docs[at]) if len(docs) else np.full(len(hi), _NONE)
+
+
 def _distinct(hi, lo, ids):
     """Order and run starts of equal keys, ids ascending in a run."""
     order = np.lexsort((ids, lo, hi))
@@ -218,8 +235,13 @@ def shared_answers(table: pa.Table) -> pa.Table:
     cells = [np.frombuffer(x, dtype=U64) for x in table.column("hi").to_pylist()]
     keys = np.sort(np.concatenate(cells)) if cells else np.zeros(0, U64)
     shared = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    found = [np.unique(x[np.isin(x, shared)]) for x in cells]
-    return _answers(table, 2, [i for i, x in enumerate(found) if len(x)], hi=found)
+    value, times = np.unique(keys, return_counts=True)
+    hot = value[times > HOT_ANCHOR]
+    out = []
+    for rnd, some in ((2, np.setdiff1d(shared, hot)), (HOT, hot)):
+        found = [x[np.isin(x, some)] for x in map(np.unique, cells)]
+        out.append(_answers(table, rnd, [i for i, x in enumerate(found) if len(x)], hi=found))
+    return pa.concat_tables(out)
 
 
 def _answers(table: pa.Table, rnd: int, rows: list[int], **cells) -> pa.Table:
@@ -259,11 +281,17 @@ def by_hash(table: pa.Table, hi, lo, row):
 
 
 def window_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int, contents: Callable) -> pa.Table:
-    """Distinct windows with a shared anchor, with their contents."""
+    """Distinct windows with a shared anchor, with their contents; under stretches those of hot anchors only."""
     group = Group(table, rule)
     own = group.places[~group.marked(answers)]
-    shared = np.sort(_joined(answers, 2, "hi", U64))
-    own = own[np.isin(group.anchors(own), shared)] if len(shared) else own[:0]
+    shared, hot = (_joined(answers, r, "hi", U64) for r in (2, HOT))
+    stretched = stretch_messages(group, own, shared, buckets) if rule.stretches else MESSAGE_ARROW.empty_table()
+    own = own[np.isin(group.anchors(own), hot if rule.stretches else np.concatenate((shared, hot)))]
+    return pa.concat_tables([stretched, _single_messages(group, own, buckets, contents, _g(table))])
+
+
+def _single_messages(group: Group, own: np.ndarray, buckets: int, contents: Callable, g: int) -> pa.Table:
+    rule = group.rule
     if not len(own):
         return MESSAGE_ARROW.empty_table()
     hi, lo = group.one.windows(rule.n)[own], group.two.windows(rule.n)[own]
@@ -272,7 +300,85 @@ def window_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int
     last = np.concatenate((new[1:], [len(order)])) - 1
     at, end = order[new], order[last]
     content, bucket = contents(group, own[at], buckets)
-    return messages(_g(table), 3, bucket, hi=hi[at], lo=lo[at], first=ids[at], last=ids[end], content=content)
+    return messages(g, 3, bucket, hi=hi[at], lo=lo[at], first=ids[at], last=ids[end], content=content)
+
+
+def _stretches(group: Group, own: np.ndarray):
+    """Places in a row, of one document, under one anchor: anchor, first (in ``own``), count, and hashes of the bytes."""
+    least = group.anchors(own)
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1] + 1) | (least[1:] != least[:-1]) | (group.doc[own[1:]] != group.doc[own[:-1]])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(own)))
+    a, e = own[first], own[first] + count - 1 + group.rule.n
+    return least[first], first, count, a, e, group.one.spans(a, e), group.two.spans(a, e)
+
+
+def stretch_messages(group: Group, own: np.ndarray, shared: np.ndarray, buckets: int) -> pa.Table:
+    """Distinct stretches with a shared anchor: equal windows have equal anchors, so they meet in the anchor's bucket."""
+    least, _, _, a, e, hi, lo = _stretches(group, own)
+    some = np.flatnonzero(np.isin(least, shared))
+    if not len(some):
+        return MESSAGE_ARROW.empty_table()
+    least, a, e, hi, lo = least[some], a[some], e[some], hi[some], lo[some]
+    ids = group.ids[group.doc[a]]
+    order, new = _distinct(hi, lo, ids)
+    at, end = order[new], order[np.append(new[1:], len(order)) - 1]
+    raw = group.data.tobytes()
+    content = [raw[x:y] for x, y in zip(a[at].tolist(), e[at].tolist())]
+    return messages(group.g, STRETCH, _buckets(least[at], buckets), hi=hi[at], lo=lo[at], first=ids[at], last=ids[end], content=content)
+
+
+def stretch_answers(table: pa.Table, n: int, equal_runs: Callable) -> pa.Table:
+    """For each stretch with a window that starts in an earlier document, the smallest document of each of its windows."""
+    if not table.num_rows:
+        return MESSAGE_ARROW.empty_table()
+    hi, lo, first, last = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hi", U64), ("lo", U64), ("first", np.int64), ("last", np.int64)))
+    counts = [len(x) // 8 for x in table.column("hi").to_pylist()]
+    cells = table.column("content").to_pylist()
+    lens = np.concatenate([np.frombuffer(x, np.uint32, c) for x, c in zip(cells, counts)]).astype(np.int64)
+    data = np.frombuffer(b"".join(x[4 * c :] for x, c in zip(cells, counts)), np.uint8)
+    row = np.repeat(np.arange(len(counts)), counts)
+    windows = lens - n + 1
+    starts = np.cumsum(windows) - windows
+    of = np.repeat(np.arange(len(lens)), windows)
+    place = np.repeat(np.cumsum(lens) - lens, windows) + np.arange(len(of)) - starts[of]
+    key = Rolling(BYTE_VALUES[data]).windows(n)[place]
+    least = np.empty(len(of), np.int64)
+    parts = len(of) // WINDOWS_AT_ONCE + 1
+    for part in range(parts):
+        some = np.flatnonzero(key % U64(parts) == part) if parts > 1 else np.arange(len(of))
+        order, new = equal_runs(data, place[some])
+        if len(order):
+            smallest = np.minimum.reduceat(first[of[some[order]]], new)
+            least[some[order]] = np.repeat(smallest, np.diff(np.append(new, len(order))))
+    told = np.logical_or.reduceat(least < last[of], starts)
+    inside = told[of]
+    rows = np.unique(row[told]).tolist()
+    entry = [_per_row(x, told, row, rows) for x in (hi, lo, windows)]
+    return _answers(table, STRETCH, rows, hi=entry[0], lo=entry[1], last=entry[2], first=_per_row(least, inside, row[of], rows))
+
+
+def _per_row(values: np.ndarray, wanted: np.ndarray, row: np.ndarray, rows: list[int]) -> dict[int, np.ndarray]:
+    """Wanted values of each row; entries of a row stand together."""
+    values, row = values[wanted], row[wanted]
+    return {i: values[np.searchsorted(row, i) : np.searchsorted(row, i, side="right")] for i in rows}
+
+
+def _stretch_marks(group: Group, own: np.ndarray, answers: pa.Table, repeat: np.ndarray) -> None:
+    """Set ``repeat`` at the owned places (``own``: numbers of places) that stretches tell of."""
+    their, other, size, docs = (_joined(answers, STRETCH, c, t) for c, t in (("hi", U64), ("lo", U64), ("last", np.int64), ("first", np.int64)))
+    if not len(their) or not len(own):
+        return
+    _, first, count, a, _, hi, lo = _stretches(group, group.places[own])
+    near = np.flatnonzero(np.isin(hi, their))
+    at = _find(their, other, hi[near], lo[near])
+    near, at = near[at >= 0], at[at >= 0]
+    begin = np.cumsum(size) - size
+    inside = np.arange(count[near].sum()) - np.repeat(np.cumsum(count[near]) - count[near], count[near])
+    least = docs[np.repeat(begin[at], count[near]) + inside]
+    place = own[np.repeat(first[near], count[near]) + inside]
+    repeat[place] |= least < group.ids[group.doc[group.places[place]]]
 
 
 def removed_runs(table: pa.Table, answers: pa.Table, rule: Rule) -> tuple[Group, np.ndarray, np.ndarray]:
@@ -281,13 +387,14 @@ def removed_runs(table: pa.Table, answers: pa.Table, rule: Rule) -> tuple[Group,
     repeat = group.marked(answers)
     own = np.flatnonzero(~repeat)
     at = group.places[own]
+    _stretch_marks(group, own, answers, repeat)
     if len(at) and rnd_has(answers, 3):
         known = np.unique(_joined(answers, 3, "hi", U64))
         hi = group.one.windows(rule.n)[at]
         near = np.isin(hi, known)
         hit, at = own[near], at[near]
         lo = group.two.windows(rule.n)[at]
-        repeat[hit] = _lookup(answers, 3, hi[near], lo) < group.ids[group.doc[at]]
+        repeat[hit] |= _lookup(answers, 3, hi[near], lo) < group.ids[group.doc[at]]
     place = group.places[repeat]
     depth = np.zeros(len(group.doc) + 1, np.int32)
     np.add.at(depth, place, 1)
@@ -306,7 +413,7 @@ def rnd_has(answers: pa.Table, rnd: int) -> bool:
     return bool(pc.any(pc.equal(answers.column("round"), rnd)).as_py())
 
 
-def repeats(docs: DataFrame, rule: Rule, contents: Callable, settle: Callable, finish: Callable, schema: str) -> DataFrame:
+def repeats(docs: DataFrame, rule: Rule, contents: Callable, settle: Callable[[pa.Table], pa.Table], finish: Callable, schema: str) -> DataFrame:
     """Run the four passes; ``contents`` and ``settle`` are the exact third round, ``finish`` makes the output rows."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -326,6 +433,6 @@ def repeats(docs: DataFrame, rule: Rule, contents: Callable, settle: Callable, f
     second = per_bucket(per_group(first, lambda t, a: anchor_messages(t, a, rule, buckets), MESSAGE), shared_answers)
     third = per_bucket(
         per_group(first.unionByName(second), lambda t, a: window_messages(t, a, rule, buckets, contents), MESSAGE),
-        lambda t: earliest_answers(t, 3, settle),
+        settle,
     )
     return per_group(first.unionByName(third), lambda t, a: finish(*removed_runs(t, a, rule)), schema)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from creditloom.llm.repeats import Group, Rule, repeats, unpack
+from creditloom.llm.repeats import Group, Rule, earliest_answers, repeats, unpack
 
 #: Bytes of words that make up a suffix's prefix: rare (long) words need few, common (short) ones many.
 PREFIX_BYTES = 24
@@ -103,4 +103,5 @@ def drop_repeated_words(docs: DataFrame, n: int = 13) -> DataFrame:
     if n < 2:
         raise ValueError("n must be at least 2")
     rule = Rule(words=True, n=n, k=max(1, (n + 1) // 2 - 1), period=40)
-    return repeats(docs, rule, _suffixes, _subtrees(n), _finish, _OUT)
+    subtrees = _subtrees(n)
+    return repeats(docs, rule, _suffixes, lambda t: earliest_answers(t, 3, subtrees), _finish, _OUT)
