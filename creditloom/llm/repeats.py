@@ -125,6 +125,39 @@ class Group:
 _NONE = np.iinfo(np.int64).max
 
 
+def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of many hashes are among the known ones: a bit table first, then a search."""
+    out = np.zeros(len(x), bool)
+    if len(known) and len(x):
+        bits = max(16, min(22, int(len(known)).bit_length() + 4))
+        table, mask = np.zeros(1 << bits, bool), U64((1 << bits) - 1)
+        table[known & mask] = True
+        known = np.sort(known)
+        maybe = np.flatnonzero(table[x & mask])
+        at = np.minimum(np.searchsorted(known, x[maybe]), len(known) - 1)
+        out[maybe] = known[at] == x[maybe]
+    return out
+
+
+def _six(keys: np.ndarray) -> np.ndarray:
+    """The low six bytes of each anchor; its bucket tells most of the rest."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _from_six(cell: bytes) -> np.ndarray:
+    out = np.zeros((len(cell) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+LOW = U64((1 << 48) - 1)
+
+
+def _anchors_told(answers: pa.Table, rnd: int) -> np.ndarray:
+    rows = answers.filter(pc.equal(answers.column("round"), rnd)).column("hi").to_pylist()
+    return _from_six(b"".join(rows))
+
+
 def _joined(answers: pa.Table, rnd: int, column: str, kind) -> np.ndarray:
     rows = answers.filter(pc.equal(answers.column("round"), rnd)).column(column).to_pylist()
     return np.frombuffer(b"".join(rows), dtype=kind)
@@ -227,19 +260,25 @@ def anchor_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int
     several = np.unique(run[1:][(~new[1:]) & (doc[1:] != doc[:-1])]) if len(key) else run
     distinct = key[new]
     keys = np.concatenate((distinct, distinct[several]))
-    return messages(_g(table), 2, _buckets(keys, buckets), hi=keys)
+    return messages(_g(table), 2, ((keys >> U64(40)) % U64(buckets)).astype(np.int64), hi=_six(keys))
 
 
 def shared_answers(table: pa.Table) -> pa.Table:
-    """Anchors with two entries or more, to each group that sent them."""
-    cells = [np.frombuffer(x, dtype=U64) for x in table.column("hi").to_pylist()]
-    keys = np.sort(np.concatenate(cells)) if cells else np.zeros(0, U64)
-    shared = np.unique(keys[1:][keys[1:] == keys[:-1]])
-    value, times = np.unique(keys, return_counts=True)
-    hot = value[times > HOT_ANCHOR]
+    """Anchors with two entries or more, to each group that sent them; apart those with over ``HOT_ANCHOR``."""
+    cells = [_from_six(x) for x in table.column("hi").to_pylist()]
+    if not cells:
+        return MESSAGE_ARROW.empty_table()
+    keys = np.concatenate(cells)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    first = np.flatnonzero(new)
+    times = np.empty(len(keys), np.int64)
+    times[order] = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+    ends = np.cumsum([len(x) for x in cells])
     out = []
-    for rnd, some in ((2, np.setdiff1d(shared, hot)), (HOT, hot)):
-        found = [x[np.isin(x, some)] for x in map(np.unique, cells)]
+    for rnd, some in ((2, (times > 1) & (times <= HOT_ANCHOR)), (HOT, times > HOT_ANCHOR)):
+        found = [_six(np.unique(x[some[e - len(x) : e]])) for x, e in zip(cells, ends)]
         out.append(_answers(table, rnd, [i for i, x in enumerate(found) if len(x)], hi=found))
     return pa.concat_tables(out)
 
@@ -284,10 +323,13 @@ def window_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int
     """Distinct windows with a shared anchor, with their contents; under stretches those of hot anchors only."""
     group = Group(table, rule)
     own = group.places[~group.marked(answers)]
-    shared, hot = (_joined(answers, r, "hi", U64) for r in (2, HOT))
-    stretched = stretch_messages(group, own, shared, buckets) if rule.stretches else MESSAGE_ARROW.empty_table()
-    own = own[np.isin(group.anchors(own), hot if rule.stretches else np.concatenate((shared, hot)))]
-    return pa.concat_tables([stretched, _single_messages(group, own, buckets, contents, _g(table))])
+    shared, hot = (_anchors_told(answers, r) for r in (2, HOT))
+    stretches = _stretches(group, own)
+    least, count = stretches[0] & LOW, stretches[2]
+    cold = _is_in(least, shared)
+    alone = _is_in(least, hot) if rule.stretches else cold | _is_in(least, hot)
+    stretched = stretch_messages(group, stretches, cold, buckets) if rule.stretches else MESSAGE_ARROW.empty_table()
+    return pa.concat_tables([stretched, _single_messages(group, own[np.repeat(alone, count)], buckets, contents, group.g)])
 
 
 def _single_messages(group: Group, own: np.ndarray, buckets: int, contents: Callable, g: int) -> pa.Table:
@@ -314,10 +356,10 @@ def _stretches(group: Group, own: np.ndarray):
     return least[first], first, count, a, e, group.one.spans(a, e), group.two.spans(a, e)
 
 
-def stretch_messages(group: Group, own: np.ndarray, shared: np.ndarray, buckets: int) -> pa.Table:
-    """Distinct stretches with a shared anchor: equal windows have equal anchors, so they meet in the anchor's bucket."""
-    least, _, _, a, e, hi, lo = _stretches(group, own)
-    some = np.flatnonzero(np.isin(least, shared))
+def stretch_messages(group: Group, stretches: tuple, wanted: np.ndarray, buckets: int) -> pa.Table:
+    """Distinct wanted stretches: equal windows have equal anchors, so they meet in the anchor's bucket."""
+    least, _, _, a, e, hi, lo = stretches
+    some = np.flatnonzero(wanted)
     if not len(some):
         return MESSAGE_ARROW.empty_table()
     least, a, e, hi, lo = least[some], a[some], e[some], hi[some], lo[some]
@@ -371,7 +413,7 @@ def _stretch_marks(group: Group, own: np.ndarray, answers: pa.Table, repeat: np.
     if not len(their) or not len(own):
         return
     _, first, count, a, _, hi, lo = _stretches(group, group.places[own])
-    near = np.flatnonzero(np.isin(hi, their))
+    near = np.flatnonzero(_is_in(hi, their))
     at = _find(their, other, hi[near], lo[near])
     near, at = near[at >= 0], at[at >= 0]
     begin = np.cumsum(size) - size
@@ -391,15 +433,16 @@ def removed_runs(table: pa.Table, answers: pa.Table, rule: Rule) -> tuple[Group,
     if len(at) and rnd_has(answers, 3):
         known = np.unique(_joined(answers, 3, "hi", U64))
         hi = group.one.windows(rule.n)[at]
-        near = np.isin(hi, known)
+        near = _is_in(hi, known)
         hit, at = own[near], at[near]
         lo = group.two.windows(rule.n)[at]
         repeat[hit] |= _lookup(answers, 3, hi[near], lo) < group.ids[group.doc[at]]
     place = group.places[repeat]
-    depth = np.zeros(len(group.doc) + 1, np.int32)
-    np.add.at(depth, place, 1)
-    np.add.at(depth, place + rule.n, -1)
-    gone = np.cumsum(depth[:-1]) > 0
+    begun = np.zeros(len(group.doc), np.int32)
+    begun[place] = 1
+    begun = np.cumsum(begun, dtype=np.int32)
+    gone = begun > 0
+    gone[rule.n :] = begun[rule.n :] > begun[: -rule.n]
     before = np.concatenate(([False], gone[:-1]))
     after = np.concatenate((gone[1:], [False]))
     if len(gone):
