@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,8 @@ from creditloom.llm.hashing import BYTE_VALUES, U64, Rolling, word_hashes, word_
 #: Bytes of the character n-grams of a word with its borders.
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 19
+#: Distinct words that the training reads of a text, by class (scoring reads all).
+CLEAN_WORDS, TOXIC_WORDS = 100, 2_000
 #: Text bytes scored at a time.
 SLICE_BYTES = 4 << 20
 
@@ -29,11 +33,11 @@ def _word_bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at, of, grams = np.arange(len(data)), np.repeat(np.arange(len(words)), lens), []
     for n in GRAMS:
         fits = at[at + n <= ends]
-        grams.append((of[fits], (rolling.windows(n)[fits] ^ U64(n)) % U64(BUCKETS)))
+        grams.append((of[fits].astype(np.int32), ((rolling.windows(n)[fits] ^ U64(n)) % U64(BUCKETS)).astype(np.int32)))
     whole = rolling.spans(np.cumsum(lens) - lens, np.cumsum(lens)) % U64(BUCKETS) if len(words) else np.zeros(0, U64)
-    grams.append((np.arange(len(words)), whole))
+    grams.append((np.arange(len(words), dtype=np.int32), whole.astype(np.int32)))
     word = np.concatenate([g[0] for g in grams])
-    bucket = np.concatenate([g[1] for g in grams]).astype(np.int64)
+    bucket = np.concatenate([g[1] for g in grams])
     order = np.argsort(word, kind="stable")
     return bucket[order], np.bincount(word, minlength=len(words))
 
@@ -58,24 +62,32 @@ def words_of(text: bytes) -> list[bytes]:
     return [w.strip(b".,;:!?|\"'()[]") for w in text.lower().split()]
 
 
+def _some_words(words: set[bytes], most: int) -> list[bytes]:
+    """At most ``most`` distinct words of a training text, drawn by a hash; one empty word if there is none."""
+    return sorted(heapq.nsmallest(most, words, key=zlib.crc32) if len(words) > most else words) or [b""]
+
+
 def fit(texts: list[bytes], labels: list[int], dim: int = 8, steps: int = 120, rate: float = 0.08, seed: int = 7) -> Model:
     """Train embeddings and softmax together on whole labelled texts.
 
-    A text is the bag of its distinct words.  Its class is read from its words weighed by how strongly they speak
+    A text is the bag of its distinct words (a bounded number, see above).  Its class is read from its words weighed by how strongly they speak
     (a softmax over word margins whose sharpness grows from an average to nearly a maximum), so that one word counts
     in a long text as in a short one.  Classes weigh the same.  Adam over all texts at once.
     """
     rng = np.random.default_rng(seed)
-    bags = [sorted(set(words_of(t))) or [b""] for t in texts]
+    bags = [_some_words(set(words_of(t)), CLEAN_WORDS if k == 0 else TOXIC_WORDS) for t, k in zip(texts, labels)]
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))} if bags else {}
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         prior = 0.0 if not len(y) else (8.0 if y[0] else -8.0)
         return Model(np.zeros(BUCKETS), prior)
     bucket, count = _word_bags(list(vocabulary))
-    used, slot = np.unique(bucket, return_inverse=True)
+    seen = np.zeros(BUCKETS, bool)
+    seen[bucket] = True
+    used = np.flatnonzero(seen)
+    slot = (np.cumsum(seen, dtype=np.int32) - 1)[bucket]
     starts = np.cumsum(count) - count
-    word_of = np.repeat(np.arange(len(count)), count)
+    word_of = np.repeat(np.arange(len(count), dtype=np.int32), count)
     lens = np.array([len(b) for b in bags])
     pair_word = np.array([vocabulary[w] for b in bags for w in b])
     pair_start = np.cumsum(lens) - lens
@@ -97,7 +109,7 @@ def fit(texts: list[bytes], labels: list[int], dim: int = 8, steps: int = 120, r
         score = np.add.reduceat(attention * mine, pair_start)
         error = weight * (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y)
         per_word = np.bincount(pair_word, attention * np.repeat(error, lens), minlength=len(count))
-        per_bucket = np.bincount(slot, (per_word / count)[word_of], minlength=len(used)).astype(np.float32)
+        per_bucket = np.bincount(slot, (per_word / count)[word_of], minlength=len(used)).astype(np.float32)  # one number per n-gram
         toward = table.T @ per_bucket
         grads = [
             np.outer(per_bucket, apart) + np.float32(1e-8) * table,
@@ -121,7 +133,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000
     return docs.join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("_id")).select("_id", F.col("text").cast("binary").alias("text"), "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000, sample_bytes: int = 24 << 20) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000, sample_bytes: int = 16 << 20) -> Model:
     """Fit on a bounded sample: ``training_rows`` and ``sample_bytes`` in all (longer texts beyond that are left out)."""
     rows = training_rows(docs, labels, held_out, most)
     sized = rows.select("_id", "toxic", F.octet_length("text").alias("n")).collect()  # 3.5 * most small rows
@@ -132,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000, sample
             taken.append(r["_id"])
     got = {r["_id"]: r for r in rows.where(F.col("_id").isin(taken)).collect()} if len(taken) < len(sized) else {r["_id"]: r for r in rows.collect()}
     order = sorted(got)
+    del rows
     return fit([bytes(got[i]["text"] or b"") for i in order], [got[i]["toxic"] for i in order])
 
 
