@@ -96,7 +96,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), toxicity.held_out_rows(F.col("doc_id")))
-    scored = toxicity.score(docs, model, ["doc_id"])
+    scored = docs.select("doc_id", toxicity.score(docs, model, F.col("text")).alias("toxicity"))
     return scored.select(
         "doc_id", toxicity.held_out_rows(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted")
     )

@@ -20,7 +20,7 @@ BUCKETS = 1 << 19
 #: Distinct words that the training reads of a text, by class (scoring reads all).
 CLEAN_WORDS, TOXIC_WORDS = 100, 2_000
 #: Text bytes scored at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _word_bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -173,22 +173,18 @@ def _score_some(model: Model, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``toxicity``, the probability of label 1 of the whole text.
+def score(docs: DataFrame, model: Model, text: Column) -> Column:
+    """The probability of label 1 of a whole text, a column of ``docs``: only texts go through Python.
 
-    Null and empty texts score as an empty word.  A batch's distinct words are scored once.
+    Null and empty texts score as an empty word.  A slice's distinct words are scored once.
     """
-    sent = docs.select(*keep, F.col("text").cast("binary").alias("_scored_text"))
-    schema = docs.select(*keep).schema.add("toxicity", "double")
-    names = [f.name for f in schema]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the data
 
-    def run(batches):
-        for batch in batches:
-            values = _score_texts(shared.value, batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=names)
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        return pa.array(_score_texts(shared.value, texts))
 
-    return sent.mapInArrow(run, schema)
+    return probability(text.cast("binary"))
 
 
 def held_out_rows(doc_id: Column) -> Column:
@@ -198,7 +194,4 @@ def held_out_rows(doc_id: Column) -> Column:
 def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Rows whose text scores below ``threshold``; the model learns from labelled rows that are not held out."""
     model = train(docs, labels, held_out_rows(F.col("doc_id")))
-    plain = [f"c{i}" for i in range(len(docs.columns))]  # the table may have any column names
-    renamed = docs.toDF(*plain).withColumn("text", F.col(plain[docs.columns.index("text")]))
-    scored = score(renamed, model, plain)
-    return scored.where(F.col("toxicity") < threshold).drop("toxicity").toDF(*docs.columns)
+    return docs.where(score(docs, model, F.col("text")) < threshold)
