@@ -10,14 +10,21 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
+#: Values that are worked on at a time, so that they stay in a core's cache.
+BLOCK = 1 << 14
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = x ^ (x >> U64(30))
-    x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
-    x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
-    return x
+    out = np.array(x, dtype=U64, ndmin=1)
+    for at in range(0, len(out), BLOCK):
+        v = out[at : at + BLOCK]
+        v ^= v >> U64(30)
+        v *= U64(0xBF58476D1CE4E5B9)
+        v ^= v >> U64(27)
+        v *= U64(0x94D049BB133111EB)
+        v ^= v >> U64(31)
+    return out
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(MULTIPLIERS[0]))
@@ -48,7 +55,11 @@ class Rolling:
         n = len(self.sums) - size
         if n <= 0:
             return np.zeros(0, dtype=U64)
-        return mix((self.sums[size:] - self.sums[:n]) * _powers(self.mult, n, True)[:n])
+        out, back = np.empty(n, dtype=U64), _powers(self.mult, n, True)
+        for a in range(0, n, BLOCK):
+            e = min(n, a + BLOCK)
+            out[a:e] = mix((self.sums[a + size : e + size] - self.sums[a:e]) * back[a:e])
+        return out
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the symbols from each ``start`` to before its ``end``."""
@@ -58,12 +69,16 @@ class Rolling:
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest of ``width`` neighbours from each position on, by doubling."""
-    have = 1
-    while have < width:
-        step = min(have, width - have)
-        x = np.minimum(x[: len(x) - step], x[step:])
-        have += step
-    return x
+    n = max(0, len(x) - width + 1)
+    out = np.empty(n, dtype=x.dtype)
+    for at in range(0, n, BLOCK):
+        v, have = x[at : min(n, at + BLOCK) + width - 1], 1
+        while have < width:
+            step = min(have, width - have)
+            v = np.minimum(v[: len(v) - step], v[step:])
+            have += step
+        out[at : at + BLOCK] = v
+    return out
 
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -90,5 +90,5 @@ def drop_repeated_bytes(docs: DataFrame, n: int = 50) -> DataFrame:
     """
     if n < 4:
         raise ValueError("n must be at least 4")
-    rule = Rule(words=False, n=n, k=max(2, n * 14 // 25), period=96, stretches=True)
+    rule = Rule(words=False, n=n, k=max(2, n * 14 // 25), period=128, stretches=True)
     return repeats(docs, rule, _rows_of, _settle(n), _finish, _OUT)

@@ -47,7 +47,7 @@ MESSAGE_ARROW = pa.schema(
 
 @dataclass(frozen=True)
 class Rule:
-    """Windows of ``n`` words or bytes; ``k`` symbols make an anchor; segments are cut at every ``period``-th window.
+    """Windows of ``n`` words or bytes; ``k`` symbols make an anchor; segments are cut at every ``period``-th place or so, a power of two.
 
     ``stretches``: in the third round, windows under one anchor travel together.
     """
@@ -84,36 +84,36 @@ class Group:
             symbols = word_hashes(self.data, self.start, self.end)
         else:
             self.lens = np.diff(self.offsets)
-            self.doc = np.repeat(np.arange(len(self.ids)), self.lens)
+            self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lens)
             symbols = BYTE_VALUES[self.data]
         self.ends = np.cumsum(self.lens)
-        left = self.ends[self.doc] - np.arange(len(self.doc)) if len(self.doc) else np.zeros(0, np.int64)
-        #: Places where a window starts.
-        self.places = np.flatnonzero((left >= rule.n) & self.known[self.doc]) if len(left) else np.zeros(0, np.int64)
+        #: Windows of each document, and the places where they start.
+        self.windows = np.maximum(0, self.lens - rule.n + 1) * self.known
+        fits = np.repeat(np.tile([True, False], len(self.lens)), np.stack([self.windows, self.lens - self.windows], axis=1).ravel())
+        self.places = np.flatnonzero(fits)
         self.one = Rolling(symbols)
         self.two = Rolling(symbols, MULTIPLIERS[1])
 
     def segments(self):
-        """Hashes and documents of the segments; for each place its segment."""
+        """Hashes, documents and numbers of places of the segments."""
         s, n = self.places, self.rule.n
         if not len(s):
             none = np.zeros(0, U64)
             return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
         width = max(1, min(n, self.rule.k // 2))
-        cut = self.one.windows(width)[s] % U64(self.rule.period) == 0
-        cut[0] = True
-        cut[1:] |= self.doc[s[1:]] != self.doc[s[:-1]]
+        cut = (self.one.windows(width) & U64(self.rule.period - 1) == 0)[s]
+        begin = np.cumsum(self.windows) - self.windows
+        cut[begin[self.windows > 0]] = True
         first = np.flatnonzero(cut)
-        last = np.concatenate((first[1:], [len(s)])) - 1
-        a, e = s[first], s[last] + n
-        return self.one.spans(a, e), self.two.spans(a, e), self.doc[a], np.cumsum(cut) - 1
+        count = np.diff(np.append(first, len(s)))
+        a = s[first]
+        e = a + count - 1 + n
+        return self.one.spans(a, e), self.two.spans(a, e), self.doc[a], count
 
     def marked(self, answers: pa.Table):
-        """For each place, whether its segment is a repeat; and for each place whether its document owns the segment."""
-        hi, lo, doc, of = self.segments()
-        earlier = _lookup(answers, 1, hi, lo)
-        repeat = earlier < self.ids[doc]
-        return repeat[of] if len(of) else np.zeros(0, bool)
+        """For each place, whether its segment starts in an earlier document too; else its document owns the segment."""
+        hi, lo, doc, count = self.segments()
+        return np.repeat(_lookup(answers, 1, hi, lo) < self.ids[doc], count)
 
     def anchors(self, places: np.ndarray) -> np.ndarray:
         """Least k-symbol hash in the window at each place."""
@@ -250,8 +250,11 @@ def anchor_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int
     """Distinct anchors of owned windows; twice where two documents of the group have it."""
     group = Group(table, rule)
     own = group.places[~group.marked(answers)]
-    least = group.anchors(own)
-    ids = group.ids[group.doc[own]]
+    least, doc = group.anchors(own), group.doc[own]
+    if len(own):  # neighbours mostly share their anchor
+        turn = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))
+        least, doc = least[turn], doc[turn]
+    ids = group.ids[doc]
     order = np.lexsort((ids, least))
     key, doc = least[order], ids[order]
     new = np.ones(len(key), bool)
@@ -346,10 +349,10 @@ def _single_messages(group: Group, own: np.ndarray, buckets: int, contents: Call
 
 
 def _stretches(group: Group, own: np.ndarray):
-    """Places in a row, of one document, under one anchor: anchor, first (in ``own``), count, and hashes of the bytes."""
+    """Places in a row (so of one document) under one anchor: anchor, first (in ``own``), count, and hashes of the bytes."""
     least = group.anchors(own)
     new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1] + 1) | (least[1:] != least[:-1]) | (group.doc[own[1:]] != group.doc[own[:-1]])
+    new[1:] = (own[1:] != own[:-1] + 1) | (least[1:] != least[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(own)))
     a, e = own[first], own[first] + count - 1 + group.rule.n

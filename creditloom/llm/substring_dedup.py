@@ -102,6 +102,6 @@ def drop_repeated_words(docs: DataFrame, n: int = 13) -> DataFrame:
     """
     if n < 2:
         raise ValueError("n must be at least 2")
-    rule = Rule(words=True, n=n, k=max(1, (n + 1) // 2 - 1), period=40)
+    rule = Rule(words=True, n=n, k=max(1, (n + 1) // 2 - 1), period=32)
     subtrees = _subtrees(n)
     return repeats(docs, rule, _suffixes, lambda t: earliest_answers(t, 3, subtrees), _finish, _OUT)
