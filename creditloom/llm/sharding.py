@@ -28,7 +28,8 @@ def _propagate(linked: DataFrame, fixed: list[int], shards: int, capacity: int,
     """Move documents (``row, link, members, shard``) towards the shard that holds most of their link group."""
     for turn in range(rounds):
         held = linked.groupBy("link", "shard").agg(F.count("*").alias("n"))
-        favourite = held.groupBy("link").agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("to"))
+        # Cut, so that the join has its own exchanges and a hot link can be split.
+        favourite = cut(held.groupBy("link").agg(F.max_by("shard", F.struct("n", F.xxhash64("link", "shard"))).alias("to")))
         wishes = linked.join(favourite, "link")
         here = [a + b for a, b in zip(fixed, _per_shard(linked, shards))]
         wanted = _per_shard(wishes.where("to <> shard"), shards, "to")
@@ -70,7 +71,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, rounds: int = 4, slack: float
         )
     )
     total = rows.count()
-    members = rows.groupBy("link").agg(F.count("*").alias("members")).where("members > 1")
+    members = cut(rows.groupBy("link").agg(F.count("*").alias("members")).where("members > 1"))
     row = F.struct("doc_id", "size", "text_crc32")
     drawn = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")
     started = cut(rows.join(members, "link", "left").select(row.alias("row"), "link", "members", drawn.alias("shard")))
