@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,39 +46,56 @@ def slot_of(token: str, first: bool) -> tuple[str, str]:
     return low, ""
 
 
+def _pieces(raw: str, first: bool) -> tuple[list[tuple[str, str]], bool]:
+    """Template tokens and slot values of one written word, and whether the next one starts a sentence."""
+    glued = _GLUED.match(raw.strip(_TRIM))
+    parts = glued.groups() if glued and glued[2].lower() in UNITS else (raw,)
+    found = [slot_of(p, first) for p in parts]
+    return [x for x in found if x[0]], raw[-1] in ".!?:|" or (first and not raw.strip(_TRIM))
+
+
 def template(text: str) -> tuple[list[str], list[str]]:
     """Canonical tokens and slot values.  ``5kg`` is a number and a unit; bare punctuation disappears."""
     tokens, values, first = [], [], True
     for raw in text.split():
-        glued = _GLUED.match(raw.strip(_TRIM))
-        for piece in glued.groups() if glued and glued[2].lower() in UNITS else (raw,):
-            token, value = slot_of(piece, first)
-            if token:
-                tokens.append(token)
-                values.append(value)
-        first = raw[-1] in ".!?:|" or (first and not raw.strip(_TRIM))
+        some, first = _pieces(raw, first)
+        for token, value in some:
+            tokens.append(token)
+            values.append(value)
     return tokens, values
 
 
-def _codes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
-    import xxhash
-
-    out = []
-    for t in tokens:
-        code = known.get(t)
-        if code is None:
-            code = known[t] = xxhash.xxh64_intdigest(t)
-        out.append(code)
-    return mix(np.array(out, dtype=U64))
-
-
-def template_windows(text: str, sizes: tuple[int, ...], known: dict[str, int]):
-    """``(size, window hashes, tokens, values)`` for each size that fits the text."""
-    tokens, values = template(text)
-    rolling = Rolling(_codes(tokens, known)) if tokens else None
+class Codes:
+    """Hashes of the template tokens of texts; words met before come from a table of bounded size."""
+
+    def __init__(self, most: int = 300_000):
+        self.known: dict[bool, dict[str, tuple[list[int], bool]]] = {False: {}, True: {}}
+        self.most = most
+
+    def __call__(self, text: str) -> np.ndarray:
+        out: list[int] = []
+        first, inside, start = True, self.known[False], self.known[True]
+        for raw in text.split():
+            entry = (start if first else inside).get(raw)
+            if entry is None:
+                if len(inside) + len(start) > self.most:
+                    inside.clear()
+                    start.clear()
+                some, after = _pieces(raw, first)
+                entry = ([xxhash.xxh64_intdigest(token) for token, _ in some], after)
+                (start if first else inside)[raw] = entry
+            out += entry[0]
+            first = entry[1]
+        return mix(np.array(out, dtype=U64)) if out else np.zeros(0, U64)
+
+
+def template_windows(text: str, sizes: tuple[int, ...], codes: Codes):
+    """Window size and window hashes for each size that fits the text."""
+    values = codes(text)
+    rolling = Rolling(values)
     for size in sizes:
-        if rolling is not None and len(tokens) >= size:
-            yield size, rolling.windows(size) ^ U64(size), tokens, values
+        if len(values) >= size:
+            yield size, rolling.windows(size) ^ U64(size)
 
 
 _WINDOW = "item_id bigint, hash bigint, size int, slots array<string>, words string, parts int"
@@ -87,12 +105,13 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """Template windows of each item; an item shorter than ``window`` (4 tokens at least) is one window of its own size."""
 
     def run(batches):
-        known: dict[str, int] = {}
+        codes = Codes()
         for batch in batches:
             rows = {c: [] for c in ("item_id", "hash", "size", "slots", "words", "parts")}
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-                n = len(template(text or "")[0])
-                for size, hashes, tokens, values in template_windows(text or "", (min(window, n),) if n >= 4 else (), known):
+                tokens, values = template(text or "")
+                n = len(tokens)
+                for size, hashes in template_windows(text or "", (min(window, n),) if n >= 4 else (), codes):
                     for i, h in enumerate(hashes.view(np.int64).tolist()):
                         rows["item_id"].append(item)
                         rows["hash"].append(h)
@@ -114,19 +133,18 @@ def document_windows(docs: DataFrame, sizes: tuple[int, ...], wanted) -> DataFra
     """Template windows of whole documents; with ``wanted`` (a broadcast sorted array of hashes) only those in it."""
 
     def run(batches):
-        known: dict[str, int] = {}
+        codes = Codes()
         for batch in batches:
             rows = {c: [] for c in _HIT_ARROW.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                if len(known) > 500_000:
-                    known.clear()
-                for size, hashes, tokens, values in template_windows(text or "", sizes, known):
+                for size, hashes in template_windows(text or "", sizes, codes):
                     if wanted is None:
                         at = np.arange(len(hashes))
                     else:
                         place = np.minimum(np.searchsorted(wanted.value, hashes), len(wanted.value) - 1)
                         at = np.flatnonzero(wanted.value[place] == hashes)
                     signed = hashes.view(np.int64)
+                    tokens, values = template(text) if len(at) else ([], [])
                     for i in at.tolist():
                         rows["doc_id"].append(doc)
                         rows["place"].append(i)
