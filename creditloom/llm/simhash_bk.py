@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.components import components
+from creditloom.session import cut
 
 #: Fingerprints of one shard of trees, and queries that walk one copy of a shard.
 SHARD = 50_000
@@ -169,8 +169,6 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     Returns one row per input row: ``doc_id, fp`` (signed), ``component_id`` (smallest reachable ``doc_id``; null
     ids count only where a component has no other).  Equal fingerprints are one node, whatever their number.
     """
-    from creditloom.session import cut
-
     marked = cut(fingerprints(docs, size))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(nodes.select("fp"), radius)
@@ -182,8 +180,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows whose ``doc_id`` is its component's id; of rows that share the id, and of rows without any, one stays."""
+    """The rows whose ``doc_id`` is its component's id, one of those that share it; rows without an id stay, once per text."""
     found = near_duplicates(docs, **settings)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep"), "fp").groupBy("_keep").agg(F.min("fp"))
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("_keep")).distinct()
+    keep = keep.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("_keep")))
     kept = docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.withColumn("_same", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "_same"]).drop("_same")

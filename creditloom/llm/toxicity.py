@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +18,8 @@ from creditloom.llm.hashing import BYTE_VALUES, U64, Rolling, word_hashes, word_
 #: Bytes of the character n-grams of a word with its borders.
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 19
-#: Distinct words that the training reads of a text, by class (scoring reads all).
-CLEAN_WORDS, TOXIC_WORDS = 100, 2_000
+#: Distinct words that the training reads of a text, by class, or more while all have not over ``WORDS`` (scoring reads all).
+CLEAN_WORDS, TOXIC_WORDS, WORDS = 100, 2_000, 350_000
 #: Text bytes scored at a time.
 SLICE_BYTES = 1 << 20
 
@@ -72,10 +73,15 @@ def fit(texts: list[bytes], labels: list[int], dim: int = 8, steps: int = 120, r
 
     A text is the bag of its distinct words (a bounded number, see above).  Its class is read from its words weighed by how strongly they speak
     (a softmax over word margins whose sharpness grows from an average to nearly a maximum), so that one word counts
-    in a long text as in a short one.  Classes weigh the same.  Adam over all texts at once.
+    in a long text as in a short one.  Classes weigh the same.  Adam over all texts at once, with
+    one step size for all n-grams, so that those of many texts learn faster than those of few.
     """
     rng = np.random.default_rng(seed)
-    bags = [_some_words(set(words_of(t)), CLEAN_WORDS if k == 0 else TOXIC_WORDS) for t, k in zip(texts, labels)]
+    room = max(CLEAN_WORDS, WORDS // max(1, len(texts)))
+    bags = [_some_words(set(words_of(t)), room if k == 0 else max(room, TOXIC_WORDS)) for t, k in zip(texts, labels)]
+    # A word that one text alone has tells nothing about its class that others share.
+    seen_in = Counter(w for b in bags for w in b)
+    bags = [[w for w in b if seen_in[w] > 1] or b if k == 1 else b for b, k in zip(bags, labels)]
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*bags)))} if bags else {}
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
@@ -118,7 +124,7 @@ def fit(texts: list[bytes], labels: list[int], dim: int = 8, steps: int = 120, r
         ]
         for i, (p, g) in enumerate(zip(params, grads)):
             m[i] = 0.9 * m[i] + 0.1 * g
-            v[i] = 0.99 * v[i] + 0.01 * g * g
+            v[i] = 0.99 * v[i] + 0.01 * np.float32((g * g).sum() / max(1, np.count_nonzero(g)))
             p -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-8)
     gain = np.zeros(BUCKETS)
     gain[used] = table @ (head[:, 1] - head[:, 0])
@@ -130,7 +136,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).select(F.col("doc_id").cast("bigint").alias("_id"), "toxic").dropDuplicates(["_id"])
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in ((0, most * 5 // 2), (1, most))]
     chosen = some[0].unionByName(some[1])  # 3.5 * most rows at most
-    return docs.join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("_id")).select("_id", F.col("text").cast("binary").alias("text"), "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("bigint") == F.col("_id")).select("_id", F.col("text").cast("binary").alias("text"), "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000, sample_bytes: int = 16 << 20) -> Model:
