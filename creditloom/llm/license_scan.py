@@ -182,7 +182,10 @@ def template_similarity(text: str, family: str) -> float:
 
 def train(docs: DataFrame, sample: int = 300, seed: int = 11) -> Classifier:
     """Unknown paragraphs come from ``sample`` documents at most, drawn by a hash, without those that name licences."""
-    drawn = docs.where(F.col("text").isNotNull() & (F.octet_length("text") < 20_000)).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample).select("text").collect()
+    # A share of the rows by a hash, about ``sample`` of them, whatever the table's size.
+    usable = docs.where(F.col("text").isNotNull() & (F.octet_length("text") < 20_000))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, docs.count()))) < sample
+    drawn = sorted(usable.where(share).select("text").collect())
     cue = ("licen", "copyright", "warrant", "gpl", "creative commons", "public domain", "rights reserved")
     lines = [x for r in drawn for x in r["text"].split("\n") if x.strip()]
     return fit([x for x in lines if not any(c in x.lower() for c in cue)][: 8 * sample], seed)
