@@ -231,7 +231,7 @@ PRUNE = "SELECT doc_id AS id FROM documents ORDER BY doc_id * 37 % 1009 DESC, do
 
 @query("f3_prune_history", sql=PRUNE.format(n=50))
 def _(s):
-    return history.prune_history(entries(s)).select("id")
+    return history.prune_history(entries(s), 50).select("id")
 
 
 @query("f4_list_history", sql=PRUNE.format(n=7))

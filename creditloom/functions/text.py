@@ -58,9 +58,9 @@ def mask_labels(line: Column) -> Column:
 
 
 def extract_numbers(line: Column) -> Column:
-    """Numbers of a line as DECIMAL, without dates and versions."""
+    """Numbers of a line as DOUBLE, without dates and versions; any size and scale."""
     found = F.regexp_extract_all(mask_labels(line), F.lit(NUMBER_PATTERN), F.lit(0))
-    return F.transform(found, lambda t: F.translate(t, ",%", "").cast("decimal(38,6)"))
+    return F.transform(found, lambda t: F.translate(t, ",%", "").cast("double"))
 
 
 def line_skeleton(line: Column) -> Column:

@@ -6,6 +6,8 @@ running values for where it stands.  No statement trees are built.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,10 @@ NAME = r"[A-Z0-9][A-Z0-9-]*"
 MAX_COPY_DEPTH = 10
 MAX_SLICE = 4
 WHOLE_LINES, SECTION_LINES, BLOCK_LINES, OVERLAP_LINES = 600, 1500, 120, 10
-USABLE_MARKERS = """IF_ EVALUATE COMPUTE CALL_ MOVE_ PERFORM READ WRITE OPEN CLOSE INSPECT STRING UNSTRING SORT MERGE PIC_ OCCURS_"""
+# Texts that mark a chunk as usable.
+USABLE_MARKERS = (
+    "IF ", "EVALUATE", "COMPUTE", "CALL ", "MOVE ", "PERFORM", "READ", "WRITE", "OPEN", "CLOSE", "INSPECT", "STRING", "UNSTRING", "SORT", "MERGE", "PIC ", "OCCURS ",
+)
 COPY_LINE = (
     r"(?i)^(?:.{6}[ \-D]    *|\s+)COPY\s+([A-Z0-9#@$\-]+)(?:\s+IN\s+([A-Z0-9\-]+))?(?:\s+REPLACING\s+(.*?))?\.\s*$"
 )
@@ -182,49 +187,48 @@ def replacing_pairs(clause: Column) -> Column:
     )
 
 
-def reachable(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(src, dst, depth) with the least depth, up to ``max_depth`` steps.
+def reachable(edges: DataFrame) -> DataFrame:
+    """(src, dst, depth) with the least depth, for all pairs however far apart.
 
     Grows by one step per round from newly found pairs only, and stops when a
-    round finds nothing.
+    round finds nothing.  Each round is written once; none is rewritten.
     """
     step = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    seen = cut(step.withColumn("depth", F.lit(1).cast("bigint")))
-    front = seen
+    front = seen = cut(step.withColumn("depth", F.lit(1).cast("bigint")))
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         grown = front.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
         front = cut(grown.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth).cast("bigint")))
         if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front))
-    return seen
+            return seen
+        seen = seen.unionByName(front)
 
 
 def copy_closure(program_edges: DataFrame, book_edges: DataFrame, books: DataFrame, max_depth: int = MAX_COPY_DEPTH) -> DataFrame:
     """Copybooks a program needs, with least depth and status.
 
     The closure is computed once over copybooks and then joined to programs:
-    status is circular (the book reaches itself), unresolved (no such book)
-    or resolved.
+    status is circular (the book reaches itself), unresolved (no such book),
+    too_deep (nested over ``max_depth`` levels) or resolved.
     """
-    inner = reachable(book_edges.select(F.col("file").alias("src"), F.col("copybook").alias("dst")), max_depth)
+    inner = reachable(book_edges.select(F.col("file").alias("src"), F.col("copybook").alias("dst")))
     direct = program_edges.select("file", "copybook").distinct()
     deeper = direct.join(inner, direct["copybook"] == inner["src"]).select("file", F.col("dst").alias("copybook"), (F.col("depth") + 1).alias("depth"))
-    every = direct.withColumn("depth", F.lit(1).cast("bigint")).unionByName(deeper.where(F.col("depth") <= max_depth))
+    every = direct.withColumn("depth", F.lit(1).cast("bigint")).unionByName(deeper)
     least = every.groupBy("file", "copybook").agg(F.min("depth").alias("depth"))
     loops = inner.where(F.col("src") == F.col("dst")).select(F.col("src").alias("copybook"), F.lit(True).alias("_loop"))
     known = books.select(F.col("file").alias("copybook")).distinct().withColumn("_known", F.lit(True))
     j = least.join(loops, "copybook", "left").join(known, "copybook", "left")
-    status = F.when(F.col("_known").isNull(), "unresolved").when(F.col("_loop"), "circular").otherwise("resolved")
+    status = F.when(F.col("_known").isNull(), "unresolved").when(F.col("_loop"), "circular").when(F.col("depth") > max_depth, "too_deep").otherwise("resolved")
     return j.select("file", "copybook", "depth", status.alias("status"))
 
 
-def expand_copies(lines: DataFrame, books: DataFrame, max_depth: int = MAX_COPY_DEPTH) -> DataFrame:
+def expand_copies(lines: DataFrame, books: DataFrame) -> DataFrame:
     """Source with COPY lines replaced by copybook lines: (file, place, text).
 
     ``place`` sorts as text into reading order.  Missing and circular books
-    leave a comment line.  One round per nesting level, all files at once.
+    leave a comment line.  One round per nesting level, all files at once, until
+    no COPY is left: a path cannot hold a book twice, so it ends.
     """
 
     def edges_of(df: DataFrame) -> DataFrame:
@@ -244,7 +248,7 @@ def expand_copies(lines: DataFrame, books: DataFrame, max_depth: int = MAX_COPY_
         lines.select("file", slot(F.col("line_no")).alias("place"), "text", F.array().cast("array<string>").alias("path"))
     )
     done = None
-    for depth in range(max_depth + 1):
+    while True:
         front = cut(front)
         plain = front.where(F.col("copybook").isNull()).select("file", "place", "text")
         done = plain if done is None else done.unionByName(plain)
@@ -255,8 +259,6 @@ def expand_copies(lines: DataFrame, books: DataFrame, max_depth: int = MAX_COPY_
         note = lambda word: F.concat(F.lit(f"      * >>>{word} COPY: "), F.col("copybook"), F.lit("<<<"))
         done = done.unionByName(calls.where(loop).select("file", "place", note("CIRCULAR").alias("text")))
         go = calls.where(~loop)
-        if depth == max_depth:
-            return done.unionByName(go.select("file", "place", "text"))
         gone = go.join(names, go["copybook"] == names["book"], "left_anti")
         done = done.unionByName(gone.select("file", "place", note("UNRESOLVED").alias("text")))
         inner = go.join(body, go["copybook"] == body["book"])
@@ -838,8 +840,8 @@ def usable_chunks(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """
     up = F.upper("text")
     marked = F.lit(False)
-    for m in USABLE_MARKERS.split():
-        marked = marked | up.contains(m.replace("_", " "))
+    for m in USABLE_MARKERS:
+        marked = marked | up.contains(m)
     run = running_sum(lines, ["file"], "line_no", "seen", marked.cast("bigint")).select("file", "line_no", "seen")
     at = lambda c, name: run.select("file", F.col("line_no").alias(c), F.col("seen").alias(name))
     j = chunks.withColumn("_before", F.col("start_line") - 1)

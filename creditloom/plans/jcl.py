@@ -140,9 +140,9 @@ def lineage_edges(dds: DataFrame, steps: DataFrame) -> DataFrame:
     return read.unionByName(wrote).distinct()
 
 
-def data_lineage(edges: DataFrame, max_depth: int = 20) -> DataFrame:
+def data_lineage(edges: DataFrame) -> DataFrame:
     """Every dataset with the datasets derived from it: (source, target, hops)."""
-    r = reachable(edges, max_depth)
+    r = reachable(edges)
     both = r.where(F.col("src").startswith("DSN:") & F.col("dst").startswith("DSN:"))
     return both.select(
         F.expr("substring(src, 5)").alias("source"), F.expr("substring(dst, 5)").alias("target"), F.expr("depth div 2").cast("bigint").alias("hops")

@@ -110,7 +110,9 @@ def letter_lines(action: Column, letterhead: list[str], city: str, today: int) -
     for code, text in texts.items():
         body = F.when(action == code, text) if body is None else body.when(action == code, text)
     field = lambda name, n: F.rpad(F.coalesce(F.col(name), F.lit("")), n, " ")
-    lines = [(i + 1, F.lit(text)) for i, text in enumerate(letterhead[:3])]
+    if len(letterhead) > 3:
+        raise ValueError("the letter has room for three lines of letterhead")
+    lines = [(i + 1, F.lit(text)) for i, text in enumerate(letterhead)]
     lines += [
         (5, F.lit(f"{city}, le {today}")),
         (7, F.concat(F.lit("Madame, Monsieur "), field("first_name", 25), F.lit(" "), field("last_name", 30))),

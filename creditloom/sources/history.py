@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.text import source_hash
 
-MAX_ROWS = 50
 COLUMNS = ["id", "entry_type", "program_name", "source_hash", "analysis_engine", "complexity", "created_at", "payload_json"]
 
 
@@ -15,7 +14,7 @@ def history_rows(entries: DataFrame, payload: list[str]) -> DataFrame:
     """Entries to history rows; the payload columns are kept as JSON text."""
     return entries.select(
         "id", "entry_type", "program_name", source_hash(F.col("source_code")).alias("source_hash"),
-        F.substring("analysis_engine", 1, 64).alias("analysis_engine"), F.substring("complexity", 1, 32).alias("complexity"),
+        "analysis_engine", "complexity",
         "created_at", F.to_json(F.struct(*payload)).alias("payload_json"),
     )
 
@@ -32,10 +31,10 @@ def read_history(spark: SparkSession, path: str, payload_schema: str) -> DataFra
     return flat.withColumn("payload", F.from_json("payload_json", payload_schema))
 
 
-def prune_history(rows: DataFrame, n: int = MAX_ROWS) -> DataFrame:
+def prune_history(rows: DataFrame, n: int) -> DataFrame:
     """Newest n rows."""
     return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
 
 
-def list_history(rows: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
+def list_history(rows: DataFrame, limit: int) -> DataFrame:
     return prune_history(rows, limit)

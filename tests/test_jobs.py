@@ -115,3 +115,20 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_scratch_is_shared(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    from creditloom.plans import estate, jcl
+
+    chain = spark.createDataFrame([(f"{'PGM' if i % 2 else 'DSN'}:N{i}", f"{'DSN' if i % 2 else 'PGM'}:N{i + 1}") for i in range(60)], "src string, dst string")
+    hops = {(r.source, r.target): r.hops for r in jcl.data_lineage(chain).collect()}
+    assert hops["N0", "N60"] == 30 and len(hops) == 30 * 31 // 2
+    copy = lambda b: f"           COPY {b}."
+    books = [(f"B{i}", 1, copy(f"B{i + 1}")) for i in range(14)] + [("B14", 1, "           05 LEAF PIC X.")]
+    ring = [(f"R{i}", 1, copy(f"R{(i + 1) % 12}")) for i in range(12)]
+    lib = spark.createDataFrame(books + ring, "file string, line_no bigint, text string")
+    src = spark.createDataFrame([("P", 1, copy("B0")), ("Q", 1, copy("R0"))], "file string, line_no bigint, text string")
+    status = {r.copybook: (r.depth, r.status) for r in estate.copy_closure(estate.copy_edges(src), estate.copy_edges(lib), lib).collect()}
+    assert status["B14"] == (15, "too_deep") and status["B3"] == (4, "resolved") and status["R5"][1] == "circular"
+    lines = {r.file: r.text.strip() for r in estate.expand_copies(src, lib).collect()}
+    assert lines == {"P": "05 LEAF PIC X.", "Q": "* >>>CIRCULAR COPY: R0<<<"}
