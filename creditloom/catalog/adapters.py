@@ -52,7 +52,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         },
     ),
     "collateral": (
-        "lineitem", "l_linenumber <= 2",
+        "lineitem", None,
         {
             "col_id": "l_orderkey * 10 + l_linenumber", "loan_id": "l_orderkey",
             "value_cents": "CAST(ROUND(l_extendedprice * 100) AS BIGINT)",
@@ -60,7 +60,7 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         },
     ),
     "guarantee": (
-        "lineitem", "l_linenumber = 3",
+        "lineitem", None,
         {
             "gtr_id": "l_orderkey * 10 + l_linenumber", "loan_id": "l_orderkey",
             "amount_cents": "CAST(ROUND(l_extendedprice * 50) AS BIGINT)",
@@ -68,15 +68,15 @@ VIEWS: dict[str, tuple[str, str | None, dict[str, str]]] = {
         },
     ),
     "sanction": (
-        "customer", "c_custkey % 37 = 0",
+        "customer", None,
         {
-            "name_key": "CONCAT('FIRST', CAST(c_custkey % 50 AS STRING), ' LAST', CAST(c_custkey % 200 AS STRING))",
-            "cin": "LPAD(CAST((c_custkey * 7919) % 100000000 AS STRING), 8, '0')",
+            "name_key": "CASE WHEN c_custkey % 37 = 0 THEN CONCAT('FIRST', CAST(c_custkey % 50 AS STRING), ' LAST', CAST(c_custkey % 200 AS STRING)) ELSE CONCAT('LISTED ', CAST(c_custkey AS STRING)) END",
+            "cin": "CASE WHEN c_custkey % 37 = 0 THEN LPAD(CAST((c_custkey * 7919) % 100000000 AS STRING), 8, '0') ELSE CONCAT('L', CAST(c_custkey AS STRING)) END",
             "list_code": "CASE (c_custkey DIV 37) % 5 WHEN 0 THEN 'UNL' WHEN 1 THEN 'EUL' WHEN 2 THEN 'OFC' WHEN 3 THEN 'TUN' ELSE 'PEP' END",
             "severity": "1 + c_custkey % 5",
         },
     ),
-    "prior_action": ("orders", "o_orderkey % 11 = 0", {"action_id": "o_orderkey DIV 11 + 1", "loan_id": "o_orderkey", "action_type": "'SMS'"}),
+    "prior_action": ("orders", None, {"action_id": "o_orderkey + 1", "loan_id": "CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey ELSE -o_orderkey END", "action_type": "'SMS'"}),
     "bureau": (
         "events", None,
         {

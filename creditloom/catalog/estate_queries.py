@@ -232,14 +232,13 @@ def _(s):
     return estate.complexity_tier(lines, c, estate.file_bindings(code), estate.copy_edges(lines), estate.call_edges(c))
 
 
-# 1000-WORK and 3000-CHECK have two call sites each; 2000-LOOP and 4000-EXIT have one.
+# 1000-WORK and 3000-CHECK have two PERFORM sites each, 2000-LOOP has one; 4000-EXIT is only the goal of a GO TO, which is no call.
 SEG_SQL = """sg AS (SELECT file, u.p AS paragraph, u.g AS segment FROM (SELECT DISTINCT file, UNNEST([{'p': '0000-MAIN', 'g': '0000-MAIN'}, {'p': '1000-WORK', 'g': '1000-WORK'}, {'p': '2000-LOOP', 'g': '0000-MAIN'},
- {'p': '3000-CHECK', 'g': '3000-CHECK'}, {'p': '4000-EXIT', 'g': '0000-MAIN'}, {'p': '9000-DEAD', 'g': '9000-DEAD'}]) AS u FROM source_line))"""
+ {'p': '3000-CHECK', 'g': '3000-CHECK'}, {'p': '4000-EXIT', 'g': '4000-EXIT'}, {'p': '9000-DEAD', 'g': '9000-DEAD'}]) AS u FROM source_line))"""
 
 
 def segs(c):
     pars = estate.paragraphs(c)
-    # GO TO does not make a callee: only PERFORM sites count, so 4000-EXIT stands alone without them.
     return estate.segments(pars, estate.internal_calls(estate.call_edges(c), pars))
 
 
@@ -249,8 +248,8 @@ def _(s):
 
 
 @query("k23_segment_complexity", SRC, f"""WITH {SEG_SQL} SELECT file, segment, COUNT(*) AS paragraphs, {big("MAX(CASE segment WHEN '0000-MAIN' THEN 1 ELSE 0 END)")} AS loops, {big("MAX(CASE segment WHEN '0000-MAIN' THEN 3 ELSE 0 END)")} AS branches,
- {big("MAX(CASE segment WHEN '0000-MAIN' THEN 12 WHEN '1000-WORK' THEN 3 ELSE 1 END)")} AS ops, {big("MAX(CASE segment WHEN '0000-MAIN' THEN 6 + 12 + 12 WHEN '1000-WORK' THEN 3 ELSE 1 END)")} AS score_x2,
- MAX(CASE segment WHEN '0000-MAIN' THEN 'high' ELSE 'low' END) AS complexity FROM sg GROUP BY file, segment""")
+ {big("MAX(CASE segment WHEN '0000-MAIN' THEN 11 WHEN '1000-WORK' THEN 3 ELSE 1 END)")} AS ops, {big("MAX(CASE segment WHEN '0000-MAIN' THEN 6 + 12 + 11 WHEN '1000-WORK' THEN 3 ELSE 1 END)")} AS score_x2,
+ MAX(CASE segment WHEN '0000-MAIN' THEN 'medium' ELSE 'low' END) AS complexity FROM sg GROUP BY file, segment""")
 def _(s):
     c = kept(s)
     return estate.segment_complexity(segs(c), estate.control_points(c), estate.verb_counts(c))
@@ -262,15 +261,15 @@ def _(s):
     return estate.shared_symbols(estate.paragraph_symbols(c, estate.data_items(c)), segs(c))
 
 
-@query("k25_impact_slice", SRC, f"""WITH {EDGE_SQL}, ic AS (SELECT DISTINCT file, src, dst FROM ed WHERE kind <> 'CALL'), tg AS (SELECT file, paragraph AS target FROM cx WHERE para_line = line_no),
- s0 AS (SELECT file, target, target AS paragraph, 0 AS r FROM tg UNION ALL SELECT tg.file, target, dst, 1 FROM tg JOIN ic ON ic.file = tg.file AND ic.src = tg.target UNION ALL SELECT tg.file, target, src, 2 FROM tg JOIN ic ON ic.file = tg.file AND ic.dst = tg.target),
+@query("k25_impact_slice", SRC, f"""WITH {EDGE_SQL}, ic AS (SELECT DISTINCT file, src, dst FROM ed WHERE kind = 'PERFORM'), tg AS (SELECT file, paragraph AS target FROM cx WHERE para_line = line_no),
+ s0 AS (SELECT file, target, target AS paragraph, 0 AS r FROM tg UNION ALL SELECT tg.file, target, dst, 1 FROM tg JOIN ic ON ic.file = tg.file AND ic.src = tg.target UNION ALL SELECT tg.file, target, src, 2 FROM tg JOIN ic ON ic.file = tg.file AND ic.dst = tg.target UNION ALL SELECT file, target, '0000-MAIN', 3 FROM tg),
  s1 AS (SELECT file, target, paragraph, MIN(r) AS r FROM s0 GROUP BY file, target, paragraph)
- SELECT file, target, paragraph, CASE r WHEN 0 THEN 'target' WHEN 1 THEN 'callee' ELSE 'caller' END AS role, COUNT(*) OVER (PARTITION BY file, target) AS slice_size, CASE WHEN COUNT(*) OVER (PARTITION BY file, target) > 4 THEN 'section' ELSE 'paragraph' END AS scope FROM s1""")
+ SELECT file, target, paragraph, CASE r WHEN 0 THEN 'target' WHEN 1 THEN 'callee' WHEN 2 THEN 'caller' ELSE 'entry' END AS role, COUNT(*) OVER (PARTITION BY file, target) AS slice_size, CASE WHEN COUNT(*) OVER (PARTITION BY file, target) > 4 THEN 'section' ELSE 'paragraph' END AS scope FROM s1""")
 def _(s):
     c = kept(s)
     pars = estate.paragraphs(c)
     targets = pars.select("file", F.upper("paragraph").alias("target")).distinct()
-    return estate.impact_slice(targets, estate.internal_calls(estate.call_edges(c), pars))
+    return estate.impact_slice(targets, estate.internal_calls(estate.call_edges(c), pars), pars)
 
 
 @query("k27_boundary_cases", SRC, """WITH p AS (SELECT DISTINCT file, CAST(SUBSTR(file, 4) AS BIGINT) AS k FROM source_line), q AS (SELECT *, k % 12 + 3 AS n FROM p)

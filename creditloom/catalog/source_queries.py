@@ -293,11 +293,11 @@ def _(s):
     return out.select("txn_id", "cust_id", "amount_cents")
 
 
-@query("m2_aml_screen_stream", "txn cust sanction", f"""WITH {aml_ctes("SELECT t.txn_id, CONCAT(c.first_name, ' ', c.last_name) AS name, c.cin, c.nationality, ABS(t.amount_cents) * 100 AS amount_cents FROM txn t JOIN cust c ON c.cust_id = t.cust_id")}
+@query("m2_aml_screen_stream", "txn cust sanction", f"""WITH {aml_ctes("SELECT t.txn_id, CONCAT(c.first_name, ' ', c.last_name) AS name, c.cin, c.nationality, ABS(t.amount_cents) * 100 AS amount_cents FROM txn t LEFT JOIN cust c ON c.cust_id = t.cust_id")}
  SELECT txn_id, aml_clear, {big('aml_score')} AS aml_score, aml_reason FROM hits""")
 def _(s):
     who = s("cust").select("cust_id", F.concat_ws(" ", "first_name", "last_name").alias("name"), "cin", "nationality")
-    req = event_stream(s).select("txn_id", "cust_id", (F.abs("amount_cents") * 100).alias("amount_cents")).join(who, "cust_id")
+    req = event_stream(s).select("txn_id", "cust_id", (F.abs("amount_cents") * 100).alias("amount_cents")).join(who, "cust_id", "left")
     out = jobs.run_append(jobs.aml_screen_stream(req, s("sanction")), scratch_path(s.spark, "screen"))
     return out.select("txn_id", "aml_clear", "aml_score", "aml_reason")
 

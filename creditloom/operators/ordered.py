@@ -1,9 +1,12 @@
 """Ordered operators that never put a whole key into one task.
 
 A key (one file, one customer) may own a third of all rows, so every running
-value is computed in two levels: inside blocks of ``block_rows`` consecutive
-positions, then over the pre-aggregated block totals, then combined.
-Positions are integers, unique within their keys.
+value is computed in two levels: inside blocks of consecutive positions, then
+over the pre-aggregated block totals, then combined.  Rows are always dealt by
+key and block, also where the input is already dealt by key alone.  Blocks are
+``block_rows`` positions wide; where positions may lie far apart (``sparse``)
+they are range slices of the rows instead.  Positions are integers, unique
+within their keys.
 """
 
 from __future__ import annotations
@@ -37,15 +40,24 @@ def _merge(kind: str, carry: Column, here: Column) -> Column:
     return F.least(carry, here) if kind == "min" else F.greatest(carry, here)
 
 
+def _dealt(df: DataFrame, keys: list[str], pos: str, block_rows: int, sparse: bool) -> DataFrame:
+    """Rows with their block ``_blk``, one exchange by key and block."""
+    if sparse:
+        placed = range_slices(df, [*map(F.col, keys), F.col(pos)]).drop("_at").withColumnRenamed("_slice", "_blk")
+    else:
+        placed = df.withColumn("_blk", idiv(F.col(pos), block_rows))
+    return placed.repartition(*keys, "_blk")
+
+
 def running(
-    df: DataFrame, keys: list[str], pos: str, aggs: dict[str, tuple[str, Column]], block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], pos: str, aggs: dict[str, tuple[str, Column]], block_rows: int = BLOCK_ROWS, sparse: bool = False
 ) -> DataFrame:
     """Add running values up to and including each row.
 
     ``aggs`` maps a new column to (kind, column); kinds: sum, min, max, and
-    last (last non-null, a forward fill).
+    last (last non-null, a forward fill).  ``sparse`` writes the rows once.
     """
-    base = df.withColumn("_blk", idiv(F.col(pos), block_rows))
+    base = _dealt(df, keys, pos, block_rows, sparse)
     for name, (_kind, col) in aggs.items():
         base = base.withColumn(f"_in_{name}", col)
     part = [*keys, "_blk"]
@@ -67,20 +79,24 @@ def running(
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], pos: str, out: str, col: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return running(df, keys, pos, {out: ("sum", col)}, block_rows)
+def running_sum(
+    df: DataFrame, keys: list[str], pos: str, out: str, col: Column, block_rows: int = BLOCK_ROWS, sparse: bool = False
+) -> DataFrame:
+    return running(df, keys, pos, {out: ("sum", col)}, block_rows, sparse)
 
 
 def fill_forward(
-    df: DataFrame, keys: list[str], pos: str, cols: dict[str, Column], block_rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], pos: str, cols: dict[str, Column], block_rows: int = BLOCK_ROWS, sparse: bool = False
 ) -> DataFrame:
     """Last non-null value at or before each row."""
-    return running(df, keys, pos, {n: ("last", c) for n, c in cols.items()}, block_rows)
+    return running(df, keys, pos, {n: ("last", c) for n, c in cols.items()}, block_rows, sparse)
 
 
-def previous(df: DataFrame, keys: list[str], pos: str, out: str, col: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def previous(
+    df: DataFrame, keys: list[str], pos: str, out: str, col: Column, block_rows: int = BLOCK_ROWS, sparse: bool = False
+) -> DataFrame:
     """The value of the row just before, NULL on the first row of a key."""
-    base = df.withColumn("_blk", idiv(F.col(pos), block_rows)).withColumn("_v", F.struct(col.alias("v")))
+    base = _dealt(df, keys, pos, block_rows, sparse).withColumn("_v", F.struct(col.alias("v")))
     part = [*keys, "_blk"]
     local = base.withColumn("_loc", F.lag("_v").over(Window.partitionBy(*part).orderBy(pos)))
     totals = base.groupBy(*part).agg(F.max_by("_v", pos).alias("_tot"))
@@ -126,9 +142,9 @@ def dense_ids(df: DataFrame, order: list[Column], out: str, slices: int | None =
     )
 
 
-def number_by_id(df: DataFrame, id_col: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """1-based ids in the order of a unique integer column, without materializing."""
-    return row_numbers(df, [], id_col, out, block_rows)
+def number_by_id(df: DataFrame, id_col: str, out: str) -> DataFrame:
+    """1-based numbers in the order of a unique column, however far apart its values lie."""
+    return dense_ids(df, [F.col(id_col)], out)
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

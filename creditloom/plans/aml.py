@@ -72,7 +72,8 @@ def person_risk(hits: DataFrame, nationality: str = "nationality") -> DataFrame:
     name_points = F.when(F.col("name_hit"), _map(F.col("hit_list"), points, 0)).otherwise(0)
     cin_points = F.when(F.col("cin_hit"), CIN_POINTS).otherwise(0)
     nat = F.rpad(nationality, 3, " ")
-    tally = inspect_tally(F.lit(RISK_COUNTRIES.ljust(60)), nat)
+    # An unknown nationality counts nothing.
+    tally = F.coalesce(inspect_tally(F.lit(RISK_COUNTRIES.ljust(60)), nat), F.lit(0))
     label = F.rpad(_map(F.col("hit_list"), LIST_LABELS, ""), 20, " ")
     found = F.when(
         F.col("name_hit"),
@@ -81,7 +82,7 @@ def person_risk(hits: DataFrame, nationality: str = "nationality") -> DataFrame:
     return hits.withColumns(
         {
             "person_points": (name_points + cin_points + tally).cast("bigint"),
-            "listed_country": nat.isin(*RISK_COUNTRIES.split()),
+            "listed_country": F.coalesce(nat.isin(*RISK_COUNTRIES.split()), F.lit(False)),
             "hit_reason": found,
         }
     ).drop("name_hit", "cin_hit", "hit_list", "hit_severity")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from creditloom.functions import conditions as cond
 from creditloom.functions.pic import CLEAN, LITERAL, band, check_mode, clamp, idiv, percent_of, ratio, store, years_between_yyyymmdd
 from creditloom.operators.ordered import fill_forward, number_by_id
+from creditloom.session import cut
 from creditloom.plans.aml import aml_outcome, aml_score, loan_name_key, person_risk, sanction_hits
 
 # Scoring thresholds (ratios at scale 4), weights in percent.
@@ -330,7 +331,7 @@ def carry_rate(scored: DataFrame) -> DataFrame:
     last_max = F.when(granted, F.col("max_loan_cents")).when(F.col("decision") == "DC", F.lit(0).cast("bigint"))
     filled = fill_forward(
         scored, [], "loan_id",
-        {"carried_rate_e4": F.when(granted, F.col("max_rate_e4")), "carried_max_cents": last_max},
+        {"carried_rate_e4": F.when(granted, F.col("max_rate_e4")), "carried_max_cents": last_max}, sparse=True,
     )
     zero = F.lit(0).cast("bigint")
     return filled.withColumns(
@@ -339,7 +340,8 @@ def carry_rate(scored: DataFrame) -> DataFrame:
 
 
 def score_result(scored: DataFrame, today: int, mode: str = CLEAN) -> DataFrame:
-    """Result rows with running ids in loan order."""
+    """Result rows with running ids in loan order; the evaluation is written once, as the numbering reads it twice."""
+    scored = cut(scored)
     if check_mode(mode) == LITERAL:
         scored = carry_rate(scored).withColumns(
             {"max_rate_e4": F.col("carried_rate_e4"), "max_loan_cents": F.col("carried_max_cents")}

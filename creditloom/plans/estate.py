@@ -241,7 +241,11 @@ def expand_copies(lines: DataFrame, books: DataFrame) -> DataFrame:
             }
         )
 
-    slot = lambda c: F.lpad(c.cast("string"), 9, "0")
+    def slot(c: Column) -> Column:
+        """Sorts like the number: nine digits, longer numbers behind a letter for their length."""
+        digits = c.cast("string")
+        return F.when(F.length(digits) <= 9, F.lpad(digits, 9, "0")).otherwise(F.concat(F.char(F.length(digits) + 55), digits))
+
     body = cut(books.select(F.upper("file").alias("book"), F.col("line_no").alias("book_line"), F.col("text").alias("book_text")))
     names = cut(body.select("book").distinct())
     front = edges_of(
@@ -434,9 +438,9 @@ def procedure_lines_all(ctx: DataFrame) -> DataFrame:
 
 
 def internal_calls(edges: DataFrame, pars: DataFrame) -> DataFrame:
-    """PERFORM and GO TO edges between known paragraphs of one file."""
+    """PERFORM edges between known paragraphs of one file; a GO TO is no call."""
     known = pars.select("file", F.upper("paragraph").alias("dst")).distinct()
-    e = edges.where(F.col("kind") != "CALL").withColumn("dst", F.upper("dst"))
+    e = edges.where(F.col("kind").isin("PERFORM", "PERFORM THRU")).withColumn("dst", F.upper("dst"))
     return e.join(known, ["file", "dst"], "left_semi")
 
 
@@ -722,18 +726,24 @@ def shared_symbols(symbols: DataFrame, segs: DataFrame) -> DataFrame:
     return agg.where((F.col("segments") > 1) & F.col("_w")).drop("_w")
 
 
-def impact_slice(targets: DataFrame, calls: DataFrame) -> DataFrame:
+def impact_slice(targets: DataFrame, calls: DataFrame, pars: DataFrame) -> DataFrame:
     """Target, callees and callers one hop away, and whether to widen: (file, target, paragraph, role).
 
-    ``targets(file, target)``; all targets are sliced in one job.
+    ``targets(file, target)``; all targets are sliced in one job.  The first paragraph of the file joins as ``entry``
+    where it calls anything or the target has a caller.
     """
     c = calls.where(F.col("src").isNotNull()).select("file", F.upper("src").alias("src"), F.upper("dst").alias("dst")).distinct()
     me = targets.select("file", "target", F.col("target").alias("paragraph"), F.lit(0).alias("role"))
     out = targets.join(c.withColumnRenamed("src", "target"), ["file", "target"]).select("file", "target", F.col("dst").alias("paragraph"), F.lit(1).alias("role"))
     inc = targets.join(c.withColumnRenamed("dst", "target"), ["file", "target"]).select("file", "target", F.col("src").alias("paragraph"), F.lit(2).alias("role"))
-    every = me.unionByName(out).unionByName(inc).groupBy("file", "target", "paragraph").agg(F.min("role").alias("role"))
+    first = pars.groupBy("file").agg(F.upper(F.min_by("paragraph", "line_no")).alias("paragraph"))
+    busy = c.select("file", F.col("src").alias("paragraph")).distinct().withColumn("_calls", F.lit(True))
+    called = c.select("file", F.col("dst").alias("target")).distinct().withColumn("_called", F.lit(True))
+    start = targets.join(first.join(busy, ["file", "paragraph"], "left"), "file").join(called, ["file", "target"], "left")
+    start = start.where(F.col("_calls").isNotNull() | F.col("_called").isNotNull()).select("file", "target", "paragraph", F.lit(3).alias("role"))
+    every = me.unionByName(out).unionByName(inc).unionByName(start).groupBy("file", "target", "paragraph").agg(F.min("role").alias("role"))
     size = every.groupBy("file", "target").agg(F.count("*").alias("slice_size"))
-    names = F.when(F.col("role") == 0, "target").when(F.col("role") == 1, "callee").otherwise("caller")
+    names = F.when(F.col("role") == 0, "target").when(F.col("role") == 1, "callee").when(F.col("role") == 2, "caller").otherwise("entry")
     return every.join(size, ["file", "target"]).select(
         "file", "target", "paragraph", names.alias("role"), "slice_size", F.when(F.col("slice_size") > MAX_SLICE, "section").otherwise("paragraph").alias("scope")
     )

@@ -51,7 +51,7 @@ def failed_lines(txns: DataFrame, master: DataFrame) -> DataFrame:
 def running_balance(txns: DataFrame, master: DataFrame) -> DataFrame:
     """Balance after each posted transaction, in transaction order."""
     matched, _ = split_transactions(txns, master)
-    run = running_sum(matched, ["cust_id"], "txn_id", "run_cents", F.col("amount_cents"))
+    run = running_sum(matched, ["cust_id"], "txn_id", "run_cents", F.col("amount_cents"), sparse=True)
     opened = master.select("cust_id", F.col("balance_cents").alias("opening_cents"))
     return run.join(opened, "cust_id").select(
         "txn_id", "cust_id", "amount_cents", (F.col("opening_cents") + F.col("run_cents")).alias("balance_cents")

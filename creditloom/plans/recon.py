@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from creditloom.functions import text as tx
 from creditloom.functions.pic import idiv
 from creditloom.operators.matching import longest_literal
-from creditloom.operators.ordered import first_n, previous, row_numbers
+from creditloom.operators.ordered import dense_ids, first_n, previous, row_numbers
 from creditloom.session import cut
 from creditloom.sources.layouts import Field
 
@@ -66,11 +66,13 @@ def collapse_blanks(lines: DataFrame) -> DataFrame:
     """Trailing blanks cut, runs of blank lines made one, blank edges dropped, re-numbered."""
     base = lines.select("file", "line_no", F.regexp_replace("text", r"\s+$", "").alias("text"))
     base = base.withColumn("_blank", F.col("text") == "")
-    seen = previous(base, ["file"], "line_no", "_prev", F.col("_blank"))
+    # Places without gaps make full blocks; what follows reads the written rows.
+    base = dense_ids(base, [F.col("file"), F.col("line_no")], "_at")
+    seen = previous(base, ["file"], "_at", "_prev", F.col("_blank"))
     kept = seen.where(~(F.col("_blank") & F.coalesce("_prev", F.lit(True))))
-    last = base.where(~F.col("_blank")).groupBy("file").agg(F.max("line_no").alias("_last"))
-    kept = kept.join(last, "file").where(F.col("line_no") <= F.col("_last"))
-    out = row_numbers(kept, ["file"], "line_no", "new_no")
+    last = base.where(~F.col("_blank")).groupBy("file").agg(F.max("_at").alias("_last"))
+    kept = cut(kept.join(last, "file").where(F.col("_at") <= F.col("_last")))
+    out = row_numbers(kept, ["file"], "_at", "new_no")
     return out.select("file", F.col("new_no").alias("line_no"), "text")
 
 
@@ -414,10 +416,10 @@ def diff_directory(expected: DataFrame, actual: DataFrame) -> DataFrame:
 # --- JSON --------------------------------------------------------------------
 
 def _kind(v: str) -> Column:
-    """Type family of a variant value."""
+    """Type family of a variant value; no value at all counts as null, whole numbers beyond 64 bits as int."""
     s = F.schema_of_variant(F.col(v))
     return (
-        F.when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").when(s == "STRING", "str")
+        F.when(F.col(v).isNull(), "NoneType").when(s.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "int").when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").when(s == "STRING", "str")
         .when(s == "BOOLEAN", "bool").when(s == "BIGINT", "int").when(s == "VOID", "NoneType").otherwise("float")
     )
 
@@ -426,12 +428,19 @@ def diff_json(pairs: DataFrame) -> DataFrame:
     """Path-wise differences of ``pairs(doc_id, expected, actual)`` JSON texts.
 
     Both documents are walked together one nesting level per step, all
-    documents at once; the walk ends when no containers are left.
+    documents at once; the walk ends when no containers are left.  Children
+    meet by their steps, so keys may hold dots and brackets.  A NULL text counts
+    as null; a pair with a text that is no JSON gives one row of kind
+    ``unparsed`` that says which side is invalid (compare such pairs by line).
     """
-    front = pairs.select(
-        "doc_id", F.lit("").alias("path"), F.parse_json("expected").alias("e"), F.parse_json("actual").alias("a")
+    read = pairs.select("doc_id", "expected", "actual", F.try_parse_json("expected").alias("e"), F.try_parse_json("actual").alias("a"))
+    bad = lambda text, v: F.col(text).isNotNull() & F.col(v).isNull()
+    broken = bad("expected", "e") | bad("actual", "a")
+    verdict = lambda text, v: F.when(bad(text, v), "invalid").otherwise("valid")
+    out = read.where(broken).select(
+        "doc_id", F.lit("$").alias("path"), F.lit("unparsed").alias("kind"), verdict("expected", "e").alias("expected"), verdict("actual", "a").alias("actual")
     )
-    out = None
+    front = read.where(~broken).select("doc_id", F.lit("").alias("path"), F.array().cast("array<string>").alias("steps"), "e", "a")
     while True:
         typed = cut(front.withColumns({"ek": _kind("e"), "ak": _kind("a")}))
         at = F.when(F.col("path") == "", "$").otherwise(F.col("path"))
@@ -444,20 +453,24 @@ def diff_json(pairs: DataFrame) -> DataFrame:
         )
         inner = typed.where(same & F.col("ek").isin("dict", "list"))
         if inner.isEmpty():
-            return here if out is None else out.unionByName(here)
+            return out.unionByName(here)
 
         def children(side: str) -> DataFrame:
             ex = inner.sparkSession.sql(
-                f"SELECT doc_id, path, ek, x.pos, x.key, x.value AS {side}v FROM {{front}}, LATERAL variant_explode({side}) x",
+                f"SELECT doc_id, path, steps, ek, x.pos, x.key, x.value AS {side}v FROM {{front}}, LATERAL variant_explode({side}) x",
                 front=inner,
             )
             p = F.col("path")
             child = F.when(F.col("ek") == "list", F.concat(p, F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
                 F.when(p == "", F.col("key")).otherwise(F.concat(p, F.lit("."), F.col("key")))
             )
-            return ex.select("doc_id", child.alias("cpath"), F.col("path").alias(f"{side}_up"), F.col("ek").alias(f"{side}_ek"), f"{side}v")
+            step = F.when(F.col("ek") == "list", F.col("pos").cast("string")).otherwise(F.col("key"))
+            return ex.select(
+                "doc_id", F.array_append("steps", step).alias("steps"), child.alias(f"{side}_path"), F.col("path").alias(f"{side}_up"),
+                F.col("ek").alias(f"{side}_ek"), f"{side}v",
+            )
 
-        both = cut(children("e").join(children("a"), ["doc_id", "cpath"], "full"))
+        both = cut(children("e").join(children("a"), ["doc_id", "steps"], "full").withColumn("cpath", F.coalesce("e_path", "a_path")))
         one_side = both.where(F.col("ev").isNull() | F.col("av").isNull())
         in_dict = F.coalesce("e_ek", "a_ek") == "dict"
         none = F.lit(None).cast("string")
@@ -466,14 +479,15 @@ def diff_json(pairs: DataFrame) -> DataFrame:
             none.alias("expected"), none.alias("actual"),
         )
         up = F.coalesce("e_up", "a_up")
-        lens = both.where(~in_dict).groupBy("doc_id", up.alias("path")).agg(F.count("ev").alias("n"), F.count("av").alias("m"))
+        owner = F.slice("steps", 1, F.size("steps") - 1)
+        lens = both.where(~in_dict).groupBy("doc_id", owner.alias("owner"), up.alias("path")).agg(F.count("ev").alias("n"), F.count("av").alias("m"))
         # An empty list on one side has no children there, so counts still differ.
         sizes = lens.where(F.col("n") != F.col("m")).select(
             "doc_id", F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), F.lit("length").alias("kind"),
             F.col("n").cast("string").alias("expected"), F.col("m").cast("string").alias("actual"),
         )
         found = here.unionByName(keys).unionByName(sizes)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
         front = both.where(F.col("ev").isNotNull() & F.col("av").isNotNull()).select(
-            "doc_id", F.col("cpath").alias("path"), F.col("ev").alias("e"), F.col("av").alias("a")
+            "doc_id", F.col("cpath").alias("path"), "steps", F.col("ev").alias("e"), F.col("av").alias("a")
         )

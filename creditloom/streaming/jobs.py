@@ -17,10 +17,12 @@ def matched_stream(txns: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def post_transactions_stream(txns: DataFrame, master: DataFrame) -> DataFrame:
-    """Balance deltas and counts per customer, updated as transactions arrive."""
-    return matched_stream(txns, master).where(F.col("posted")).groupBy("cust_id").agg(
-        F.sum("amount_cents").alias("delta_cents"), F.count("*").alias("txns")
-    )
+    """Balance deltas and counts per customer, updated as transactions arrive.
+
+    Summed before the join, so that a hot customer meets the master as one row.
+    """
+    sums = txns.groupBy("cust_id").agg(F.sum("amount_cents").alias("delta_cents"), F.count("*").alias("txns"))
+    return sums.join(master.select("cust_id"), "cust_id", "left_semi")
 
 
 def failed_transactions_stream(txns: DataFrame, master: DataFrame) -> DataFrame:
@@ -34,7 +36,12 @@ def aml_screen_stream(txns: DataFrame, sanctions: DataFrame) -> DataFrame:
 
 
 def dedupe_submissions(submissions: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Pass each content once within the delay; later copies are dropped."""
+    """Pass each content once within the delay; later copies are dropped.
+
+    State is bounded by the watermark: a copy that comes more than ``delay`` after the last one passes again, and
+    rows older than the watermark are dropped by Spark, also where they are a first copy.  Choose ``delay`` above the
+    longest lateness.
+    """
     keyed = submissions.withColumn("source_hash", source_hash(F.col("content")))
     return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["source_hash"])
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from creditloom.catalog.adapters import view
 from creditloom.plans import estate, jcl, recon
 from creditloom.session import scratch_path
 from creditloom.sources import fixed, layouts, portfolio
@@ -109,7 +110,8 @@ def test_plans_stay_in_spark(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = entry.queries()["c2_loan_collateral"](spark, f"{ROOT}/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_linenumber), LessThanOrEqual(l_linenumber,2)" in plan
+    some = view(spark, f"{ROOT}/sf0.001", "collateral").where("loan_id <= 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_orderkey), LessThanOrEqual(l_orderkey,2)" in some
     assert "l_comment" not in plan and "l_tax" not in plan
 
 
@@ -132,3 +134,18 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert status["B14"] == (15, "too_deep") and status["B3"] == (4, "resolved") and status["R5"][1] == "circular"
     lines = {r.file: r.text.strip() for r in estate.expand_copies(src, lib).collect()}
     assert lines == {"P": "05 LEAF PIC X.", "Q": "* >>>CIRCULAR COPY: R0<<<"}
+
+
+def test_json_with_dotted_keys_nulls_bad_texts_and_large_numbers(spark):
+    from creditloom.plans import recon
+
+    same = '{"a": {"b.c": 1}, "a.b": {"c": 2}}'
+    rows = [
+        (1, same, same), (2, None, None), (3, "{}", None), (4, "{bad", "{}"), (5, '{"n": 123456789012345678901}', '{"n": 5}'),
+        (6, '{"a": {"b.c": 1}, "a.b": {"c": 2}}', '{"a": {"b.c": 3}, "a.b": {"c": 2}}'), (7, '{"x": [1, {"y": [2]}]}', '{"x": [1, {"y": []}]}'),
+    ]
+    found = recon.diff_json(spark.createDataFrame(rows, "doc_id long, expected string, actual string")).collect()
+    assert sorted(tuple(r) for r in found) == [
+        (3, "$", "type", "dict", "NoneType"), (4, "$", "unparsed", "invalid", "valid"), (5, "n", "value", "123456789012345678901", "5"),
+        (6, "a.b.c", "value", "1", "3"), (7, "x[1].y", "length", "1", "0"),
+    ]

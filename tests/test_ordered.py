@@ -85,3 +85,27 @@ def test_longest_literal(spark):
     for t in texts:
         hits = [(-len(l), i, o) for _, o, l, i in lits if l.lower() in t.lower()]
         assert got[t] == ((min(hits)[2], -min(hits)[0]) if hits else (None, None)), t
+
+
+def test_running_values_over_far_apart_positions(spark):
+    rows = [(k, p * 2**40, v, m) for k, p, v, m in skewed(seed=5)]
+    df = spark.createDataFrame(rows, "k string, pos long, v long, m string").repartition(5)
+    out = ordered.running(df, ["k"], "pos", {"s": ("sum", F.col("v")), "l": ("last", F.col("m"))}, sparse=True)
+    out = ordered.previous(out, ["k"], "pos", "p", F.col("v"), sparse=True)
+    got = {(r.k, r.pos): (r.s, r.l, r.p) for r in out.collect()}
+    state, want = {}, {}
+    for k, pos, v, m in rows:
+        s, l, p = state.get(k, (0, None, None))
+        want[k, pos] = (s + v, m or l, p)
+        state[k] = (s + v, m or l, v)
+    assert got == want
+    numbers = ordered.number_by_id(df.select("pos").distinct(), "pos", "n").collect()
+    assert [r.n for r in sorted(numbers)] == list(range(1, len(numbers) + 1))
+
+
+def test_blocks_of_a_hot_key_are_dealt_apart(spark):
+    """Also where the rows come in dealt by the key alone."""
+    df = spark.createDataFrame(skewed(), "k string, pos long, v long, m string")
+    joined = df.join(df.groupBy("k").agg(F.count("*").alias("n")).hint("merge"), "k")
+    plan = ordered.running_sum(joined, ["k"], "pos", "s", F.col("v"), block_rows=7)._jdf.queryExecution().executedPlan().toString()
+    assert any("hashpartitioning(k#" in line and "_blk#" in line for line in plan.splitlines())
