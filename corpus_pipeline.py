@@ -14,7 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
+    """The document with the smallest id of each group of near copies: five-word shingles, similarity of 0.8 or more."""
     return simhash_bk.one_of_each(docs)
 
 

@@ -14,23 +14,30 @@ from creditloom.session import cut
 #: Fingerprints of one shard of trees, and queries that walk one copy of a shard.
 SHARD = 50_000
 QUERIES = 8_192
+#: The same where shingle sets travel along: entries of a shard, and nodes of one block of a large key.
+SHARD_SETS = 8_192
+BLOCK = 1_024
 BLOCKS = 4
 
 
-def fingerprint(text: bytes, size: int) -> int:
-    """64 bits, each set where over half of the shingle hashes have it; no words: 0."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of ``size`` words, repeats included; of all words where there are fewer."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends.tolist()
     last = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:e], 42) for a, e in zip(starts[:last], ends[min(size, len(words)) - 1 :])], dtype=np.uint64
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it; no hashes: 0."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)].astype("<u8")
@@ -39,6 +46,11 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: bytes, size: int) -> int:
+    """The SimHash of a text's shingles."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id`` and the signed 64-bit ``fp`` of each row's text."""
 
@@ -179,9 +191,124 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return marked.join(per_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _band_keys(shingles: np.ndarray, bands: int) -> list[int]:
+    """One key for each pair of least hashes of a shingle set, under hash functions that depend on the band alone."""
+    factors = np.random.default_rng(7).integers(1, 2**62, 2 * bands, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    mixed = shingles ^ (shingles >> np.uint64(31))
+    least = np.array([(mixed * f).min() for f in factors], dtype="<u8")
+    return [xxhash.xxh64_intdigest(least[2 * i : 2 * i + 2].tobytes(), i) for i in range(bands)]
+
+
+def _shingle_sets(docs: DataFrame, size: int, bands: int) -> DataFrame:
+    """``doc_id``, ``node`` (hash of the text's shingle set) and its ``fp`` and ``keys``; with no bands, the ``shingles`` instead."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or b"", size)) for t in batch.column("text").to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            if bands:
+                fps = np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64)
+                keys = [np.array(_band_keys(x, bands) if len(x) else [], np.uint64).view(np.int64) for x in sets]
+                more = [pa.array(fps), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), *more], names=["doc_id", "node", "fp", "keys"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, keys array<bigint>" if bands else "node bigint, shingles binary")
+
+
+def _verified_links(table: pa.Table, radius: int, similarity: float) -> pa.Table:
+    """Links of one shard: tree searches find candidates, shingle sets decide; thinned to a star per local component."""
+    fps = np.asarray(table.column("fp")).view(np.uint64)
+    trees = np.asarray(table.column("tree"), dtype=np.int64)
+    nodes, first, at = np.unique(np.asarray(table.column("node")), return_index=True, return_inverse=True)
+    forest = BKTrees(trees, fps)
+    column = table.column("shingles")
+    sets = [np.frombuffer(column[int(i)].as_py(), np.uint64) for i in first]
+    sizes = np.array([len(x) for x in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    marked = np.zeros(int(sizes.sum()) + 1, bool)
+    label = np.arange(len(nodes))
+    # Queries by tree, in steps whose pairs stay few even where each search reads its whole tree.
+    order = np.argsort(trees, kind="stable")
+    largest = int(np.unique(trees, return_counts=True)[1].max())
+    step = max(1, 2_000_000 // largest)
+    for begin in range(0, len(order), step):
+        some = order[begin : begin + step]
+        asked, found = [], []
+        for q, node in forest.links(trees[some], fps[some], radius):
+            a, b = at[some[q]], at[node]
+            low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            fit = (a < b) & (low >= similarity * high - 1) & (label[a] != label[b])
+            asked.append(a[fit])
+            found.append(b[fit])
+        asked, found = np.concatenate(asked), np.concatenate(found)
+        by = np.argsort(asked, kind="stable")
+        asked, found = asked[by], found[by]
+        cuts = np.flatnonzero(np.diff(asked)) + 1
+        for a, near in zip(asked[np.r_[0, cuts]] if len(asked) else [], np.split(found, cuts)):
+            near = near[label[near] != label[a]]
+            if not len(near):
+                continue
+            marked[ids[a]] = True
+            starts = np.cumsum(sizes[near]) - sizes[near]
+            both = np.add.reduceat(marked[np.concatenate([ids[b] for b in near])], starts, dtype=np.int64)
+            marked[ids[a]] = False
+            for b in near[both / (sizes[a] + sizes[near] - both) >= similarity]:
+                x, y = sorted((label[a], label[b]))
+                if x != y:
+                    label[label == y] = x
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"a": nodes[label[linked]], "b": nodes[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 10) -> DataFrame:
+    """Components of documents whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Words are as in ``near_duplicates``; texts with one shingle set are one node (by its 64-bit hash), texts without
+    words, or null, are one node too.  Three bits only find texts that hardly differ, so trees here stand on ``bands``
+    keys of two least shingle hashes, searches reach ``radius`` bits, and shingle sets confirm every link.  Two texts at
+    0.8 miss all 10 keys with a chance of 4 in 100,000; more bands make that smaller.  Only texts that share a key send
+    their shingles.  A key with over ``BLOCK`` nodes is dealt by pairs of blocks, so that a task holds at most two
+    blocks of a key and no pair is left out.
+
+    Rows without an id take no part.  Returns one row per ``doc_id`` and node: ``doc_id, node, component_id`` (the
+    smallest ``doc_id`` of the component).
+    """
+    rows = docs.where(F.col("doc_id").isNotNull())
+    marked = cut(_shingle_sets(rows, size, bands))
+    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
+    keyed = marked.select("node", "fp", F.explode("keys").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    entries = cut(keyed.join(shared, "key"))
+    wanted = entries.select("node").distinct().join(nodes, "node")
+    texts = rows.join(wanted.select(F.col("least").alias("_least")), F.col("doc_id").cast("bigint") == F.col("_least"), "left_semi")
+    sets = _shingle_sets(texts, size, 0).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    blocks = F.ceil(F.col("_n") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    others = F.when(blocks == 1, F.array(F.lit(0).cast("bigint"))).otherwise(
+        F.filter(F.sequence(F.lit(0).cast("bigint"), blocks - 1), lambda x: x != own)
+    )
+    dealt = entries.select("node", "fp", "key", own.alias("_own"), F.explode(others).alias("_other"))
+    dealt = dealt.withColumn("tree", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")))
+    dealt = cut(dealt.select("node", "fp", "tree"))
+    shards = dealt.count() // SHARD_SETS + 1
+    ready = dealt.join(sets, "node").select("node", "fp", "tree", "shingles", F.pmod("tree", F.lit(shards)).alias("shard"))
+    edges = ready.groupBy("shard").applyInArrow(lambda t: _verified_links(t, radius, similarity), "a bigint, b bigint")
+    found = components(edges).withColumnRenamed("component", "root")
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    per_node = cut(rooted.select("node", "root").join(least, "root").select("node", "component_id"))
+    return marked.select("doc_id", "node").distinct().join(per_node, "node").select("doc_id", "node", "component_id")
+
+
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows whose ``doc_id`` is its component's id, one of those that share it; rows without an id stay, once per text."""
-    found = near_duplicates(docs, **settings)
+    """The rows whose ``doc_id`` is its component's id, one of those that share it; rows without an id stay, once per text.
+
+    Components are those of ``similar_documents``, with its settings.
+    """
+    found = similar_documents(docs, **settings)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("_keep")).distinct()
     keep = keep.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("_keep")))
     kept = docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep")), "left_semi")

@@ -100,9 +100,52 @@ def test_bk_trees_link_what_brute_force_links(docs, rows):
         if i is not None:
             least[group[fingerprint(t)]].append(i)
     assert all(r.component_id == min(least[group[r.fp % 2**64]], default=None) for r in got)
-    kept = simhash_bk.one_of_each(docs)
+
+
+def brute_similar(pairs, size=5, similarity=0.8):
+    """Smallest id of each component of texts by exact Jaccard similarity of shingle sets."""
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+    sets = [(i, shingles(t)) for i, t in pairs if i is not None]
+    group = {x: x for _, x in sets}
+    distinct = list(group)
+    for k, a in enumerate(distinct):
+        for b in distinct[:k]:
+            if a and b and len(a & b) / len(a | b) >= similarity and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = {x: new if g == old else g for x, g in group.items()}
+    least = {}
+    for i, x in sets:
+        least[group[x]] = min(i, least.get(group[x], i))
+    return Counter({(i, least[group[x]]) for i, x in sets})
+
+
+@pytest.mark.parametrize("block", [1_024, 7])
+def test_similar_documents_are_one_component(spark, docs, rows, monkeypatch, block):
+    """Near copies of a text by one to six words, chains of them, and pairs below the bound; large keys in blocks."""
+    monkeypatch.setattr(simhash_bk, "BLOCK", block)
+    monkeypatch.setattr(simhash_bk, "SHARD_SETS", 100)
+    r = random.Random(9)
+    more, base = [], [f"w{r.randrange(5000)}" for _ in range(150)]
+    for i in range(60):
+        copy = list(base)
+        for _ in range(i % 7):
+            copy[r.randrange(150)] = f"z{i}"
+        more.append((1000 + i, " ".join(copy), "s0"))
+        if i % 10 == 9:
+            base = copy
+    more += [(2000 + i, " ".join(base[: 12 + i]), "s1") for i in range(12)]
+    frame = docs.unionByName(docs_of(spark, more))
+    got = simhash_bk.similar_documents(frame).collect()
+    wanted = brute_similar([(i, t) for i, t, _ in rows + more])
+    assert Counter((x.doc_id, x.component_id) for x in got) == wanted
+    assert 20 < len({c for _, c in wanted}) < len(wanted) - 40
+    kept = simhash_bk.one_of_each(frame)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({r.component_id for r in got} | {None})
+    assert Counter(x.doc_id for x in kept.collect()) == Counter({c for _, c in wanted} | {None})
 
 
 def test_dense_fingerprints_keep_all_links(spark, monkeypatch):
@@ -280,6 +323,7 @@ def test_empty_tables(spark, empty):
     assert substring_dedup.drop_repeated_words(empty).count() == 0
     assert parse_dedup.drop_repeated_bytes(empty).count() == 0
     assert simhash_bk.near_duplicates(empty).count() == 0 and simhash_bk.one_of_each(empty).count() == 0
+    assert simhash_bk.similar_documents(empty).count() == 0
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     assert sharding.shard_rows(empty).count() == 0 and sharding.sharded_documents(empty).count() == 0
 
@@ -295,7 +339,7 @@ def test_pipeline_stages(spark):
     assert clean.columns == docs.columns and len(texts) > 0.7 * docs.count()
     single = stages[names[1]](spark, clean, DATA)
     left = {r.doc_id for r in single.collect()}
-    assert left == {r.component_id for r in simhash_bk.near_duplicates(clean).collect()}
+    assert left == {least for _, least in brute_similar(texts.items())}
     kept = stages[names[2]](spark, single, DATA)
     bench = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert {r.doc_id for r in kept.collect()} == {i for i in left if not any(b in " ".join(texts[i].split()) for b in (" ".join(b.split()) for b in bench))}
