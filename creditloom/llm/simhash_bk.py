@@ -278,9 +278,14 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     """
     rows = docs.where(F.col("doc_id").isNotNull())
     marked = cut(_shingle_sets(rows, size, bands))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least")))
-    keyed = marked.select("node", "fp", F.explode("keys").alias("key")).distinct()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    described = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    nodes = described.select("node", "least")
+    keyed = described.select("node", "fp", F.explode("keys").alias("key"))
+    # Close texts share most keys: of keys with the same nodes, told by count and two sums of hashes, one is enough.
+    shared = keyed.groupBy("key").agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")
+    )
+    shared = shared.where("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key", "_n")
     entries = cut(keyed.join(shared, "key"))
     wanted = entries.select("node").distinct().join(nodes, "node")
     texts = rows.join(wanted.select(F.col("least").alias("_least")), F.col("doc_id").cast("bigint") == F.col("_least"), "left_semi")
@@ -310,6 +315,6 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """
     found = similar_documents(docs, **settings)
     keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("_keep")).distinct()
-    keep = keep.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("_keep")))
-    kept = docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.withColumn("_same", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).dropDuplicates(["doc_id", "_same"]).drop("_same")
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.join(keep, F.col("doc_id").cast("bigint") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
