@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,6 +127,12 @@ def fit(corpus: list[str], seed: int = 11, steps: int = 150) -> Classifier:
                 lead = list(rng.choice(["This", "project", "file", "data", "Code", "is", "The", "text", "work"], rng.integers(0, 4)))
                 texts.append(" ".join(lead + some))
                 y.append(k)
+            for at in range(0, len(words) - PIECE, PIECE // 2):  # as lines of a wrapped notice
+                texts.append(" ".join(words[at : at + PIECE + 4]))
+                y.append(k)
+            for x in re.split(r"(?<=[.]) (?=[A-Z])", text):
+                texts += [x] * (x not in _SHARED and x != text)
+                y += [k] * (x not in _SHARED and x != text)
     some = OTHERS * 8 + list(corpus)
     texts += some
     y += [len(families)] * len(some)
@@ -171,13 +178,70 @@ def _shape(text: str) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
 
 
+#: Words that say nothing of licences when they stand side by side.
+_PLAIN = frozenset("a all and any are as at be been by for from has have in is it may not of on or that the this to under was will with".split())
+#: Sentences of templates that name no family.
+_SHARED = frozenset(["See the LICENSE file for details."])
+#: Words of a paragraph from which on it counts as a piece of a template; shorter ones must hold a whole sentence.
+PIECE = 8
+#: Words without a pair of a template that a wrapped notice may hold in a row.
+GAP = 8
 _SHAPES = {family: [_shape(t) for t in texts] for family, texts in TEMPLATES.items()}
+_SENTENCES = {
+    family: [_shape(x) for t in texts for x in re.split(r"(?<=[.]) (?=[A-Z])", t) if x not in _SHARED and len(x.split()) >= 3]
+    for family, texts in TEMPLATES.items()
+}
 
 
 def template_similarity(text: str, family: str) -> float:
-    """Best share of a template's words and word pairs that the paragraph has (or the other way round, for pieces)."""
+    """Best share of a template's words and word pairs that the paragraph has, or the other way round for pieces.
+
+    A paragraph of ``PIECE`` words or more also scores by the share of its own words and pairs that one template has.
+    A paragraph with all words and pairs of a template's sentence scores 1, however short.
+    """
     mine = _shape(text)
-    return max((len(mine & t) / max(1, len(t)) for t in _SHAPES[family]), default=0.0)
+    if any(s <= mine for s in _SENTENCES[family]):
+        return 1.0
+    best = max((len(mine & t) / max(1, len(t)) for t in _SHAPES[family]), default=0.0)
+    if sum(" " not in x for x in mine) >= PIECE:
+        best = max(best, max((len(mine & t) / len(mine) for t in _SHAPES[family]), default=0.0))
+    return best
+
+
+def _template_pairs() -> np.ndarray:
+    """Which buckets hold word pairs of templates, without pairs of plain words."""
+    told = {f"{a} {b}" for texts in TEMPLATES.values() for t in texts for w in ["".join(c.lower() if c.isalnum() else " " for c in t).split()] for a, b in zip(w, w[1:]) if not (a in _PLAIN and b in _PLAIN)}
+    out = np.zeros(BUCKETS, bool)
+    for pair in told:
+        out[_grams(*_paragraph_bytes([pair]))[0][2:]] = True
+    return out
+
+
+def wrapped(data: np.ndarray, texts: np.ndarray, lines: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte of stretches over several lines that may be a notice; a blank line ends one.
+
+    Every stretch of word pairs of templates, with ``GAP`` words between two of them at most, is given.
+    """
+    clean = _KEEP[data]
+    start, end, of = word_spans(clean, texts)
+    if len(start) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one = Rolling(BYTE_VALUES[clean]).spans(start, end)
+    near = of[1:] == of[:-1]
+    hit = np.flatnonzero(near & pairs[(mix(one[:-1] * U64(3) + one[1:]) % U64(BUCKETS)).astype(np.int64)])
+    # Lines are blank if all their bytes are white space.
+    ink = np.concatenate(([0], np.cumsum(~np.isin(data, np.frombuffer(b" \t\r\n\x0b\x0c", np.uint8)))))
+    block = np.cumsum(ink[lines[1:]] == ink[lines[:-1]])
+    line = lambda at: np.searchsorted(lines, at, side="right") - 1
+    here, after = line(start[hit]), line(start[hit + 1])
+    whole = block[here] == block[after]
+    hit, here, after = hit[whole], here[whole], after[whole]
+    if not len(hit):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.flatnonzero((np.diff(hit) > GAP) | (of[hit[1:]] != of[hit[:-1]]) | (block[here[1:]] != block[here[:-1]])) + 1
+    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(hit)])) - 1
+    long = here[first] < after[last]
+    return start[hit[first[long]]], end[hit[last[long]] + 1]
 
 
 def train(docs: DataFrame, sample: int = 300, seed: int = 11) -> Classifier:
@@ -195,14 +259,17 @@ _OUT = "doc_id bigint, paragraph int, family string, probability double, similar
 
 
 def scan(docs: DataFrame, model: Classifier, least: float = 0.5, similar: float = 0.6) -> DataFrame:
-    """Paragraphs (lines that are not blank) of whole texts that hold a licence notice.
+    """Paragraphs (lines that are not blank) of whole texts that hold a licence notice, and notices over several lines.
 
     The classifier names a family with a calibrated probability; unknown, or a probability below ``least``, gives no
-    row.  ``confirmed``: the paragraph has at least ``similar`` of a template of the family.  Null texts have no
+    row.  ``confirmed``: the paragraph has at least ``similar`` of a template of the family, or is a piece of one (see
+    ``template_similarity``).  A notice that is wrapped over lines of a block (lines without a blank one between) is
+    given once, at its first line, if it is confirmed and none of its lines is for that family.  Null texts have no
     paragraphs; a null ``doc_id`` is kept; repeated rows are scanned each; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times classes numbers, whatever the data
     names = [x.split()[0] for x in _OUT.split(", ")]
+    told = _template_pairs()
 
     def run(batches):
         for batch in batches:
@@ -216,18 +283,36 @@ def scan(docs: DataFrame, model: Classifier, least: float = 0.5, similar: float
                 p = m.probabilities(data, lines)
                 best = p[:, :-1].argmax(axis=1)
                 sure = p[np.arange(len(p)), best]
-                raw = data.tobytes()
-                for i in np.flatnonzero((sure >= least) & (sure > p[:, -1])).tolist():
+                raw, done = data.tobytes(), set()
+
+                def add(i, text, k, sure, score):
                     doc = int(np.searchsorted(ends, lines[i], side="right"))
-                    text = raw[lines[i] : lines[i + 1] - 1].decode("utf-8", "replace")
-                    if not text.strip():
-                        continue
                     first = int(np.searchsorted(lines, ends[doc - 1] if doc else 0))
                     before = sum(bool(raw[a:b].strip()) for a, b in zip(lines[first:i], lines[first + 1 : i + 1]))
-                    family = m.families[best[i]]
-                    score = template_similarity(text, family)
-                    for c, x in zip(names, (ids[doc], before, family, float(sure[i]), score, score >= similar, text)):
+                    for c, x in zip(names, (ids[doc], before, m.families[k], float(sure), score, score >= similar, text)):
                         rows[c].append(x)
+
+                for i in np.flatnonzero((sure >= least) & (sure > p[:, -1])).tolist():
+                    text = raw[lines[i] : lines[i + 1] - 1].decode("utf-8", "replace")
+                    if not text.strip():
+                        continue
+                    score = template_similarity(text, m.families[best[i]])
+                    add(i, text, best[i], sure[i], score)
+                    if score >= similar:
+                        done.add((i, int(best[i])))
+                begin, end = wrapped(data, np.concatenate(([0], ends)), lines, told)
+                if not len(begin):
+                    continue
+                pieces = [raw[a:e] for a, e in zip(begin.tolist(), end.tolist())]
+                p = m.probabilities(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate(([0], np.cumsum(end - begin))))
+                best = p[:, :-1].argmax(axis=1)
+                sure = p[np.arange(len(p)), best]
+                for j in np.flatnonzero((sure >= least) & (sure > p[:, -1])).tolist():
+                    i, to = (int(x) for x in np.searchsorted(lines, [begin[j], end[j] - 1], side="right") - 1)
+                    text = pieces[j].decode("utf-8", "replace")
+                    score = template_similarity(text, m.families[best[j]])
+                    if score >= similar and not any((x, int(best[j])) in done for x in range(i, to + 1)):
+                        add(i, text, best[j], sure[j], score)
             yield pa.RecordBatch.from_pydict(
                 rows,
                 schema=pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_()), ("text", pa.string())]),

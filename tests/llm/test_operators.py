@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,6 +320,18 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(docs, model).where("confirmed").count() == 0
 
 
+def test_short_and_wrapped_licences(spark):
+    grant = license_scan.TEMPLATES["MIT"][2]
+    lines = textwrap.wrap(grant, 76)
+    narrow = "\n".join("# " + x for x in textwrap.wrap(license_scan.TEMPLATES["GPL"][1], 36))
+    prose = "The sea was calm and the boats came home.\nAll of the men were on the shore in the evening."
+    texts = ["All rights reserved.", "(c) 2021 Some Press. All rights reserved.", *lines[:3], f"{prose}\n{narrow}\n{prose}", "one\n\nReleased under the\nMIT License.\nmore", "Released under the\n\nMIT License.", prose, "He has all rights to the house."]
+    frame = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    model = license_scan.fit(["words of no interest here", "more words about the weather and the sea", *prose.split("\n")] * 20)
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in license_scan.scan(frame, model).where("confirmed").collect())
+    assert got == [(0, 0, "PROPRIETARY"), (1, 0, "PROPRIETARY"), (2, 0, "MIT"), (3, 0, "MIT"), (4, 0, "MIT"), (5, 2, "GPL"), (6, 1, "MIT")]
+
+
 def test_empty_tables(spark, empty):
     assert substring_dedup.drop_repeated_words(empty).count() == 0
     assert parse_dedup.drop_repeated_bytes(empty).count() == 0
