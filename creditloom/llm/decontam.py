@@ -15,6 +15,8 @@ from creditloom.session import cut
 
 #: Template windows of a benchmark that may be sent to every task; a larger benchmark is joined by Spark.
 BROADCAST_WINDOWS = 2_000_000
+#: Low bits of a hash that the first look-up leaves out.
+SHIFT = U64(44)
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 _NUMBER = re.compile(r"[+-]?\$?\d[\d.,:/]*%?$|\d+(?:st|nd|rd|th)$")
 _GLUED = re.compile(r"([+-]?\$?\d[\d.,]*)([a-z%°]+)$", re.IGNORECASE)
@@ -28,92 +30,185 @@ UNITS = frozenset(
     "grams kilogram kilograms ounce ounces pound pounds liter liters litre litres second seconds minute minutes hour hours "
     "day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees % ° $ €".split()
 )
+#: Words that are no names although a sentence may start with them.
+COMMON = frozenset(
+    "the this that these those there here they we he she it its you his her their our my your who whom whose what which when where "
+    "why how if in on at of for from by with without to and or but not no yes so as an is are was were be do does did has have had "
+    "can could will would should may might must let each every all any some many much more most if while after before then than "
+    "because since until under over into between during about given suppose find calculate compute solve explain describe write "
+    "choose select name list which answer question consider determine evaluate estimate assume note".split()
+)
 _TRIM = " .,;:!?\"'()[]{}|*&#$-_"
+_GAP = {NUMBER, NAME, UNIT}
 
 
-def slot_of(token: str, first: bool) -> tuple[str, str]:
-    """Template token and the value in its slot, empty outside slots.
+def _written(raw: str) -> tuple[list[tuple[str, str, str]], bool, bool]:
+    """Kind, lower-case form and place in the sentence of the parts of one written word.
 
-    ``first``: the token starts a sentence, where a capital makes no name.
+    Kinds: a placeholder, "unit?" (a unit after a number alone), "name?" (a name unless it starts a sentence), "start?"
+    (the same, but too common for a name), or empty.  Then: a sentence ends here; the word is punctuation alone.
     """
-    bare = token.strip(_TRIM)
-    low = bare.lower()
-    if _NUMBER.match(token.strip(".,;:!?\"'()[]")) or low in NUMBER_WORDS:
-        return NUMBER, low
-    if low in UNITS and len(bare):
-        return UNIT, low
-    if len(bare) > 1 and bare[0].isupper() and not first and bare[1:].islower():
-        return NAME, low
-    return low, ""
-
-
-def _pieces(raw: str, first: bool) -> tuple[list[tuple[str, str]], bool]:
-    """Template tokens and slot values of one written word, and whether the next one starts a sentence."""
-    glued = _GLUED.match(raw.strip(_TRIM))
+    whole = raw.strip(_TRIM)
+    digits = not whole.isalpha()  # letters alone are neither a number in digits nor glued to one
+    glued = _GLUED.match(whole) if digits else None
     parts = glued.groups() if glued and glued[2].lower() in UNITS else (raw,)
-    found = [slot_of(p, first) for p in parts]
-    return [x for x in found if x[0]], raw[-1] in ".!?:|" or (first and not raw.strip(_TRIM))
+    out = []
+    for token in parts:
+        bare = token.strip(_TRIM) if digits else whole
+        low = bare.lower()
+        if (digits and _NUMBER.match(token.strip(".,;:!?\"'()[]"))) or low in NUMBER_WORDS:
+            kind = NUMBER
+        elif low in UNITS and len(bare):
+            kind = UNIT
+        elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+            kind = "start?" if low in COMMON else "name?"
+        else:
+            kind = ""
+        if low or kind == NUMBER:
+            out.append((kind, low))
+    return out, raw[-1] in ".!?:|", not whole
+
+
+def _words(text: str) -> list[str]:
+    """Written words; a line break is a bare mark that ends a sentence and has no token."""
+    return text.replace("\n", " | ").split()
+
 
+#: Readings of a text: capitals at sentence starts make no names; all capitals do, but for common words; words as written.
+SENTENCES, CAPITALS, EXACT = range(3)
 
-def template(text: str) -> tuple[list[str], list[str]]:
+
+def template(text: str, reading: int = SENTENCES) -> tuple[list[str], list[str]]:
     """Canonical tokens and slot values.  ``5kg`` is a number and a unit; bare punctuation disappears."""
-    tokens, values, first = [], [], True
-    for raw in text.split():
-        some, first = _pieces(raw, first)
-        for token, value in some:
-            tokens.append(token)
-            values.append(value)
+    tokens, values, first, last = [], [], True, ""
+    for raw in _words(text):
+        parts, ends, bare = _written(raw)
+        for kind, low in parts:
+            if kind == "unit?":
+                token = UNIT if last == NUMBER else low
+            elif kind == "name?":
+                token = low if reading == SENTENCES and first else NAME
+            elif kind == "start?":
+                token = low if reading == CAPITALS or first else NAME
+            else:
+                token = kind or low
+            last = kind
+            slot = token in _GAP and reading != EXACT
+            tokens.append(token if slot else low)
+            values.append(low if slot else "")
+        first = ends or (first and bare)
     return tokens, values
 
 
 class Codes:
-    """Hashes of the template tokens of texts; words met before come from a table of bounded size."""
+    """Hashes of the template tokens of texts in all readings; written words come from a table of bounded size."""
 
-    def __init__(self, most: int = 300_000):
-        self.known: dict[bool, dict[str, tuple[list[int], bool]]] = {False: {}, True: {}}
+    def __init__(self, most: int = 800_000):
         self.most = most
-
-    def __call__(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        first, inside, start = True, self.known[False], self.known[True]
-        for raw in text.split():
-            entry = (start if first else inside).get(raw)
-            if entry is None:
-                if len(inside) + len(start) > self.most:
-                    inside.clear()
-                    start.clear()
-                some, after = _pieces(raw, first)
-                entry = ([xxhash.xxh64_intdigest(token) for token, _ in some], after)
-                (start if first else inside)[raw] = entry
-            out += entry[0]
-            first = entry[1]
-        return mix(np.array(out, dtype=U64)) if out else np.zeros(0, U64)
+        self._clear()
+
+    def _clear(self):
+        self.known: dict[str, int] = {}
+        #: By written word: tokens, whether a sentence ends, whether it is punctuation alone, and its first token's row.
+        self.words = np.zeros((1 << 12, 4), np.int64)
+        #: By token: hashes as written, with all capitals, inside a sentence, at its start; 1 for numbers, 2 for "unit?".
+        self.hashes, self.kinds, self.tokens = np.zeros((1 << 12, 4), U64), np.zeros(1 << 12, np.int8), 0
+
+    def _add(self, raws: list[str]) -> None:
+        """Rows of words that were not met before; the tables double when they are full."""
+        words, hashes, kinds, at = [], [], [], len(self.known)
+        name = xxhash.xxh64_intdigest(NAME)
+        for raw in raws:
+            if raw in self.known:
+                continue
+            parts, ends, bare = _written(raw)
+            self.known[raw] = len(self.known)
+            words.append((len(parts), ends, bare, self.tokens + len(hashes)))
+            for kind, low in parts:
+                word = xxhash.xxh64_intdigest(low)
+                if kind == "name?":
+                    hashes.append((word, name, name, word))
+                elif kind == "start?":
+                    hashes.append((word, word, name, word))
+                else:
+                    slot = xxhash.xxh64_intdigest(kind) if kind in _GAP else word
+                    hashes.append((word, slot, slot, slot))
+                kinds.append(1 if kind == NUMBER else 2 if kind == "unit?" else 0)
+        while at + len(words) > len(self.words):
+            self.words = np.concatenate((self.words, np.zeros_like(self.words)))
+        while self.tokens + len(kinds) > len(self.kinds):
+            self.hashes, self.kinds = np.concatenate((self.hashes, np.zeros_like(self.hashes))), np.concatenate((self.kinds, np.zeros_like(self.kinds)))
+        self.words[at : at + len(words)] = words
+        if kinds:
+            to = self.tokens + len(kinds)
+            self.hashes[self.tokens : to] = mix(np.array(hashes, dtype=U64).ravel()).reshape(-1, 4)
+            self.kinds[self.tokens : to] = kinds
+            self.tokens = to
+
+    def __call__(self, text: str) -> list[np.ndarray]:
+        """Hashes of the tokens in the readings ``SENTENCES, CAPITALS, EXACT``."""
+        raws = _words(text)
+        if not raws:
+            return [np.zeros(0, U64)] * 3
+        if len(self.known) > self.most:
+            self._clear()
+        found = list(map(self.known.get, raws))
+        if None in found:
+            self._add([r for r, i in zip(raws, found) if i is None])
+            found = list(map(self.known.get, raws))
+        at = np.array(found)
+        count, ends, bare, row = self.words[at].T
+        ends, bare = ends > 0, bare > 0
+        # A word starts a sentence if the last one before it that is no mere mark ends one, or any mark since.
+        settled = ends | ~bare
+        last = np.maximum.accumulate(np.where(settled, np.arange(len(at)), -1))
+        before = np.concatenate(([-1], last[:-1]))
+        first = (before < 0) | ends[before]
+        token = np.repeat(row - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        h, kind, first = self.hashes[token], self.kinds[token], np.repeat(first, count)
+        exact, capitals, sentences = h[:, 0].copy(), h[:, 1].copy(), np.where(first, h[:, 3], h[:, 2])
+        unit = np.flatnonzero(kind == 2)
+        unit = unit[(unit > 0) & (kind[unit - 1] == 1)]
+        capitals[unit] = sentences[unit] = _UNIT_HASH
+        return [sentences, capitals, exact]
+
+
+_UNIT_HASH = mix(np.array([xxhash.xxh64_intdigest(UNIT)], dtype=U64))[0]
 
 
 def template_windows(text: str, sizes: tuple[int, ...], codes: Codes):
-    """Window size and window hashes for each size that fits the text."""
-    values = codes(text)
-    rolling = Rolling(values)
-    for size in sizes:
-        if len(values) >= size:
-            yield size, rolling.windows(size) ^ U64(size)
+    """Reading, window size and window hashes for each reading and size that fits the text."""
+    for reading, values in enumerate(codes(text)):
+        rolling = Rolling(values)
+        for size in sizes:
+            if len(values) >= size:
+                yield reading, size, rolling.windows(size) ^ U64(size)
 
 
 _WINDOW = "item_id bigint, hash bigint, size int, slots array<string>, words string, parts int"
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Template windows of each item; an item shorter than ``window`` (4 tokens at least) is one window of its own size."""
+    """Windows of each item in all readings; an item shorter than ``window`` (4 tokens at least) is one window of its own size.
+
+    Windows with more slots than words are given as written alone.
+    """
 
     def run(batches):
         codes = Codes()
         for batch in batches:
             rows = {c: [] for c in ("item_id", "hash", "size", "slots", "words", "parts")}
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-                tokens, values = template(text or "")
-                n = len(tokens)
-                for size, hashes in template_windows(text or "", (min(window, n),) if n >= 4 else (), codes):
+                read = [template(text or "", reading) for reading in range(3)]
+                n = len(read[0][0])
+                seen = set()
+                for reading, size, hashes in template_windows(text or "", (min(window, n),) if n >= 4 else (), codes):
+                    tokens, values = read[reading]
                     for i, h in enumerate(hashes.view(np.int64).tolist()):
+                        slots = sum(v != "" for v in values[i : i + size])
+                        if (i, h) in seen or (reading != EXACT and slots * 2 > size):
+                            continue
+                        seen.add((i, h))
                         rows["item_id"].append(item)
                         rows["hash"].append(h)
                         rows["size"].append(size)
@@ -131,21 +226,30 @@ _HIT_ARROW = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("hash",
 
 
 def document_windows(docs: DataFrame, sizes: tuple[int, ...], wanted) -> DataFrame:
-    """Template windows of whole documents; with ``wanted`` (a broadcast sorted array of hashes) only those in it."""
+    """Template windows of whole documents; with ``wanted`` (broadcast: sorted hashes, and a table of their leading bits) only those in it."""
 
     def run(batches):
         codes = Codes()
         for batch in batches:
             rows = {c: [] for c in _HIT_ARROW.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for size, hashes in template_windows(text or "", sizes, codes):
+                read, plain = {}, {}
+                for reading, size, hashes in template_windows(text or "", sizes, codes):
+                    # A window without slots is the same in several readings and is sent once.
                     if wanted is None:
                         at = np.arange(len(hashes))
                     else:
-                        place = np.minimum(np.searchsorted(wanted.value, hashes), len(wanted.value) - 1)
-                        at = np.flatnonzero(wanted.value[place] == hashes)
+                        keys, table = wanted.value
+                        at = np.flatnonzero(table[hashes >> SHIFT])
+                        near = hashes[at]
+                        at = at[keys[np.minimum(np.searchsorted(keys, near), len(keys) - 1)] == near]
+                    for other in plain.setdefault(size, []):
+                        at = at[other[at] != hashes[at]]
+                    plain[size].append(hashes)
                     signed = hashes.view(np.int64)
-                    tokens, values = template(text) if len(at) else ([], [])
+                    if len(at) and reading not in read:
+                        read[reading] = template(text, reading)
+                    tokens, values = read.get(reading, ([], []))
                     for i in at.tolist():
                         rows["doc_id"].append(doc)
                         rows["place"].append(i)
@@ -161,10 +265,12 @@ def document_windows(docs: DataFrame, sizes: tuple[int, ...], wanted) -> DataFra
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """Documents that hold a template window of a benchmark item with consistent slots.
 
-    Numbers (also as words), capitalised names inside sentences, and units become typed placeholders; other words are
-    compared in lower case, without outer punctuation.  Windows of ``window`` template tokens are hash-joined and
-    their templates compared.  A window's slots are consistent if equal values of the item stand for equal values of the
-    document and the other way round; a window needs at least half of its tokens outside slots.
+    Numbers (also as words), capitalised names, and units become typed placeholders; other words are compared in lower
+    case, without outer punctuation.  Texts are read three ways: capitals that start a sentence or line make no name;
+    capitals anywhere make one, unless the word is common; words as written, without placeholders.  Windows of
+    ``window`` template tokens are hash-joined and their templates compared.  A window's slots are consistent if equal
+    values of the item stand for equal values of the document and the other way round.  Windows with more slots than
+    words match as written alone.
 
     A benchmark of up to ``BROADCAST_WINDOWS`` template windows is sent to the tasks as hashes; a larger one meets
     all document windows in a shuffled join.  Whole texts are read; null texts have no windows; rows without id are
@@ -173,13 +279,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Dat
     Returns ``doc_id, item_id, windows`` (matched positions), ``exact`` (of them with equal slots).
     """
     items = cut(benchmark_windows(benchmark, window))
-    items = items.where(F.size(F.filter("slots", lambda s: s != "")) * 2 <= F.col("size"))
     sizes = tuple(r[0] for r in items.select("size").distinct().collect())  # at most ``window`` numbers
     keys = items.select("hash").distinct()
     wanted = None
     if keys.count() <= BROADCAST_WINDOWS:
         hashes = np.array([r[0] for r in keys.collect()], dtype=np.int64).view(U64)
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes)) if len(hashes) else None
+        table = np.zeros(1 << (64 - int(SHIFT)), bool)
+        table[hashes >> SHIFT] = True
+        wanted = docs.sparkSession.sparkContext.broadcast((np.sort(hashes), table)) if len(hashes) else None
         sizes = sizes if len(hashes) else ()
     hits = document_windows(docs, sizes, wanted)
     theirs = items.select("item_id", "hash", F.col("slots").alias("item_slots"), F.col("words").alias("item_words"))

@@ -293,6 +293,34 @@ def test_templates_catch_changed_numbers(spark, empty):
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def leaks(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)]), bench).collect()}
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_capitals_at_sentence_starts(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", most)
+    items = ["What is the capital of France?", "Tom has 3 apples and buys 5 more. How many apples now?"]
+    texts = [
+        "Question 4\nWhat is the capital of France?", "he asked what is the capital of france and left", "Ann has 7 apples and buys 2 more. How many apples now?",
+        "see this\nAnn has 7 apples and buys 2 more. How many apples now?", "well, tom has 3 apples and buys 5 more. how many apples now?",
+        "Paris is the capital of France.", "Tom has pears and buys more of them. How many pears now?",
+    ]
+    assert leaks(spark, items, texts) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)}
+
+
+def test_hashes_of_readings_follow_templates():
+    r = random.Random(5)
+    words = ["Tom", "tom", "The", "5kg", "5", "in", "m", "km", "end.", "|", "-", "...", "A", "twelve", "'Ann'", "x:", "$3.50", "\n", "%"]
+    codes = decontam.Codes()
+    for _ in range(200):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 30)))
+        for reading, got in enumerate(codes(text)):
+            tokens, _ = decontam.template(text, reading)
+            assert len(tokens) == len(got) and all((a == b) == (x == y) for a, x in zip(tokens, got) for b, y in zip(tokens, got))
+
+
 def test_toxicity_on_held_out_rows_and_misspellings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
