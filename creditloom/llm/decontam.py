@@ -30,6 +30,8 @@ UNITS = frozenset(
     "grams kilogram kilograms ounce ounces pound pounds liter liters litre litres second seconds minute minutes hour hours "
     "day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees % ° $ €".split()
 )
+#: Units that are mostly other words; they count as units right after a number alone.
+DOUBTFUL = frozenset("in s t m g l h w v j n pa pound pounds second seconds foot feet yard yards".split())
 #: Words that are no names although a sentence may start with them.
 COMMON = frozenset(
     "the this that these those there here they we he she it its you his her their our my your who whom whose what which when where "
@@ -38,6 +40,8 @@ COMMON = frozenset(
     "because since until under over into between during about given suppose find calculate compute solve explain describe write "
     "choose select name list which answer question consider determine evaluate estimate assume note".split()
 )
+#: Plain words from which on a window may match with other values in its slots.
+PLAIN_WORDS = 4
 _TRIM = " .,;:!?\"'()[]{}|*&#$-_"
 _GAP = {NUMBER, NAME, UNIT}
 
@@ -59,7 +63,7 @@ def _written(raw: str) -> tuple[list[tuple[str, str, str]], bool, bool]:
         if (digits and _NUMBER.match(token.strip(".,;:!?\"'()[]"))) or low in NUMBER_WORDS:
             kind = NUMBER
         elif low in UNITS and len(bare):
-            kind = UNIT
+            kind = "unit?" if low in DOUBTFUL and len(parts) == 1 else UNIT
         elif len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
             kind = "start?" if low in COMMON else "name?"
         else:
@@ -189,9 +193,9 @@ _WINDOW = "item_id bigint, hash bigint, size int, slots array<string>, words str
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Windows of each item in all readings; an item shorter than ``window`` (4 tokens at least) is one window of its own size.
+    """Windows of each item in all readings; an item shorter than ``window`` is one window of its own size.
 
-    Windows with more slots than words are given as written alone.
+    Windows with more slots than words, or with fewer than ``PLAIN_WORDS`` words outside slots, are given as written alone.
     """
 
     def run(batches):
@@ -202,11 +206,11 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
                 read = [template(text or "", reading) for reading in range(3)]
                 n = len(read[0][0])
                 seen = set()
-                for reading, size, hashes in template_windows(text or "", (min(window, n),) if n >= 4 else (), codes):
+                for reading, size, hashes in template_windows(text or "", (min(window, n),) if n else (), codes):
                     tokens, values = read[reading]
                     for i, h in enumerate(hashes.view(np.int64).tolist()):
                         slots = sum(v != "" for v in values[i : i + size])
-                        if (i, h) in seen or (reading != EXACT and slots * 2 > size):
+                        if (i, h) in seen or (reading != EXACT and (slots * 2 > size or size - slots < PLAIN_WORDS)):
                             continue
                         seen.add((i, h))
                         rows["item_id"].append(item)
@@ -270,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Dat
     capitals anywhere make one, unless the word is common; words as written, without placeholders.  Windows of
     ``window`` template tokens are hash-joined and their templates compared.  A window's slots are consistent if equal
     values of the item stand for equal values of the document and the other way round.  Windows with more slots than
-    words match as written alone.
+    words, or fewer than ``PLAIN_WORDS`` words, match as written alone; so do items of one to three words.
 
     A benchmark of up to ``BROADCAST_WINDOWS`` template windows is sent to the tasks as hashes; a larger one meets
     all document windows in a shuffled join.  Whole texts are read; null texts have no windows; rows without id are

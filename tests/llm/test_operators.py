@@ -310,6 +310,17 @@ def test_capitals_at_sentence_starts(spark, monkeypatch, most):
     assert leaks(spark, items, texts) == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)}
 
 
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_items_of_slots_and_short_items_match_as_written(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", most)
+    items = ["Compute 12 + 7 * 3 - 45 / 9 + 8", "where is Tom Sawyer", "Define entropy", "1 2 3 4 5 6", "He was born in Rome in 1990 and lived in Ghent in 2001"]
+    texts = [
+        "Task: compute 12 + 7 * 3 - 45 / 9 + 8 now", "Compute 13 + 7 * 3 - 45 / 9 + 8", "so where is Tom Sawyer today", "where is Huck Finn", "please define entropy here",
+        "define the word entropy", "we count 1 2 3 4 5 6 aloud", "1 2 3 4 5 7", "He was born in Oslo in 1970 and lived in Turin in 1999",
+    ]
+    assert leaks(spark, items, texts) == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 4)}
+
+
 def test_hashes_of_readings_follow_templates():
     r = random.Random(5)
     words = ["Tom", "tom", "The", "5kg", "5", "in", "m", "km", "end.", "|", "-", "...", "A", "twelve", "'Ann'", "x:", "$3.50", "\n", "%"]
