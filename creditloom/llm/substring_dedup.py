@@ -1,4 +1,4 @@
-"""Repeated word sequences by prefix-partitioned suffix trees."""
+"""Repeated word sequences by suffix trees over dealt suffixes."""
 
 from __future__ import annotations
 
@@ -10,24 +10,18 @@ from pyspark.sql import DataFrame
 
 from creditloom.llm.repeats import Group, Rule, earliest_answers, repeats, unpack
 
-#: Bytes of words that make up a suffix's prefix: rare (long) words need few, common (short) ones many.
-PREFIX_BYTES = 24
 #: Suffixes of one subtree that are sorted together.
 SUBTREE = 200_000
 
 
 def _suffixes(group: Group, at: np.ndarray, buckets: int) -> tuple[list[bytes], np.ndarray]:
-    """Each suffix cut to n words, and the bucket of its variable-length prefix."""
+    """Each suffix cut to n words, and the bucket of all its words: however many suffixes share a prefix, they spread."""
     raw, n = group.data.tobytes(), group.rule.n
     texts, bucket = [], np.zeros(len(at), np.int64)
     for j, i in enumerate(at):
-        words = [raw[a:e] for a, e in zip(group.start[i : i + n], group.end[i : i + n])]
-        size = depth = 0
-        while depth < n and size < PREFIX_BYTES:
-            size += len(words[depth])
-            depth += 1
-        texts.append(b" ".join(words))
-        bucket[j] = zlib.crc32(b" ".join(words[:depth])) % buckets
+        text = b" ".join([raw[a:e] for a, e in zip(group.start[i : i + n], group.end[i : i + n])])
+        texts.append(text)
+        bucket[j] = zlib.crc32(text) % buckets
     return texts, bucket
 
 
@@ -92,8 +86,8 @@ def drop_repeated_words(docs: DataFrame, n: int = 13) -> DataFrame:
     """Remove each word covered by ``n`` words in a row that also start in a document with a smaller ``doc_id``.
 
     Words are runs of anything but ASCII white space, compared byte by byte; repeats are judged on the input.
-    Suffixes are cut to n words and partitioned by variable-length prefixes; a bucket lengthens prefixes
-    further until a subtree fits ``SUBTREE`` leaves, and nodes n words deep hold the repeats.  A removed span is a
+    Suffixes are cut to n words and dealt by all of them, so that equal ones meet and a common prefix is no one
+    task's; a bucket lengthens prefixes until a subtree fits ``SUBTREE`` leaves, and nodes n words deep hold the repeats.  A removed span is a
     maximal union of repeats.  Only suffixes that ``repeats`` could not settle by hashes reach the trees.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored.  A null text has no words.  Rows with a null

@@ -5,6 +5,7 @@ import random
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -81,6 +82,17 @@ def test_repeated_words_and_bytes(docs, rows, monkeypatch, hot):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut) == brute_repeats(rows, 50, False)
 
 
+def test_suffixes_with_one_prefix_are_dealt_out():
+    lead = "a line of many words that a third of all documents hold".split()
+    words = [w.encode() for i in range(2_000) for w in [*lead, f"own{i}"]]
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    group = SimpleNamespace(data=np.frombuffer(b" ".join(words), np.uint8), start=end - [len(w) for w in words], end=end, rule=SimpleNamespace(n=13))
+    texts, bucket = substring_dedup._suffixes(group, np.arange(1_998) * 13, 8)
+    assert np.bincount(bucket, minlength=8).max() < 2 * len(texts) / 8
+    again, same = substring_dedup._suffixes(group, np.arange(1_998) * 13, 8)
+    assert again == texts and (same == bucket).all()
+
+
 def test_bk_trees_link_what_brute_force_links(docs, rows):
     def fingerprint(t):
         w = (t or "").encode().lower().split()
