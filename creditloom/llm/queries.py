@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import ann, chat, decontam, license_scan, simhash_bk, toxicity
+from creditloom.llm import ann, chat, decontam, hard_negatives, license_scan, simhash_bk, toxicity, warc, whitening
 from creditloom.llm.mixing import mix_sources
 from creditloom.llm.parse_dedup import drop_repeated_bytes
 from creditloom.llm.sharding import shard_rows
@@ -123,3 +123,54 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), 13)
+
+
+@query(
+    "op11_hard_negatives",
+    """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+parts AS (SELECT vec_id, label, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM rows),
+whole AS (SELECT vec_id, label, i, CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) AS x FROM parts),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.i = b.i WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id GROUP BY ALL),
+positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 5""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", shifted), lambda i: i % 100 == 0)
+
+
+@query(
+    "op12_warc",
+    """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+groups AS (SELECT payload, max(page_id) AS last FROM rows WHERE strlen(payload) >= 1000 GROUP BY payload HAVING count(*) > 1),
+dealt AS (
+  SELECT page_id, rows.payload AS payload, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+  FROM rows LEFT JOIN groups ON rows.payload = groups.payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM dealt""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archived_pages(read(spark, sf_dir, "pages"))
+    return out.select(
+        "page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"), "record_type", F.col("original_id").alias("refers_to")
+    )
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), 32)
