@@ -244,6 +244,28 @@ BOOK_MARKS = {
     " WHEN s_suppkey % 10 = 7 THEN CONCAT('COPY GONE', CAST(s_suppkey AS STRING), '.') WHEN s_suppkey % 10 = 3"
     " THEN CONCAT('COPY CPY', CAST(s_suppkey - 1 AS STRING), ' REPLACING ==FIELD== BY ==ITEM==.') ELSE CONCAT('COPY CPY', CAST(s_suppkey - 1 AS STRING), '.') END",
 }
+# Programs whose COPY statements go over lines, share lines, and stand beside literals; copybooks in two libraries with rings of six.
+SPLIT_TEXT = [
+    "       IDENTIFICATION DIVISION.",
+    "           COPY",
+    "      * a comment with COPY NOTHING.",
+    "               NET@C IN LIB@L",
+    "               REPLACING ==FIELD== BY ==F.@P==@E",
+    "               ==OTHER== BY ==REST==.",
+    "           DISPLAY 'COPY HIDDEN@P. ' COPY NET@S. COPY NET@M OF LIB@K.",
+    "           MOVE 'open COPY LOST@P.",
+    "      -    'more COPY GONE@P. ' TO W.",
+    "           MOVE @P TO X.",
+]
+SPLIT_MARKS = {
+    "@P": "CAST(p_partkey AS STRING)", "@C": "CAST(p_partkey % 30 AS STRING)", "@S": "CAST(p_partkey % 11 AS STRING)", "@M": "CAST(p_partkey % 17 AS STRING)",
+    "@L": "CAST(p_partkey % 2 AS STRING)", "@K": "CAST((p_partkey + 1) % 2 AS STRING)", "@E": "CASE WHEN p_partkey % 3 = 0 THEN '. EXIT' ELSE '' END",
+}
+NET_TEXT = ["       01 NET-@B.", "          05 FIELD-@B FIELD.", "           COPY NET@N IN LIB@L.@T"]
+NET_MARKS = {
+    "@B": "CAST(s_suppkey AS STRING)", "@N": "CAST(CASE WHEN s_suppkey % 6 = 5 THEN s_suppkey - 5 ELSE s_suppkey + 1 END AS STRING)",
+    "@L": "CAST(s_suppkey DIV 6 % 2 AS STRING)", "@T": "CASE WHEN s_suppkey % 6 = 2 THEN CONCAT(' COPY FAR', CAST(s_suppkey AS STRING), '.') ELSE '' END",
+}
 # Job decks derived from supplier.
 DECK_TEXT = [
     "//JOB@B   JOB (ACCT),'BATCH',",
@@ -270,6 +292,8 @@ DECK_MARKS = {
 TEXTS = {
     "source_line": ("part", "CONCAT('PGM', CAST(p_partkey AS STRING))", PROGRAM_TEXT, PROGRAM_MARKS),
     "book_line": ("supplier", "CONCAT('CPY', CAST(s_suppkey AS STRING))", BOOK_TEXT, BOOK_MARKS),
+    "split_line": ("part", "CONCAT('PGM', CAST(p_partkey AS STRING))", SPLIT_TEXT, SPLIT_MARKS),
+    "net_line": ("supplier", "CONCAT('NET', CAST(s_suppkey AS STRING))", NET_TEXT, NET_MARKS),
     "deck_line": ("supplier", "CONCAT('JOB', CAST(s_suppkey AS STRING))", DECK_TEXT, DECK_MARKS),
 }
 

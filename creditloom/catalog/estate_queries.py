@@ -8,7 +8,7 @@ from creditloom.catalog.adapters import PROGRAM_TEXT
 from creditloom.catalog.registry import big, query
 from creditloom.functions import text as tx
 from creditloom.functions import pic
-from creditloom.plans import estate, jcl
+from creditloom.plans import copybooks, estate, jcl
 from creditloom.session import cut
 
 SRC = "source_line"
@@ -88,7 +88,7 @@ COPY_SQL = """cp AS (SELECT file, line_no, UPPER(REGEXP_EXTRACT(text, '^\\s+COPY
 @query("k3_copy_edges", "source_line book_line", f"""WITH {COPY_SQL.format(t='source_line')}, {COPY_SQL.format(t='book_line').replace('cp AS', 'cb AS')}
  SELECT file, line_no, copybook, 'DEFAULT' AS library, replacing FROM cp UNION ALL SELECT file, line_no, copybook, 'DEFAULT', replacing FROM cb""")
 def _(s):
-    return estate.copy_edges(s(SRC)).unionByName(estate.copy_edges(s("book_line")))
+    return copybooks.copy_statements(s(SRC)).unionByName(copybooks.copy_statements(s("book_line")))
 
 
 @query("k4_copy_closure", "source_line book_line", f"""WITH RECURSIVE {COPY_SQL.format(t='source_line')}, {COPY_SQL.format(t='book_line').replace('cp AS', 'cb AS')},
@@ -98,7 +98,7 @@ def _(s):
  SELECT cp.file, l.dst AS copybook, MIN(l.depth) AS depth, CASE WHEN l.dst NOT IN (SELECT file FROM book_line) THEN 'unresolved' WHEN l.dst IN (SELECT b FROM ring) THEN 'circular' ELSE 'resolved' END AS status
  FROM cp JOIN l ON l.src = cp.copybook GROUP BY cp.file, l.dst""".replace("MIN(l.depth) AS depth", "CAST(MIN(l.depth) AS BIGINT) AS depth"))
 def _(s):
-    return estate.copy_closure(estate.copy_edges(s(SRC)), estate.copy_edges(s("book_line")), s("book_line"))
+    return copybooks.closure(s(SRC), s("book_line")).select("file", "copybook", "depth", "status")
 
 
 @query("k5_expand_copies", "source_line book_line", """WITH RECURSIVE e AS (
@@ -109,7 +109,55 @@ def _(s):
  SELECT file, place, CASE WHEN book IS NULL THEN text WHEN CONTAINS(path, CONCAT('|', book, '|')) THEN CONCAT('      * >>>CIRCULAR COPY: ', book, '<<<') ELSE CONCAT('      * >>>UNRESOLVED COPY: ', book, '<<<') END AS text
  FROM e WHERE book IS NULL OR CONTAINS(path, CONCAT('|', book, '|')) OR book NOT IN (SELECT file FROM book_line)""")
 def _(s):
-    return estate.expand_copies(s(SRC), s("book_line"))
+    return copybooks.expand(s(SRC), s("book_line"), marks=False)
+
+
+# The code of a file in one string, literals taken out; continued literals are joined first.
+SPLIT_SQL = """j AS (SELECT file, STRING_AGG(CASE WHEN SUBSTR(text, 7, 1) = '-' THEN SUBSTR(LTRIM(SUBSTR(text, 8)), 2) ELSE CONCAT(chr(10), SUBSTR(text, 8)) END, '' ORDER BY line_no) AS t FROM split_line WHERE SUBSTR(text, 7, 1) <> '*' GROUP BY file),
+ q AS (SELECT file, UNNEST(REGEXP_EXTRACT_ALL(REGEXP_REPLACE(t, '\\x27[^\\x27]*\\x27', '', 'g'), 'COPY\\s+[A-Z0-9]+(?:\\s+(?:IN|OF)\\s+[A-Z0-9]+)?(?:\\s+REPLACING(?:\\s+==[^=]+==\\s+BY\\s+==[^=]+==)+)?\\s*\\.')) AS c FROM j),
+ cp AS (SELECT file, REGEXP_EXTRACT(c, 'COPY\\s+([A-Z0-9]+)', 1) AS copybook, COALESCE(NULLIF(REGEXP_EXTRACT(c, '\\s(?:IN|OF)\\s+([A-Z0-9]+)', 1), ''), 'DEFAULT') AS library,
+  REGEXP_REPLACE(REGEXP_EXTRACT(c, 'REPLACING\\s+(.*==)', 1, 's'), '\\s+', ' ', 'g') AS replacing FROM q)"""
+NET_SQL = SPLIT_SQL + """,
+ bk AS (SELECT CONCAT('LIB', CAST(SUBSTR(file, 4)::BIGINT // 6 % 2 AS STRING), '/', file) AS book, file, line_no, text FROM net_line),
+ ed AS (SELECT book AS src, CONCAT(CASE WHEN x LIKE '%FAR%' THEN 'DEFAULT' ELSE REGEXP_EXTRACT(x, 'IN ([A-Z0-9]+)', 1) END, '/', REGEXP_EXTRACT(x, 'COPY ([A-Z0-9]+)', 1)) AS dst FROM (SELECT book, UNNEST(REGEXP_EXTRACT_ALL(text, 'COPY [^.]+')) AS x FROM bk)),
+ full_ring AS (SELECT SUBSTR(file, 4)::BIGINT // 6 AS g, MIN(book) AS ring FROM (SELECT DISTINCT file, book FROM bk) GROUP BY 1 HAVING COUNT(*) = 6),
+ ringed AS (SELECT DISTINCT book, ring FROM bk JOIN full_ring ON g = SUBSTR(file, 4)::BIGINT // 6)"""
+
+
+@query("k3_split_copies", "split_line", f"WITH {SPLIT_SQL} SELECT file, copybook, library, replacing FROM cp")
+def _(s):
+    return copybooks.copy_statements(s("split_line")).select("file", "copybook", "library", "replacing")
+
+
+def net_books(s):
+    """Books in two libraries: six books of a ring are in the same one."""
+    return s("net_line").withColumn("library", F.concat(F.lit("LIB"), F.expr("CAST(CAST(substring(file, 4) AS BIGINT) DIV 6 % 2 AS STRING)")))
+
+
+@query("k4_library_closure", "split_line net_line", f"""WITH RECURSIVE {NET_SQL},
+ r AS (SELECT DISTINCT CONCAT(library, '/', copybook) AS top, CONCAT(library, '/', copybook) AS node, 1 AS depth FROM cp UNION SELECT r.top, ed.dst, r.depth + 1 FROM r JOIN ed ON ed.src = r.node WHERE r.depth < 9),
+ l AS (SELECT top, node, MIN(depth) AS depth FROM r GROUP BY top, node)
+ SELECT cp.file, SPLIT_PART(node, '/', 1) AS library, SPLIT_PART(node, '/', 2) AS copybook, CAST(MIN(depth) AS BIGINT) AS depth,
+  CASE WHEN node NOT IN (SELECT book FROM bk) THEN 'unresolved' WHEN node IN (SELECT book FROM ringed) THEN 'circular' ELSE 'resolved' END AS status
+ FROM cp JOIN l ON l.top = CONCAT(cp.library, '/', cp.copybook) GROUP BY cp.file, node""")
+def _(s):
+    return copybooks.closure(s("split_line"), net_books(s)).select("file", "library", "copybook", "depth", "status")
+
+
+@query("k4_rings", "split_line net_line", f"WITH {NET_SQL} SELECT book, ring FROM ringed")
+def _(s):
+    return copybooks.rings_of(copybooks.book_statements(net_books(s)))
+
+
+@query("k5_library_expansion", "split_line net_line", f"""WITH RECURSIVE {NET_SQL},
+ r AS (SELECT file AS program, CONCAT(library, '/', copybook) AS node, CONCAT('|', library, '/', copybook, '|') AS path, FALSE AS again FROM cp
+  UNION ALL SELECT r.program, ed.dst, CONCAT(r.path, ed.dst, '|'), CONTAINS(r.path, CONCAT('|', ed.dst, '|')) FROM r JOIN ed ON ed.src = r.node WHERE NOT r.again)
+ SELECT program AS file, COUNT(*) FILTER (NOT again AND node IN (SELECT book FROM bk)) AS books, COUNT(*) FILTER (again) AS circular, COUNT(*) FILTER (NOT again AND node NOT IN (SELECT book FROM bk)) AS unresolved FROM r GROUP BY program""")
+def _(s):
+    text = F.col("text")
+    return copybooks.expand(s("split_line"), net_books(s)).groupBy("file").agg(
+        F.count_if(text.startswith("      * >>>BEGIN COPY")).alias("books"), F.count_if(text.startswith("      * >>>CIRCULAR COPY")).alias("circular"), F.count_if(text.startswith("      * >>>UNRESOLVED COPY")).alias("unresolved")
+    )
 
 
 @query("h20_apply_replacing", sql="SELECT p_partkey, REGEXP_REPLACE(REGEXP_REPLACE(p_name, '\\bred\\b', 'scarlet', 'gi'), '\\bring\\b', 'band', 'gi') AS name FROM part")
@@ -229,7 +277,7 @@ def _(s):
     lines = s(SRC)
     code = estate.code_lines(lines)
     c = cut(estate.with_context(code))
-    return estate.complexity_tier(lines, c, estate.file_bindings(code), estate.copy_edges(lines), estate.call_edges(c))
+    return estate.complexity_tier(lines, c, estate.file_bindings(code), copybooks.copy_statements(lines), estate.call_edges(c))
 
 
 # 1000-WORK and 3000-CHECK have two PERFORM sites each, 2000-LOOP has one; 4000-EXIT is only the goal of a GO TO, which is no call.

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.operators.graph import reach, strong_components
 from creditloom.operators.ordered import fill_forward, previous, running
-from creditloom.plans.estate import _hit, join_continuations, reachable
+from creditloom.plans.estate import _hit, join_continuations
+from creditloom.session import cut
 
 # Statement patterns of a job deck.
 ID = r"[A-Z0-9@#$]{1,8}"
@@ -140,10 +142,22 @@ def lineage_edges(dds: DataFrame, steps: DataFrame) -> DataFrame:
     return read.unionByName(wrote).distinct()
 
 
-def data_lineage(edges: DataFrame) -> DataFrame:
-    """Every dataset with the datasets derived from it: (source, target, hops)."""
-    r = reachable(edges)
-    both = r.where(F.col("src").startswith("DSN:") & F.col("dst").startswith("DSN:"))
-    return both.select(
-        F.expr("substring(src, 5)").alias("source"), F.expr("substring(dst, 5)").alias("target"), F.expr("depth div 2").cast("bigint").alias("hops")
-    )
+def data_lineage(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Datasets with the datasets derived from them: (source, target, hops).
+
+    With ``sources(dataset)`` only these are followed, and stretches without branches count as one step, so a long
+    chain takes few rounds; else every dataset is a source, and the result holds all pairs.
+    """
+    if sources is None:
+        asked = edges.select(F.col("src").alias("node")).where(F.col("src").startswith("DSN:")).distinct()
+    else:
+        asked = sources.select(F.concat(F.lit("DSN:"), "dataset").alias("node"))
+    r = reach(edges, asked, shorten=sources is not None).where(F.col("node").startswith("DSN:"))
+    return r.select(F.expr("substring(source, 5)").alias("source"), F.expr("substring(node, 5)").alias("target"), F.expr("distance div 2").cast("bigint").alias("hops"))
+
+
+def lineage_groups(edges: DataFrame) -> DataFrame:
+    """Datasets and programs that feed each other in a circle: (node, component), for components of more than one."""
+    found = cut(strong_components(edges))
+    many = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("component")
+    return found.join(many, "component").select("node", "component")

@@ -57,3 +57,14 @@ def cut(df):
     """Materialize ``df`` on the shared folder, so lost executors re-read it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str = "table"):
+    """``df`` written to the shared folder and read again.
+
+    As ``cut``, but the planner knows the true size, and nothing it had inferred about the columns is carried on: in
+    loops that build values from values, such facts grow with every round.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

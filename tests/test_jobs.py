@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from creditloom.catalog.adapters import view
-from creditloom.plans import estate, jcl, recon
+from creditloom.plans import copybooks, estate, jcl, recon
 from creditloom.session import scratch_path
 from creditloom.sources import fixed, layouts, portfolio
 from tests.oracle import ROOT, compare, connect
@@ -38,9 +38,9 @@ def test_binary_ledger_records(spark, tmp_path):
 def test_copy_rings_and_replacing(spark):
     src = lines_df(spark, {"P": ["       01 A.", "           COPY B1 REPLACING ==INV== BY ==SALES==.", "      *    COPY NO."]})
     books = lines_df(spark, {"B1": ["          05 INV-X PIC X.", "          05 INVALID PIC X.", "           COPY B2."], "B2": ["           COPY B1.", "           COPY GONE."]})
-    got = [r.text.strip() for r in estate.expand_copies(src, books).orderBy("place").collect()]
+    got = [r.text.strip() for r in copybooks.expand(src, books, marks=False).orderBy("place").collect()]
     assert got == ["01 A.", "05 SALES-X PIC X.", "05 INVALID PIC X.", "* >>>CIRCULAR COPY: B1<<<", "* >>>UNRESOLVED COPY: GONE<<<", "*    COPY NO."]
-    status = {r.copybook: r.status for r in estate.copy_closure(estate.copy_edges(src), estate.copy_edges(books), books).collect()}
+    status = {r.copybook: r.status for r in copybooks.closure(src, books).collect()}
     assert status == {"B1": "circular", "B2": "circular", "GONE": "unresolved"}
 
 
@@ -120,7 +120,7 @@ def test_scratch_is_shared(spark):
 
 
 def test_long_chains_are_followed_to_their_end(spark):
-    from creditloom.plans import estate, jcl
+    from creditloom.plans import jcl
 
     chain = spark.createDataFrame([(f"{'PGM' if i % 2 else 'DSN'}:N{i}", f"{'DSN' if i % 2 else 'PGM'}:N{i + 1}") for i in range(60)], "src string, dst string")
     hops = {(r.source, r.target): r.hops for r in jcl.data_lineage(chain).collect()}
@@ -130,9 +130,9 @@ def test_long_chains_are_followed_to_their_end(spark):
     ring = [(f"R{i}", 1, copy(f"R{(i + 1) % 12}")) for i in range(12)]
     lib = spark.createDataFrame(books + ring, "file string, line_no bigint, text string")
     src = spark.createDataFrame([("P", 1, copy("B0")), ("Q", 1, copy("R0"))], "file string, line_no bigint, text string")
-    status = {r.copybook: (r.depth, r.status) for r in estate.copy_closure(estate.copy_edges(src), estate.copy_edges(lib), lib).collect()}
+    status = {r.copybook: (r.depth, r.status) for r in copybooks.closure(src, lib).collect()}
     assert status["B14"] == (15, "too_deep") and status["B3"] == (4, "resolved") and status["R5"][1] == "circular"
-    lines = {r.file: r.text.strip() for r in estate.expand_copies(src, lib).collect()}
+    lines = {r.file: r.text.strip() for r in copybooks.expand(src, lib, marks=False).collect()}
     assert lines == {"P": "05 LEAF PIC X.", "Q": "* >>>CIRCULAR COPY: R0<<<"}
 
 
