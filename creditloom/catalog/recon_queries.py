@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from creditloom.catalog.registry import big, query
 from creditloom.functions import text as tx
-from creditloom.operators import matching, ordered
+from creditloom.operators import alignment, matching, ordered
 from creditloom.plans import recon
+from creditloom.session import cut
 from creditloom.sources import layouts
 
 LINES = "base_line new_line"
@@ -57,6 +58,23 @@ def _(s):
     return recon.diff_stats(recon.compare_exact(pairs(s)))
 
 
+# Lines of both sides with blanks added: normalizing first brings the rest back in step.
+BLANKS_SQL = """WITH nb AS (SELECT file, CASE WHEN line_no % 7 = 2 THEN line_no * 4 END AS extra, line_no * 4 + 1 AS line_no, CONCAT(text, '  ') AS text FROM new_line),
+ ab AS (SELECT file, line_no, text FROM nb UNION ALL SELECT file, extra, '   ' FROM nb WHERE extra IS NOT NULL UNION ALL SELECT file, extra - 1, '' FROM nb WHERE extra IS NOT NULL),
+ cl AS (SELECT file, line_no, RTRIM(text) AS text, 'a' AS side FROM ab UNION ALL SELECT file, line_no, RTRIM(text), 'b' FROM base_line),
+ pv AS (SELECT *, LAG(text) OVER (PARTITION BY side, file ORDER BY line_no) AS before, MAX(CASE WHEN text <> '' THEN line_no END) OVER (PARTITION BY side, file) AS last FROM cl),
+ nu AS (SELECT side, file, text, ROW_NUMBER() OVER (PARTITION BY side, file ORDER BY line_no) AS n FROM pv WHERE NOT (text = '' AND COALESCE(before, '') = '') AND line_no <= last),
+ ex AS (SELECT COALESCE(b.file, a.file) AS file, COALESCE(b.n, a.n) AS line_no, TRIM(COALESCE(b.text, '')) = TRIM(COALESCE(a.text, '')) AS matched FROM (FROM nu WHERE side = 'b') b FULL JOIN (FROM nu WHERE side = 'a') a ON a.file = b.file AND a.n = b.n)
+"""
+
+
+@query("j1_compare_outputs", LINES, BLANKS_SQL + stats_sql("ex"))
+def _(s):
+    base, new = s("base_line", "new_line")
+    grown = new.selectExpr("file", "explode(CASE WHEN line_no % 7 = 2 THEN array(struct(line_no * 4 - 1 AS n, '' AS t), struct(line_no * 4 AS n, '   ' AS t), struct(line_no * 4 + 1 AS n, concat(text, '  ') AS t)) ELSE array(struct(line_no * 4 + 1 AS n, concat(text, '  ') AS t)) END) AS x")
+    return recon.compare_outputs(base, grown.selectExpr("file", "x.n AS line_no", "x.t AS text"))
+
+
 @query("d16_diff_stats", LINES, TOL_SQL + stats_sql("tol"))
 def _(s):
     return recon.diff_stats(recon.compare_tolerant(pairs(s)))
@@ -344,3 +362,16 @@ def _(s):
     par = n.select("file").distinct().select("file", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(4)])).alias("place"))
     par = par.select("file", "place", F.concat(F.lit("Q"), F.col("place").cast("string")).alias("paragraph"))
     return recon.attribute_mismatch(mm, literals(s), par, n.groupBy("file").agg(F.count("*").alias("lines")))
+
+
+# The script replayed on both sides gives the two files; kept lines are found on both.
+@query("g4_edit_script", LINES, """WITH b AS (SELECT file, COUNT(*) AS n, SHA256(STRING_AGG(text, chr(10) ORDER BY line_no)) AS h FROM base_line GROUP BY file), a AS (SELECT file, COUNT(*) AS n, SHA256(STRING_AGG(text, chr(10) ORDER BY line_no)) AS h FROM new_line GROUP BY file)
+ SELECT COALESCE(b.file, a.file) AS file, COALESCE(b.n, 0) AS baseline_lines, COALESCE(a.n, 0) AS actual_lines, b.h AS baseline_hash, a.h AS actual_hash, TRUE AS ordered FROM b FULL JOIN a ON a.file = b.file""")
+def _(s):
+    script = cut(alignment.edit_script(*s("base_line", "new_line")))
+    whole = lambda c: F.sha2(F.expr(f"listagg(text, '\\n') WITHIN GROUP (ORDER BY {c}) FILTER (WHERE {c} IS NOT NULL)"), 256)
+    kept = script.where("op = 'keep'").groupBy("file").agg(F.expr("array_sort(collect_list(struct(baseline_line, actual_line)))").alias("k"))
+    rises = F.aggregate("k", F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(True).alias("ok")), lambda acc, k: F.struct(k["actual_line"].alias("at"), (acc["ok"] & (k["actual_line"] > acc["at"])).alias("ok")))["ok"]
+    count = lambda c: F.count(c)
+    sums = script.groupBy("file").agg(count("baseline_line").alias("baseline_lines"), count("actual_line").alias("actual_lines"), whole("baseline_line").alias("baseline_hash"), whole("actual_line").alias("actual_hash"))
+    return sums.join(kept.select("file", rises.alias("_ok")), "file", "left").select(*sums.columns, F.coalesce("_ok", F.lit(True)).alias("ordered"))

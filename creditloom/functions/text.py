@@ -58,9 +58,15 @@ def mask_labels(line: Column) -> Column:
 
 
 def extract_numbers(line: Column) -> Column:
-    """Numbers of a line as DOUBLE, without dates and versions; any size and scale."""
+    """Numbers of a line in plain notation, without dates and versions, exact at any size and scale.
+
+    Leading zeros, zeros that end a fraction, grouping commas, percent signs and the sign of zero are taken off, so
+    equal numbers are equal texts.
+    """
     found = F.regexp_extract_all(mask_labels(line), F.lit(NUMBER_PATTERN), F.lit(0))
-    return F.transform(found, lambda t: F.translate(t, ",%", "").cast("double"))
+    bare = lambda t: F.regexp_replace(F.translate(t, ",%", ""), r"^(-?)0+(?=\d)", "$1")
+    short = lambda t: F.regexp_replace(F.regexp_replace(bare(t), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.transform(found, lambda t: F.regexp_replace(short(t), r"^-0$", "0"))
 
 
 def line_skeleton(line: Column) -> Column:
@@ -79,19 +85,23 @@ def cosmetic(line: Column) -> Column:
 
 
 def within_tolerance(a: Column, b: Column, pct: Column) -> Column:
-    """Same count, and each pair differs by at most ``pct`` of the larger one."""
-    near = F.zip_with(
-        a,
-        b,
-        lambda x, y: (x == y)
-        | (
-            (pct > 0)
-            & (
-                (F.abs(x - y)).cast("double")
-                <= pct * F.greatest(F.abs(x).cast("double"), F.abs(y).cast("double"), F.lit(1e-9))
-            )
-        ),
-    )
+    """Same count, and each pair of ``extract_numbers`` differs by at most ``pct`` of the larger one.
+
+    Equality is exact at any size.  Shares are exact for numbers of up to 18 digits before and 9 behind the point, and
+    of double precision beyond.
+    """
+    exact = lambda x: F.when(F.regexp_like(x, F.lit(r"^-?\d{1,18}(\.\d{1,9})?$")), x.try_cast("decimal(27,9)"))
+    share = pct.try_cast("decimal(9,8)")
+    share = F.when(share.cast("double") == pct, share)
+
+    def close(x: Column, y: Column) -> Column:
+        p, q = exact(x), exact(y)
+        whole = F.abs(p - q) <= share * F.greatest(F.abs(p), F.abs(q), F.lit("0.000000001").cast("decimal(27,9)"))
+        u, v = x.cast("double"), y.cast("double")
+        rough = F.abs(u - v) <= pct * F.greatest(F.abs(u), F.abs(v), F.lit(1e-9))
+        return F.when(p.isNotNull() & q.isNotNull() & share.isNotNull(), whole).otherwise(rough)
+
+    near = F.zip_with(a, b, lambda x, y: (x == y) | ((pct > 0) & close(x, y)))
     return (F.size(a) == F.size(b)) & F.forall(near, lambda ok: F.coalesce(ok, F.lit(False)))
 
 

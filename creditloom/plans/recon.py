@@ -225,6 +225,15 @@ def diff_stats(compared: DataFrame) -> DataFrame:
     return agg.withColumn("diff_pct_e2", idiv(F.lit(20_000) * d + n, F.lit(2) * n))
 
 
+def compare_outputs(baseline: DataFrame, actual: DataFrame) -> DataFrame:
+    """Normalized comparison per file: blanks collapsed on both sides, lines paired, matched after trimming, counted.
+
+    A blank line more or less does not shift what follows.  Files on one side only diverge in every line; files of
+    blank lines have no lines to compare and give no row.
+    """
+    return diff_stats(compare_exact(pair_lines(collapse_blanks(baseline), collapse_blanks(actual))))
+
+
 def mismatch_highlights(compared: DataFrame, n: int = 50) -> DataFrame:
     """First n mismatches per file."""
     return first_n(compared.where(~F.col("matched")), ["file"], [F.col("line_no")], n)

@@ -123,3 +123,15 @@ def test_packed_decimal_bytes(spark):
 def test_extract_numbers(spark, line, want):
     got = values(spark, tx.extract_numbers(F.col("t")), [(line,)], "t string")[0]
     assert [float(x) for x in got] == want
+
+
+def test_numbers_are_exact_at_any_size(spark):
+    line = "A 0012345678901234567890 B -0.000000100% C 1,234.50 D -0 E 0.0 F 20260531 G v2.3"
+    assert values(spark, tx.extract_numbers(F.col("t")), [(line,)], "t string")[0] == ["12345678901234567890", "-0.0000001", "1234.5", "0", "0"]
+    cases = [
+        ("12345678901234567890", "12345678901234567891", 0.0, False), ("12345678901234567890", "12345678901234567891", 0.001, True), ("12345678901234567890.0", "12345678901234567890", 0.0, True),
+        ("0.0000001", "0.0000002", 0.1, False), ("0.0000001", "0.0000001000", 0.0, True), ("1000", "999", 0.001, True), ("1000", "998.999999999", 0.001, False), ("3", "2.997", 0.001, True), ("5", "5 6", 0.5, False),
+        ("1" * 40, "1" * 39 + "2", 0.0, False), ("1" * 40, "1" * 39 + "2", 1e-9, True),
+    ]
+    near = tx.within_tolerance(tx.extract_numbers(F.col("a")), tx.extract_numbers(F.col("b")), F.col("p"))
+    assert values(spark, near, [c[:3] for c in cases], "a string, b string, p double") == [c[3] for c in cases]
