@@ -306,6 +306,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Dat
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item; rows without id stay."""
-    bad = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint") == F.col("_bad"), "left_anti")
+    """Rows of ``docs`` that hold no benchmark item.
+
+    Rows are told apart by id and text together, so rows without id are judged too, and of rows that share an id only
+    those that hold an item go.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("bigint"), "text")
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.components import components
@@ -17,6 +17,8 @@ QUERIES = 8_192
 #: The same where shingle sets travel along: entries of a shard, and nodes of one block of a large key.
 SHARD_SETS = 8_192
 BLOCK = 1_024
+#: Shingles up to which a set is searched for without the radius.
+SMALL_SET = 16
 BLOCKS = 4
 
 
@@ -199,8 +201,13 @@ def _band_keys(shingles: np.ndarray, bands: int) -> list[int]:
     return [xxhash.xxh64_intdigest(least[2 * i : 2 * i + 2].tobytes(), i) for i in range(bands)]
 
 
+def content_of(docs: DataFrame) -> Column:
+    """A text as a 64-bit number; rows are told apart by id and content."""
+    return F.xxhash64(docs["text"])
+
+
 def _shingle_sets(docs: DataFrame, size: int, bands: int) -> DataFrame:
-    """``doc_id``, ``node`` (hash of the text's shingle set) and its ``fp`` and ``keys``; with no bands, the ``shingles`` instead."""
+    """``doc_id``, ``content`` (hash of the text), ``node`` (hash of its shingle set) and its ``fp`` and ``keys``; with no bands, ``node`` and ``shingles``."""
 
     def run(batches):
         for batch in batches:
@@ -210,12 +217,12 @@ def _shingle_sets(docs: DataFrame, size: int, bands: int) -> DataFrame:
                 fps = np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64)
                 keys = [np.array(_band_keys(x, bands) if len(x) else [], np.uint64).view(np.int64) for x in sets]
                 more = [pa.array(fps), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes), *more], names=["doc_id", "node", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(nodes), *more], names=["doc_id", "content", "node", "fp", "keys"])
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, node bigint, fp bigint, keys array<bigint>" if bands else "node bigint, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), content_of(docs).alias("content"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, content bigint, node bigint, fp bigint, keys array<bigint>" if bands else "node bigint, shingles binary")
 
 
 def _verified_links(table: pa.Table, radius: int, similarity: float) -> pa.Table:
@@ -234,13 +241,15 @@ def _verified_links(table: pa.Table, radius: int, similarity: float) -> pa.Table
     order = np.argsort(trees, kind="stable")
     largest = int(np.unique(trees, return_counts=True)[1].max())
     step = max(1, 2_000_000 // largest)
-    for begin in range(0, len(order), step):
-        some = order[begin : begin + step]
-        asked, found = [], []
-        for q, node in forest.links(trees[some], fps[some], radius):
+    few = sizes[at[order]] <= SMALL_SET
+    rounds = [(part[begin : begin + step], reach) for part, reach in ((order[~few], radius), (order[few], 64)) for begin in range(0, len(part), step)]
+    for some, reach in rounds:
+        asked, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q, node in forest.links(trees[some], fps[some], reach):
             a, b = at[some[q]], at[node]
             low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            fit = (a < b) & (low >= similarity * high - 1) & (label[a] != label[b])
+            # A small set finds its larger neighbours too, as they do not search as far.
+            fit = ((a < b) if reach == radius else (a != b)) & (low >= similarity * high - 1) & (label[a] != label[b])
             asked.append(a[fit])
             found.append(b[fit])
         asked, found = np.concatenate(asked), np.concatenate(found)
@@ -263,8 +272,10 @@ def _verified_links(table: pa.Table, radius: int, similarity: float) -> pa.Table
     return pa.table({"a": nodes[label[linked]], "b": nodes[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 10) -> DataFrame:
-    """Components of documents whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
+def _similar_nodes(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 24, bands: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``doc_id, content, node``, and the ``root`` node of each node's component.
+
+    Components are those of documents whose sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
     Words are as in ``near_duplicates``; texts with one shingle set are one node (by its 64-bit hash), texts without
     words, or null, are one node too.  Three bits only find texts that hardly differ, so trees here stand on ``bands``
@@ -273,12 +284,12 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     their shingles.  A key with over ``BLOCK`` nodes is dealt by pairs of blocks, so that a task holds at most two
     blocks of a key and no pair is left out.
 
-    Rows without an id take no part.  Returns one row per ``doc_id`` and node: ``doc_id, node, component_id`` (the
-    smallest ``doc_id`` of the component).
+    Small sets differ in more bits at the same similarity, so those of up to ``SMALL_SET`` shingles are searched without
+    the radius.
     """
-    rows = docs.where(F.col("doc_id").isNotNull())
+    rows = docs
     marked = cut(_shingle_sets(rows, size, bands))
-    described = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    described = cut(marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")))
     nodes = described.select("node", "least")
     keyed = described.select("node", "fp", F.explode("keys").alias("key"))
     # Close texts share most keys: of keys with the same nodes, told by count and two sums of hashes, one is enough.
@@ -288,7 +299,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     shared = shared.where("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key", "_n")
     entries = cut(keyed.join(shared, "key"))
     wanted = entries.select("node").distinct().join(nodes, "node")
-    texts = rows.join(wanted.select(F.col("least").alias("_least")), F.col("doc_id").cast("bigint") == F.col("_least"), "left_semi")
+    wanted = wanted.select(F.col("least.doc_id").alias("_id"), F.col("least.content").alias("_content"))
+    texts = rows.join(wanted, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (content_of(rows) == F.col("_content")), "left_semi")
     sets = _shingle_sets(texts, size, 0).groupBy("node").agg(F.first("shingles").alias("shingles"))
     blocks = F.ceil(F.col("_n") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks)
@@ -302,19 +314,29 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     ready = dealt.join(sets, "node").select("node", "fp", "tree", "shingles", F.pmod("tree", F.lit(shards)).alias("shard"))
     edges = ready.groupBy("shard").applyInArrow(lambda t: _verified_links(t, radius, similarity), "a bigint, b bigint")
     found = components(edges).withColumnRenamed("component", "root")
-    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    per_node = cut(rooted.select("node", "root").join(least, "root").select("node", "component_id"))
-    return marked.select("doc_id", "node").distinct().join(per_node, "node").select("doc_id", "node", "component_id")
+    roots = cut(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"))
+    return marked.select("doc_id", "content", "node"), roots
+
+
+def similar_documents(docs: DataFrame, **settings) -> DataFrame:
+    """One row per ``doc_id`` and node: ``doc_id, node, component_id`` (the smallest ``doc_id`` of the component).
+
+    Components and settings are those of ``_similar_nodes``.  Rows without an id join components, but are not returned.
+    """
+    rows, roots = _similar_nodes(docs, **settings)
+    least = cut(roots.groupBy("root").agg(F.min("least.doc_id").alias("component_id")))
+    per_node = cut(roots.join(least, "root").select("node", "component_id"))
+    return rows.where(F.col("doc_id").isNotNull()).select("doc_id", "node").distinct().join(per_node, "node").select("doc_id", "node", "component_id")
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows whose ``doc_id`` is its component's id, one of those that share it; rows without an id stay, once per text.
+    """One row of each component: that with the smallest ``doc_id`` (rows without id last), ties by content.
 
-    Components are those of ``similar_documents``, with its settings.
+    Components and settings are those of ``_similar_nodes``.  Rows are told apart by id and content, so rows that share
+    an id but not a text are kept unless they are near copies of others, and rows without id take part.
     """
-    found = similar_documents(docs, **settings)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("_keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(keep, F.col("doc_id").cast("bigint") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    rows, roots = _similar_nodes(docs, **settings)
+    first = cut(roots.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.content").alias("_content")).distinct())
+    keep = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (content_of(docs) == F.col("_content"))
+    kept = docs.join(first, keep, "left_semi")
+    return kept.withColumn("_text", content_of(docs)).dropDuplicates(["doc_id", "_text"]).drop("_text")

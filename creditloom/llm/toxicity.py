@@ -148,10 +148,17 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most: int = 1000, sample
         total += r["n"] or 0
         if total <= sample_bytes:
             taken.append(r["_id"])
-    got = {r["_id"]: r for r in rows.where(F.col("_id").isin(taken)).collect()} if len(taken) < len(sized) else {r["_id"]: r for r in rows.collect()}
-    order = sorted(got)
-    del rows
-    return fit([bytes(got[i]["text"] or b"") for i in order], [got[i]["toxic"] for i in order])
+    chosen = rows.where(F.col("_id").isin(taken)) if len(taken) < len(sized) else rows
+
+    def run(batches):
+        got = sorted({(r["_id"], bytes(r["text"] or b""), r["toxic"]) for batch in batches for r in batch.to_pylist()})
+        one = {i: (text, label) for i, text, label in reversed(got)}  # of rows that share an id, the least
+        model = fit([one[i][0] for i in sorted(one)], [one[i][1] for i in sorted(one)])
+        yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()], pa.binary()), pa.array([model.bias])], names=["gain", "bias"])
+
+    # One task fits, as the sample is bounded; the driver only gets the table of gains.
+    fitted = chosen.select("_id", "text", "toxic").repartition(1).mapInArrow(run, "gain binary, bias double").collect()
+    return Model(np.frombuffer(fitted[0]["gain"]), fitted[0]["bias"]) if fitted else fit([], [])
 
 
 def _score_texts(model: Model, texts: pa.Array) -> np.ndarray:

@@ -122,7 +122,7 @@ def brute_similar(pairs, size=5, similarity=0.8):
         w = (t or "").encode().lower().split()
         return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
-    sets = [(i, shingles(t)) for i, t in pairs if i is not None]
+    sets = [(i, shingles(t)) for i, t in pairs]
     group = {x: x for _, x in sets}
     distinct = list(group)
     for k, a in enumerate(distinct):
@@ -132,7 +132,7 @@ def brute_similar(pairs, size=5, similarity=0.8):
                 group = {x: new if g == old else g for x, g in group.items()}
     least = {}
     for i, x in sets:
-        least[group[x]] = min(i, least.get(group[x], i))
+        least[group[x]] = min((j for j in (i, least.get(group[x])) if j is not None), default=None)
     return Counter({(i, least[group[x]]) for i, x in sets})
 
 
@@ -154,11 +154,11 @@ def test_similar_documents_are_one_component(spark, docs, rows, monkeypatch, blo
     frame = docs.unionByName(docs_of(spark, more))
     got = simhash_bk.similar_documents(frame).collect()
     wanted = brute_similar([(i, t) for i, t, _ in rows + more])
-    assert Counter((x.doc_id, x.component_id) for x in got) == wanted
+    assert Counter((x.doc_id, x.component_id) for x in got) == Counter({w for w in wanted if w[0] is not None})
     assert 20 < len({c for _, c in wanted}) < len(wanted) - 40
     kept = simhash_bk.one_of_each(frame)
     assert kept.columns == docs.columns
-    assert Counter(x.doc_id for x in kept.collect()) == Counter({c for _, c in wanted} | {None})
+    assert Counter(x.doc_id for x in kept.collect()) == Counter({c for _, c in wanted})  # the row without id has a near copy
 
 
 def test_dense_fingerprints_keep_all_links(spark, monkeypatch):
@@ -429,3 +429,36 @@ def test_chat_query_matches_plain_python(spark):
         want[c] = (len(turns), sha("".join(f"{role}\n{t}\n" for _, role, t in turns)), len(loss), sha(loss))
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in QUERIES["op3_chat_formatting"](spark, DATA).collect()}
     assert got == want
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Near-dedup and decontamination drop no row for its id alone, and judge rows without id."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a b c d e f g h", "s"), (1, "completely other words than those above it", "s"), (2, long, "s"), (None, long + " tail", "s"), (None, "alone in the table without an id", "s"), (1, "a b c d e f g h", "s")]
+    kept = Counter((r.doc_id, r.text) for r in simhash_bk.one_of_each(docs_of(spark, rows)).collect())
+    assert kept == Counter([rows[0][:2], rows[1][:2], rows[2][:2], rows[4][:2]])
+    item = "Which river flows through the capital of the northern province before it meets the sea near the old harbour town"
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    docs = docs_of(spark, [(None, item, "s"), (None, "clean words", "s"), (4, "clean too", "s"), (4, "before " + item, "s")])
+    assert Counter((r.doc_id, r.text) for r in decontam.keep_clean(docs, bench).collect()) == Counter([(None, "clean words"), (4, "clean too")])
+
+
+def test_small_sets_link_beyond_the_radius(spark):
+    """Sets of four and five shingles at a similarity of 0.8 differ in many bits."""
+    r = random.Random(11)
+    rows = []
+    for i in range(300):
+        words = [f"q{r.randrange(10**6)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words[:8]), "s"), (2 * i + 1, " ".join(words), "s")]
+    found = {x.doc_id: x.component_id for x in simhash_bk.similar_documents(docs_of(spark, rows), radius=3, bands=40).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(300)) == 300
+
+
+def test_training_on_little(spark):
+    """No rows, one class, and rows that share a labelled id."""
+    frame = spark.createDataFrame([(1, "a b", 1), (1, "c d", 1)], "doc_id bigint, text string, n int")
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id bigint, quality int, toxic int")
+    none = F.lit(False)
+    for docs, known in ((frame.limit(0), labels), (frame, labels.limit(0)), (frame, labels)):
+        model = toxicity.train(docs, known, none)
+        assert len(model.gain) == toxicity.BUCKETS and not model.gain.any()
