@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Placeholders of attachments; texts cannot hold them because ``<|`` is escaped there.
+#: Placeholders of attachments; texts cannot hold them because ``<`` is escaped there.
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
 def escape(text: Column) -> Column:
-    """No ``<|`` is left; ``unescape`` gives the text back."""
-    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<|"), F.lit("&lt;|"))
+    """No ``<`` is left, so no control string can arise, also not where parts meet; ``unescape`` gives the text back."""
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
 def escape_role(role: Column) -> Column:
@@ -87,22 +87,14 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
             F.coalesce(F.col("role").isin(*loss_roles), F.lit(False)).alias("loss"),
         ).alias("t"),
     )
-    whole = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
-    start = lambda acc, t: acc["at"] + len(START) + F.length(t["role"]) + 1
-    walk = F.aggregate(
-        "ts",
-        F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")),
-        lambda acc, t: F.struct(
-            (start(acc, t) + F.length(t["content"]) + len(END)).cast("bigint").alias("at"),
-            F.when(
-                t["loss"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct(start(acc, t).cast("bigint").alias("start"), F.length(t["content"]).cast("bigint").alias("length"))),
-                ),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
+    # Where each turn begins, as a running sum in the order of the turns.
+    before = Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.lit(len(START) + 1 + len(END)) + F.length(F.col("t.role")) + F.length(F.col("t.content"))
+    placed = flat.withColumn("at", F.coalesce(F.sum(size.cast("bigint")).over(before), F.lit(0)))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("t.*", "at"))).alias("ts"))
+    spans = F.transform(
+        F.filter("ts", lambda t: t["loss"]),
+        lambda t: F.struct((t["at"] + len(START) + F.length(t["role"]) + 1).cast("bigint").alias("start"), F.length(t["content"]).cast("bigint").alias("length")),
     )
     written = F.transform("ts", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["content"], F.lit(END)))
     attachments = F.flatten(F.transform("ts", lambda t: t["attachments"]))
@@ -111,7 +103,7 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
         F.concat_ws("", written).alias("formatted"),
         attachments.alias("attachments"),
         F.aggregate(attachments, F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"),
-        walk["spans"].alias("loss_spans"),
+        spans.alias("loss_spans"),
     )
 
 

@@ -43,7 +43,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-_ESCAPED = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
+_ESCAPED = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
 
 
 @query(
