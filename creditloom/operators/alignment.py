@@ -7,14 +7,20 @@ more than a gap or the runs of crossing anchors of one, both bounded.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.operators.ordered import first_n, previous, running, running_sum
 from creditloom.session import cut, stored
 
+# The helpers travel to the executors with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Lines of both sides of a gap that one task aligns; rounds of anchors; runs of anchors that are weighed in one task.
 GAP_LINES, ROUNDS, MOST_RUNS = 4_000, 3, 200_000
 #: Differences up to which a gap is aligned exactly; beyond it the rest of the gap is replaced.
