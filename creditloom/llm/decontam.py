@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +85,13 @@ SENTENCES, CAPITALS, EXACT = range(3)
 
 def template(text: str, reading: int = SENTENCES) -> tuple[list[str], list[str]]:
     """Canonical tokens and slot values.  ``5kg`` is a number and a unit; bare punctuation disappears."""
-    tokens, values, first, last = [], [], True, ""
-    for raw in _words(text):
+    return _template(_words(text), reading, True, False)
+
+
+def _template(raws: list[str], reading: int, first: bool, number: bool) -> tuple[list[str], list[str]]:
+    """The same for a stretch of words that starts a sentence (``first``), or follows a number, or neither."""
+    tokens, values, last = [], [], NUMBER if number else ""
+    for raw in raws:
         parts, ends, bare = _written(raw)
         for kind, low in parts:
             if kind == "unit?":
@@ -104,6 +110,38 @@ def template(text: str, reading: int = SENTENCES) -> tuple[list[str], list[str]]
     return tokens, values
 
 
+#: Kinds of tokens by number; 0 stands for all others.
+_KINDS = {NUMBER: 1, "unit?": 2, UNIT: 3, "name?": 4, "start?": 5}
+_NUMBER_HASH, _UNIT_HASH, _NAME_HASH = mix(np.array([xxhash.xxh64_intdigest(t) for t in (NUMBER, UNIT, NAME)], dtype=U64))
+#: By kind: its placeholder's hash, and whether it stands with all capitals, inside a sentence, at its start.
+_SLOT_HASH = np.array([0, _NUMBER_HASH, _UNIT_HASH, _UNIT_HASH, _NAME_HASH, _NAME_HASH], dtype=U64)
+_IN_CAPITALS = np.array([0, 1, 0, 1, 1, 0], bool)
+_INSIDE = np.array([0, 1, 0, 1, 1, 1], bool)
+_AT_START = np.array([0, 1, 0, 1, 0, 0], bool)
+
+
+class Reading:
+    """Token hashes of one text in all readings, and the words that they come from."""
+
+    def __init__(self, raws, hashes, first, start, word, kind):
+        self.raws, self.hashes, self.first, self.start, self.word, self.kind = raws, hashes, first, start, word, kind
+
+    def template(self, reading: int, a: int, e: int) -> tuple[list[str], list[str]]:
+        """Template tokens and slot values from token ``a`` to before ``e``; only their words are read again."""
+        at, end = int(self.word[a]), int(self.word[e - 1]) + 1
+        lead = int(self.start[at])
+        tokens, values = _template(self.raws[at:end], reading, bool(self.first[at]), lead > 0 and self.kind[lead - 1] == 1)
+        return tokens[a - lead : e - lead], values[a - lead : e - lead]
+
+    def windows(self, sizes: tuple[int, ...]):
+        """Reading, window size and window hashes for each reading and size that fits the text."""
+        for reading, values in enumerate(self.hashes):
+            rolling = Rolling(values)
+            for size in sizes:
+                if len(values) >= size:
+                    yield reading, size, rolling.windows(size) ^ U64(size)
+
+
 class Codes:
     """Hashes of the template tokens of texts in all readings; written words come from a table of bounded size."""
 
@@ -113,80 +151,86 @@ class Codes:
 
     def _clear(self):
         self.known: dict[str, int] = {}
-        #: By written word: tokens, whether a sentence ends, whether it is punctuation alone, and its first token's row.
-        self.words = np.zeros((1 << 12, 4), np.int64)
-        #: By token: hashes as written, with all capitals, inside a sentence, at its start; 1 for numbers, 2 for "unit?".
-        self.hashes, self.kinds, self.tokens = np.zeros((1 << 12, 4), U64), np.zeros(1 << 12, np.int8), 0
+        #: By written word: its first token's row; 4 times its tokens, plus 2 if it ends a sentence, plus 1 if it is punctuation alone.
+        self.rows, self.marks = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int8)
+        #: By token: its hash as written, and its kind.
+        self.hashes, self.kinds, self.tokens = np.zeros(1 << 12, U64), np.zeros(1 << 12, np.int8), 0
 
     def _add(self, raws: list[str]) -> None:
         """Rows of words that were not met before; the tables double when they are full."""
-        words, hashes, kinds, at = [], [], [], len(self.known)
-        name = xxhash.xxh64_intdigest(NAME)
+        known, rows, marks, hashes, kinds, at = self.known, [], [], [], [], len(self.known)
         for raw in raws:
-            if raw in self.known:
+            if raw in known:
+                continue
+            known[raw] = len(known)
+            rows.append(self.tokens + len(hashes))
+            whole = raw.strip(_TRIM)
+            if whole.isalpha() and whole.islower() and whole not in UNITS and whole not in NUMBER_WORDS:
+                marks.append(6 if raw[-1] in ".!?:|" else 4)
+                hashes.append(xxhash.xxh64_intdigest(whole))
+                kinds.append(0)
                 continue
             parts, ends, bare = _written(raw)
-            self.known[raw] = len(self.known)
-            words.append((len(parts), ends, bare, self.tokens + len(hashes)))
+            marks.append(4 * len(parts) + 2 * ends + bare)
             for kind, low in parts:
-                word = xxhash.xxh64_intdigest(low)
-                if kind == "name?":
-                    hashes.append((word, name, name, word))
-                elif kind == "start?":
-                    hashes.append((word, word, name, word))
-                else:
-                    slot = xxhash.xxh64_intdigest(kind) if kind in _GAP else word
-                    hashes.append((word, slot, slot, slot))
-                kinds.append(1 if kind == NUMBER else 2 if kind == "unit?" else 0)
-        while at + len(words) > len(self.words):
-            self.words = np.concatenate((self.words, np.zeros_like(self.words)))
+                hashes.append(xxhash.xxh64_intdigest(low))
+                kinds.append(_KINDS.get(kind, 0))
+        while at + len(rows) > len(self.rows):
+            self.rows, self.marks = np.concatenate((self.rows, np.zeros_like(self.rows))), np.concatenate((self.marks, np.zeros_like(self.marks)))
         while self.tokens + len(kinds) > len(self.kinds):
             self.hashes, self.kinds = np.concatenate((self.hashes, np.zeros_like(self.hashes))), np.concatenate((self.kinds, np.zeros_like(self.kinds)))
-        self.words[at : at + len(words)] = words
+        self.rows[at : at + len(rows)] = rows
+        if rows:
+            self.marks[at : at + len(rows)] = marks
         if kinds:
             to = self.tokens + len(kinds)
-            self.hashes[self.tokens : to] = mix(np.array(hashes, dtype=U64).ravel()).reshape(-1, 4)
+            self.hashes[self.tokens : to] = mix(np.array(hashes, dtype=U64))
             self.kinds[self.tokens : to] = kinds
             self.tokens = to
 
-    def __call__(self, text: str) -> list[np.ndarray]:
-        """Hashes of the tokens in the readings ``SENTENCES, CAPITALS, EXACT``."""
-        raws = _words(text)
+    def read(self, raws: list[str]) -> Reading:
         if not raws:
-            return [np.zeros(0, U64)] * 3
+            return Reading([], [np.zeros(0, U64)] * 3, *[np.zeros(0, np.int64)] * 4)
         if len(self.known) > self.most:
             self._clear()
-        found = list(map(self.known.get, raws))
-        if None in found:
-            self._add([r for r, i in zip(raws, found) if i is None])
-            found = list(map(self.known.get, raws))
-        at = np.array(found)
-        count, ends, bare, row = self.words[at].T
-        ends, bare = ends > 0, bare > 0
+        at = np.fromiter(map(self.known.get, raws, repeat(-1)), np.int64, len(raws))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unmet = [raws[i] for i in new.tolist()]
+            self._add(unmet)
+            at[new] = [self.known[r] for r in unmet]
+        marks = self.marks[at]
+        count, ends, bare = marks >> 2, (marks & 2) > 0, (marks & 1) > 0
         # A word starts a sentence if the last one before it that is no mere mark ends one, or any mark since.
         settled = ends | ~bare
         last = np.maximum.accumulate(np.where(settled, np.arange(len(at)), -1))
-        before = np.concatenate(([-1], last[:-1]))
+        before = np.concatenate(([-1], last[:-1])).astype(np.int64)
         first = (before < 0) | ends[before]
-        token = np.repeat(row - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        h, kind, first = self.hashes[token], self.kinds[token], np.repeat(first, count)
-        exact, capitals, sentences = h[:, 0].copy(), h[:, 1].copy(), np.where(first, h[:, 3], h[:, 2])
-        unit = np.flatnonzero(kind == 2)
-        unit = unit[(unit > 0) & (kind[unit - 1] == 1)]
+        start = np.cumsum(count, dtype=np.int64) - count
+        total = int(start[-1] + count[-1]) if len(at) else 0
+        word = np.repeat(np.arange(len(at)), count)
+        token = self.rows[at][word] + np.arange(total) - start[word]
+        exact, kind = self.hashes[token], self.kinds[token]
+        sentences, capitals = exact.copy(), exact.copy()
+        odd = np.flatnonzero(kind)
+        k = kind[odd]
+        slot = odd[_IN_CAPITALS[k]]
+        capitals[slot] = _SLOT_HASH[kind[slot]]
+        slot = odd[np.where(first[word[odd]], _AT_START[k], _INSIDE[k])]
+        sentences[slot] = _SLOT_HASH[kind[slot]]
+        unit = odd[(k == 2) & (odd > 0)]
+        unit = unit[kind[unit - 1] == 1]
         capitals[unit] = sentences[unit] = _UNIT_HASH
-        return [sentences, capitals, exact]
-
+        return Reading(raws, [sentences, capitals, exact], first, start, word, kind)
 
-_UNIT_HASH = mix(np.array([xxhash.xxh64_intdigest(UNIT)], dtype=U64))[0]
+    def __call__(self, text: str) -> list[np.ndarray]:
+        """Hashes of the tokens in the readings ``SENTENCES, CAPITALS, EXACT``."""
+        return self.read(_words(text)).hashes
 
 
 def template_windows(text: str, sizes: tuple[int, ...], codes: Codes):
-    """Reading, window size and window hashes for each reading and size that fits the text."""
-    for reading, values in enumerate(codes(text)):
-        rolling = Rolling(values)
-        for size in sizes:
-            if len(values) >= size:
-                yield reading, size, rolling.windows(size) ^ U64(size)
+    """Windows of a text in all readings."""
+    return codes.read(_words(text)).windows(sizes)
 
 
 _WINDOW = "item_id bigint, hash bigint, size int, slots array<string>, words string, parts int"
@@ -237,8 +281,8 @@ def document_windows(docs: DataFrame, sizes: tuple[int, ...], wanted) -> DataFra
         for batch in batches:
             rows = {c: [] for c in _HIT_ARROW.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                read, plain = {}, {}
-                for reading, size, hashes in template_windows(text or "", sizes, codes):
+                read, plain = codes.read(_words(text or "")), {}
+                for reading, size, hashes in read.windows(sizes):
                     # A window without slots is the same in several readings and is sent once.
                     if wanted is None:
                         at = np.arange(len(hashes))
@@ -250,16 +294,19 @@ def document_windows(docs: DataFrame, sizes: tuple[int, ...], wanted) -> DataFra
                     for other in plain.setdefault(size, []):
                         at = at[other[at] != hashes[at]]
                     plain[size].append(hashes)
-                    signed = hashes.view(np.int64)
-                    if len(at) and reading not in read:
-                        read[reading] = template(text, reading)
-                    tokens, values = read.get(reading, ([], []))
-                    for i in at.tolist():
-                        rows["doc_id"].append(doc)
-                        rows["place"].append(i)
-                        rows["hash"].append(int(signed[i]))
-                        rows["slots"].append(values[i : i + size])
-                        rows["words"].append(" ".join(tokens[i : i + size]))
+                    if not len(at):
+                        continue
+                    signed = hashes[at].view(np.int64).tolist()
+                    for run in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) >= size) + 1):
+                        a = int(at[run[0]])
+                        tokens, values = read.template(reading, a, int(at[run[-1]]) + size)
+                        for j in run.tolist():
+                            i = int(at[j])
+                            rows["doc_id"].append(doc)
+                            rows["place"].append(i)
+                            rows["hash"].append(signed[j])
+                            rows["slots"].append(values[i - a : i - a + size])
+                            rows["words"].append(" ".join(tokens[i - a : i - a + size]))
             yield pa.RecordBatch.from_pydict(rows, schema=_HIT_ARROW)
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
