@@ -103,6 +103,13 @@ def _(s):
     return recon.compare_by_rules(pairs(s), exact=["ROW 2"], tolerant={"ROW 3": 0.5}, ignore=["Row 1"]).select("file", "line_no", "kind", "matched")
 
 
+@query("j3_diff_lines_rule_table", LINES, RULES_SQL + "SELECT file, line_no, rkind AS kind, rkind IN ('ignored', 'exact', 'tolerant', 'default') AS matched FROM ru")
+def _(s):
+    both = pairs(s)
+    rules = recon.field_rules(both.sparkSession, exact=["ROW 2"], tolerant={"ROW 3": 0.5}, ignore=["Row 1"])
+    return recon.compare_by_table(both, rules).select("file", "line_no", "kind", "matched")
+
+
 @query("j3_line_count_rule", LINES, PAIR_SQL + "SELECT file, COUNT(*) FILTER (in_baseline) AS baseline_lines, COUNT(*) FILTER (in_actual) AS actual_lines, COUNT(*) FILTER (in_baseline) = COUNT(*) FILTER (in_actual) AS same_count FROM pa GROUP BY file")
 def _(s):
     return recon.line_count_rule(pairs(s))
@@ -126,7 +133,8 @@ def job_lines(s):
 @query("j4_program_rules", "base_line", f"""SELECT line_no, CASE WHEN REGEXP_MATCHES(text, '(?i)CLASS\\s+[1-4]\\s*:') THEN 0.0 WHEN REGEXP_MATCHES(text, '(?i)TOTAL\\s+PROV') THEN 0.0001 ELSE 0.001 END::DOUBLE AS tolerance
  FROM (SELECT line_no, {JOB_TEXT} AS text FROM base_line)""")
 def _(s):
-    return job_lines(s).select("line_no", recon.tolerance_for(F.col("text"), recon.JOB_RULES["classification"]).alias("tolerance"))
+    lines = job_lines(s).withColumn("job", F.lit("classification"))
+    return recon.tolerances(lines, recon.program_rules(lines.sparkSession)).select("line_no", "tolerance")
 
 
 @query("j5_summary_line_match", "base_line", f"""SELECT line_no, CASE line_no % 5 WHEN 3 THEN line_no % 2 = 0 WHEN 4 THEN line_no % 2 = 0 ELSE FALSE END AS matched FROM base_line""")

@@ -98,6 +98,59 @@ def longest_literal(lines: DataFrame, literals: DataFrame, group: str) -> DataFr
     )
 
 
+#: Parts of a pattern that stand for varying text; a pattern made of these and of plain characters has fixed factors.
+_VARYING = r"\\[sdwSDWbB][+*]?|\[[^\]\[\\^]+\][+*]?"
+_PLAIN = r"[A-Za-z0-9_ =:;,/%#@&<>!~\"'-]"
+#: Shares of the texts that meet rules without a fixed factor.
+RULE_SALTS = 64
+
+
+def fixed_factor(pattern: Column) -> Column:
+    """Longest text, in lower case, that every match of a pattern holds; null where the pattern is not plain enough to tell."""
+    parts = F.split(F.regexp_replace(pattern, F.lit(_VARYING), F.lit("\x01")), "\x01")
+    longest = F.aggregate(parts, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    return F.when(pattern.rlike(f"^(?:{_PLAIN}|{_VARYING})+$"), F.lower(F.nullif(longest, F.lit(""))))
+
+
+def first_rules(texts: DataFrame, rules: DataFrame, group: str, values: list[str]) -> DataFrame:
+    """The first rule that applies to each text: columns ``values`` of the rule with the least ``place``, null if none applies.
+
+    ``texts(group, text)``; ``rules(group, place, field, pattern, ...)``.  A rule applies where the text contains
+    ``field`` or, if that is null, matches ``pattern``, both without regard to case; a rule with neither never applies.
+    Places are unique in a group.  Each rule waits at one piece of its field, or of a text that all matches of its
+    pattern hold: the piece that the fewest rules hold.  Each text visits its own pieces, so only rules that can apply meet it; the rules are
+    a small table as a rule, which the optimizer broadcasts after its size check.  Rules without such a text, as ``a|b``,
+    meet every text, in ``RULE_SALTS`` shares.  Null texts have no rule; equal texts are judged once.
+    """
+    lit = F.lower(F.coalesce("field", fixed_factor(F.col("pattern"))))
+    known = rules.where(F.col("field").isNotNull() | F.col("pattern").isNotNull()).select(
+        group, "place", "field", "pattern", F.struct(*values).alias("_rule"), F.nullif(lit, F.lit("")).alias("_lit")
+    )
+    known = known.withColumn("_width", F.when(F.col("_lit").isNotNull(), _anchor_width(F.col("_lit"))))
+    widths = sorted(r[0] for r in known.select("_width").distinct().collect() if r[0])  # at most all of ANCHOR_WIDTHS
+    of_width = lambda s: F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.when(F.col("_width") == w, _pieces(s, w)).otherwise(F.array().cast("array<string>")) for w in widths]))
+    pieces = known.where("_width IS NOT NULL").select("*", F.explode(of_width(F.col("_lit"))).alias("_anchor"))
+    held = pieces.groupBy(group, "_anchor").agg(F.count("*").alias("_held"))
+    keyed = pieces.join(held, [group, "_anchor"]).groupBy(group, "place").agg(
+        F.min_by(F.struct("field", "pattern", "_rule", "_lit", "_anchor"), F.struct("_held", "_anchor")).alias("_r")
+    ).select(group, "place", "_r.*")
+    free = known.where("_width IS NULL").select(
+        group, "place", "field", "pattern", "_rule", F.lit("").alias("_lit"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)), lambda i: F.concat(F.lit("\x00"), i.cast("string")))).alias("_anchor"),
+    )
+    waiting = keyed.unionByName(free)
+    each = texts.select(group, "text").where(F.col("text").isNotNull()).distinct().withColumn("_low", F.lower("text"))
+    salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("text"), F.lit(RULE_SALTS)).cast("string"))
+    places = F.array_distinct(F.concat(F.array(salt), *[_pieces(F.col("_low"), w) for w in widths]))
+    met = each.select(group, "text", "_low", F.explode(places).alias("_anchor")).join(waiting, [group, "_anchor"])
+    met = met.where(
+        F.col("_low").contains(F.col("_lit"))
+        & F.when(F.col("field").isNotNull(), F.col("_low").contains(F.lower("field"))).otherwise(F.regexp_like("text", F.concat(F.lit("(?i)"), "pattern")))
+    )
+    best = met.groupBy(group, "text").agg(F.min_by("_rule", "place").alias("_rule"))
+    return texts.select(group, "text").distinct().join(best, [group, "text"], "left").select(group, "text", *[F.col(f"_rule.{v}").alias(v) for v in values])
+
+
 def merge(target: DataFrame, changes: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Keyed upsert with a verdict per change.
 

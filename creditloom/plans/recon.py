@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions import text as tx
 from creditloom.functions.pic import idiv
-from creditloom.operators.matching import longest_literal
+from creditloom.operators.matching import first_rules, longest_literal
 from creditloom.operators.ordered import dense_ids, first_n, previous, row_numbers
 from creditloom.session import cut
 from creditloom.sources.layouts import Field
@@ -183,6 +183,13 @@ def compare_by_rules(
     for f, t in tolerant.items():
         tol = F.when(has(f), t) if tol is None else tol.when(has(f), t)
     tol = F.lit(None).cast("double") if tol is None else tol
+    return _kinds_by_rules(pairs, skip, is_exact, tol, default, normalize_space)
+
+
+def _kinds_by_rules(pairs: DataFrame, skip: Column, is_exact: Column, tol: Column, default: float, normalize_space: bool) -> DataFrame:
+    """Kind of each pair, by the first group of rules that applies to it."""
+    b, a = F.col("baseline"), F.col("actual")
+    columns = [c for c in pairs.columns if not c.startswith("_rule_")]
     same = cosmetic_match(b, a) if normalize_space else summary_line_match(b, a) | (b == a)
     p = with_numbers(pairs).withColumn("_tol", tol)
     limit = F.coalesce("_tol", F.lit(default))
@@ -195,11 +202,62 @@ def compare_by_rules(
         .when(F.col("_tol").isNotNull() & numeric, "tolerant").when(F.col("_tol").isNotNull(), "outside tolerance")
         .when(numeric, "default").otherwise("default tolerance failed")
     )
-    return p.select(*pairs.columns, kind.alias("kind")).withColumn(
+    return p.select(*columns, kind.alias("kind")).withColumn(
         "matched", F.col("kind").isin("ignored", "exact", "tolerant", "default")
     )
 
 
+def field_rules(
+    spark: SparkSession, exact: list[str], tolerant: dict[str, float], ignore: list[str], ignore_patterns: list[str] | None = None,
+) -> DataFrame:
+    """Rules of ``compare_by_rules`` as a table (job, kind, field, pattern, tolerance, position); the job is empty: any."""
+    rows = [("", "ignore", f.strip(), None, None, i) for i, f in enumerate(ignore) if f.strip()]
+    rows += [("", "ignore", None, p, None, len(ignore) + i) for i, p in enumerate(ignore_patterns or [])]
+    rows += [("", "exact", f, None, 0.0, i) for i, f in enumerate(exact)]
+    rows += [("", "tolerant", f, None, t, i) for i, (f, t) in enumerate(tolerant.items())]
+    return spark.createDataFrame(rows, "job string, kind string, field string, pattern string, tolerance double, position int")
+
+
+#: Kinds of rules in the order in which they apply.
+RULE_KINDS = ("ignore", "exact", "tolerant")
+
+
+def _placed(rules: DataFrame) -> DataFrame:
+    """Rules with their place in the order: by kind, then by position."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in RULE_KINDS]), F.col("kind"))
+    known = rules.where(F.col("kind").isin(*RULE_KINDS))
+    field = F.col("field") if "field" in rules.columns else F.lit(None).cast("string")
+    place = F.struct(rank.alias("rank"), "position")
+    return known.select("job", field.alias("field"), "pattern", "tolerance", rank.cast("int").alias("rank"), place.alias("place"))
+
+
+def compare_by_table(pairs: DataFrame, rules: DataFrame, default: float = DEFAULT_TOLERANCE, normalize_space: bool = True) -> DataFrame:
+    """``compare_by_rules`` with any number of rules, given as a table.
+
+    ``rules(job, kind, field, pattern, tolerance, position)`` as ``field_rules`` makes them; rules with other kinds are left out.
+    Lines are judged under rules of the empty job, or of their own where ``pairs`` has a column ``job``.  A rule applies if it
+    does to either side; positions are unique within a job and kind.
+    """
+    named = pairs.withColumn("_rule_job", F.coalesce("job", F.lit("")) if "job" in pairs.columns else F.lit(""))
+    texts = named.select(F.col("_rule_job").alias("job"), F.explode(F.array("baseline", "actual")).alias("text"))
+    found = first_rules(texts, _placed(rules), "job", ["rank", "tolerance", "place"])
+    side = lambda s: found.select(F.col("job").alias("_rule_job"), F.col("text").alias(s), F.struct("place", "rank", "tolerance").alias(f"_rule_{s}"))
+    j = named.join(side("baseline"), ["_rule_job", "baseline"], "left").join(side("actual"), ["_rule_job", "actual"], "left")
+    has = lambda s: F.when(F.col(f"_rule_{s}.rank").isNotNull(), F.col(f"_rule_{s}"))
+    j = j.withColumn("_rule_best", F.least(has("baseline"), has("actual")))  # structs compare by place
+    rank = F.coalesce("_rule_best.rank", F.lit(0))
+    tol = F.when(rank == 3, F.col("_rule_best.tolerance"))
+    out = _kinds_by_rules(j, rank == 1, rank == 2, tol, default, normalize_space)
+    return out.select(*pairs.columns, "kind", "matched")
+
+
+def tolerances(lines: DataFrame, rules: DataFrame, default: float = DEFAULT_TOLERANCE) -> DataFrame:
+    """``lines(job, text, ...)`` with the tolerance of the first rule of their job, exact rules before tolerant ones."""
+    found = first_rules(lines, _placed(rules), "job", ["tolerance"])
+    j = lines.join(found, ["job", "text"], "left")
+    return j.select(*lines.columns, F.coalesce("tolerance", F.lit(default)).alias("tolerance"))
+
+
 def _or(tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
