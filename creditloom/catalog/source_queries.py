@@ -242,6 +242,16 @@ def _(s):
     return back.agg(F.count("*").alias("history_rows"), F.count_distinct("loan_id").alias("loans"), F.sum("provision_cents").alias("provision_cents"))
 
 
+@query("a16_publish_risk_history", "loan", cl_sql() + f"SELECT COUNT(*) * 2 AS history_rows, COUNT(DISTINCT loan_id) AS loans, {big('SUM(provision_cents) * 2')} AS provision_cents FROM cl")
+def _(s):
+    path = scratch_path(s.spark, "riskruns")
+    c = cut(risk.classify(s("loan")))
+    for day in (TODAY - 100, TODAY, TODAY):  # the last one repeats a run
+        risk.publish_risk_history(c, day, path, f"run-{day}")
+    back = risk.read_risk_history(s.spark, path)
+    return back.agg(F.count("*").alias("history_rows"), F.count_distinct("loan_id").alias("loans"), F.sum("provision_cents").alias("provision_cents"))
+
+
 @query("a19_file_manifest", "loan", f"SELECT {big('COUNT(*) * 239')} AS size_bytes, {big('COUNT(*)')} AS record_count FROM loan")
 def _(s):
     path = scratch_path(s.spark, "manifest")

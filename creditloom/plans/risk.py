@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.functions.conditions import in_portfolio
 from creditloom.functions.pic import LITERAL, band, check_mode, percent_of, store
+from creditloom.sources.published import publish, published
 
 # Days past due -> class, class -> provision rate (percent, scale 4).
 CLASS_BANDS = [(30, "1"), (90, "2"), (180, "3")]
@@ -100,6 +101,21 @@ def append_risk_history(classified: DataFrame, today: int, path: str) -> None:
     risk_history(classified, today).write.mode("append").partitionBy("report_date").parquet(path)
 
 
+def publish_risk_history(classified: DataFrame, today: int, path: str, run: str) -> None:
+    """Add the audit rows of one run; a retry after a failure, or a second call, adds nothing twice."""
+    publish(risk_history(classified, today).withColumn("dpd", F.col("dpd").cast("bigint")), path, run)
+
+
+def read_risk_history(spark: SparkSession, path: str) -> DataFrame:
+    """Audit rows of all published runs."""
+    schema = (
+        "loan_id bigint, cust_id bigint, new_class string, prev_class string, outstanding_cents bigint, "
+        "provision_cents bigint, dpd bigint, report_date bigint"
+    )
+    found = published(spark, path)
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
 def with_all_codes(agg: DataFrame, code: str, codes: tuple[str, ...], zeros: list[str]) -> DataFrame:
     """Left join a constant dimension so that absent codes show zero."""
     spark = agg.sparkSession
