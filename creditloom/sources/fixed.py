@@ -80,7 +80,45 @@ def encode_field(col: Column, field: Field) -> Column:
     raise ValueError(f"field {field.name}: kind {field.kind!r} has no text form")
 
 
-def encode_lines(df: DataFrame, fields: list[Field], keep: list[str] | None = None) -> DataFrame:
+def overflows(df: DataFrame, fields: list[Field]) -> Column:
+    """Names of the fields of a row whose values the layout cannot hold.
+
+    These are texts longer than the field (blanks at the end aside), numbers with more digits, and negative numbers in
+    fields without sign.  Nulls and columns that ``df`` lacks always fit.
+    """
+    have, found = set(df.columns), []
+    for f in fields:
+        if f.kind == "-" or f.name.split(".")[0] not in have:
+            continue
+        col = F.col(f.name)
+        if f.kind == "x":
+            bad = F.length(F.rtrim(col.cast("string"))) > f.width
+        else:
+            digits = f.width * 2 - 1 if f.kind == "p" else f.width
+            number = col.cast("decimal(20,0)")
+            bad = F.lit(False) if f.kind == "p" else number < 0
+            if digits < 19:  # a BIGINT has no more
+                bad = bad | (F.abs(number) >= F.lit(10**digits))
+        found.append(F.when(bad, F.lit(f.name)))
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def split_overflows(df: DataFrame, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
+    """Rows that the layout holds, and the others with their fields in ``overflow_fields``."""
+    marked = df.withColumn("overflow_fields", overflows(df, fields))
+    fits = F.size("overflow_fields") == 0
+    return marked.where(fits).drop("overflow_fields"), marked.where(~fits)
+
+
+def _checked(df: DataFrame, fields: list[Field], record: Column, mode: str) -> Column:
+    """Literal mode cuts what does not fit, as the batch does; clean mode ends the job and names the fields."""
+    if pic.check_mode(mode) == pic.LITERAL:
+        return record
+    bad = overflows(df, fields)
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("values too wide for fields: "), F.array_join(bad, ", ")))).otherwise(record)
+
+
+def encode_lines(df: DataFrame, fields: list[Field], keep: list[str] | None = None, mode: str = pic.LITERAL) -> DataFrame:
     """Typed columns to one text ``value`` per row; absent columns are blank or zero."""
     have = set(df.columns)
     parts = []
@@ -91,18 +129,19 @@ def encode_lines(df: DataFrame, fields: list[Field], keep: list[str] | None = No
             parts.append(encode_field(F.col(f.name), f))
         else:
             parts.append(F.lit(("0" if f.kind == "9" else " ") * f.width))
-    return df.select(*(keep or []), F.concat(*parts).alias("value"))
+    return df.select(*(keep or []), _checked(df, fields, F.concat(*parts), mode).alias("value"))
 
 
-def encode_records(df: DataFrame, fields: list[Field]) -> DataFrame:
+def encode_records(df: DataFrame, fields: list[Field], mode: str = pic.LITERAL) -> DataFrame:
     """Typed columns to one binary ``record`` per row."""
     parts = []
     for f in fields:
         if f.kind == "p":
             parts.append(pic.pack_comp3(F.col(f.name), f.width * 2 - 1))
         else:
-            parts.append(F.encode(encode_field(F.col(f.name), f), "UTF-8"))
-    return df.select(F.concat(*parts).alias("record"))
+            text = F.lit(" " * f.width) if f.kind == "-" else encode_field(F.col(f.name), f)
+            parts.append(F.encode(text, "UTF-8"))
+    return df.select(_checked(df, fields, F.concat(*parts), mode).alias("record"))
 
 
 def redelimit(lines: DataFrame, reclen: int) -> DataFrame:
@@ -125,11 +164,11 @@ def join_records(lines: DataFrame, reclen: int, path: str) -> None:
     body.write.mode("overwrite").option("lineSep", " ").text(path)
 
 
-def write_fixed(df: DataFrame, fields: list[Field], path: str, order: list[str] | None = None) -> None:
-    """Write fixed-width lines; with ``order``, file-name order is row order."""
+def write_fixed(df: DataFrame, fields: list[Field], path: str, order: list[str] | None = None, mode: str = pic.LITERAL) -> None:
+    """Write fixed-width lines; with ``order``, file-name order is row order.  Clean mode refuses values wider than their field."""
     if order:
         df = df.orderBy(*order)
-    encode_lines(df, fields).write.mode("overwrite").text(path)
+    encode_lines(df, fields, mode=mode).write.mode("overwrite").text(path)
 
 
 def file_manifest(spark: SparkSession, path: str, reclen: int | None = None) -> DataFrame:
