@@ -1,10 +1,16 @@
-"""Matching joins that avoid comparing everything with everything."""
+"""Matching joins that avoid comparing everything with everything.
+
+Rows are exploded into many pieces here.  The planner takes those for as small as the rows they came from, so joins of
+exploded sides are told to merge; else millions of pieces could be broadcast.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.session import stored
+
 ANCHOR_WIDTHS = (16, 8, 4, 2, 1)
 
 
@@ -103,6 +109,8 @@ _VARYING = r"\\[sdwSDWbB][+*]?|\[[^\]\[\\^]+\][+*]?"
 _PLAIN = r"[A-Za-z0-9_ =:;,/%#@&<>!~\"'-]"
 #: Shares of the texts that meet rules without a fixed factor.
 RULE_SALTS = 64
+#: Rows of rules up to which they are broadcast.
+BROADCAST_RULES = 50_000
 
 
 def fixed_factor(pattern: Column) -> Column:
@@ -118,8 +126,8 @@ def first_rules(texts: DataFrame, rules: DataFrame, group: str, values: list[str
     ``texts(group, text)``; ``rules(group, place, field, pattern, ...)``.  A rule applies where the text contains
     ``field`` or, if that is null, matches ``pattern``, both without regard to case; a rule with neither never applies.
     Places are unique in a group.  Each rule waits at one piece of its field, or of a text that all matches of its
-    pattern hold: the piece that the fewest rules hold.  Each text visits its own pieces, so only rules that can apply meet it; the rules are
-    a small table as a rule, which the optimizer broadcasts after its size check.  Rules without such a text, as ``a|b``,
+    pattern hold: the piece that the fewest rules hold.  Each text visits its own pieces, so only rules that can apply meet it; the rules, once written,
+    are broadcast up to ``BROADCAST_RULES`` rows and merged beyond.  Rules without such a text, as ``a|b``,
     meet every text, in ``RULE_SALTS`` shares.  Null texts have no rule; equal texts are judged once.
     """
     lit = F.lower(F.coalesce("field", fixed_factor(F.col("pattern"))))
@@ -138,7 +146,9 @@ def first_rules(texts: DataFrame, rules: DataFrame, group: str, values: list[str
         group, "place", "field", "pattern", "_rule", F.lit("").alias("_lit"),
         F.explode(F.transform(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1)), lambda i: F.concat(F.lit("\x00"), i.cast("string")))).alias("_anchor"),
     )
-    waiting = keyed.unionByName(free)
+    waiting = stored(keyed.unionByName(free), "rules")
+    # Rules from the program have no size for the planner, which then broadcasts the pieces of the texts instead.
+    waiting = F.broadcast(waiting) if waiting.count() <= BROADCAST_RULES else waiting.hint("merge")
     each = texts.select(group, "text").where(F.col("text").isNotNull()).distinct().withColumn("_low", F.lower("text"))
     salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("text"), F.lit(RULE_SALTS)).cast("string"))
     places = F.array_distinct(F.concat(F.array(salt), *[_pieces(F.col("_low"), w) for w in widths]))
@@ -148,7 +158,7 @@ def first_rules(texts: DataFrame, rules: DataFrame, group: str, values: list[str
         & F.when(F.col("field").isNotNull(), F.col("_low").contains(F.lower("field"))).otherwise(F.regexp_like("text", F.concat(F.lit("(?i)"), "pattern")))
     )
     best = met.groupBy(group, "text").agg(F.min_by("_rule", "place").alias("_rule"))
-    return texts.select(group, "text").distinct().join(best, [group, "text"], "left").select(group, "text", *[F.col(f"_rule.{v}").alias(v) for v in values])
+    return texts.select(group, "text").distinct().join(best.hint("merge"), [group, "text"], "left").select(group, "text", *[F.col(f"_rule.{v}").alias(v) for v in values])
 
 
 def merge(target: DataFrame, changes: DataFrame, key: str, values: list[str]) -> DataFrame:

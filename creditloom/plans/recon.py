@@ -254,7 +254,7 @@ def compare_by_table(pairs: DataFrame, rules: DataFrame, default: float = DEFAUL
 def tolerances(lines: DataFrame, rules: DataFrame, default: float = DEFAULT_TOLERANCE) -> DataFrame:
     """``lines(job, text, ...)`` with the tolerance of the first rule of their job, exact rules before tolerant ones."""
     found = first_rules(lines, _placed(rules), "job", ["tolerance"])
-    j = lines.join(found, ["job", "text"], "left")
+    j = lines.join(found.hint("merge"), ["job", "text"], "left")
     return j.select(*lines.columns, F.coalesce("tolerance", F.lit(default)).alias("tolerance"))
 
 
