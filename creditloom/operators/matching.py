@@ -73,33 +73,49 @@ def _pieces(s: Column, width: int) -> Column:
     return F.when(F.length(s) >= width, cut).otherwise(F.array().cast("array<string>"))
 
 
-def _substrings(s: Column) -> Column:
-    return F.array_distinct(F.concat(*[_pieces(s, w) for w in ANCHOR_WIDTHS]))
+#: Characters of a literal that a place of a line must show first, and key lengths per such head up to which whole literals are keys.
+HEAD, MOST_LENGTHS = 4, 16
 
 
 def longest_literal(lines: DataFrame, literals: DataFrame, group: str) -> DataFrame:
     """Owner of the longest literal contained in each line (case-insensitive).
 
     ``lines(group, text)``, ``literals(group, owner, literal, position)``.
-    Each literal is keyed by its leading 16/8/4/2/1 characters and each line by
-    all its pieces of those widths, so only lines that can contain a literal
-    meet it.  Equal texts are matched once.  The earliest literal wins a tie.
+    Only places of a line that show the first ``HEAD`` characters of some literal give pieces, and only of lengths that
+    literals with that head have as keys.  The key is the whole literal, or, where a head has more than ``MOST_LENGTHS``
+    lengths, its leading 16/8/4/2/1 characters.  So a line meets the literals it contains, and few others.  Equal texts are
+    matched once.  The earliest literal wins a tie.
     """
-    texts = lines.select(group, "text").distinct().withColumn("low", F.lower("text"))
-    lit = (
+    texts = lines.select(group, "text").distinct()
+    lit = stored(
         literals.where(F.length("literal") > 0)
         .withColumn("lit", F.lower("literal"))
         .groupBy(group, "lit")
         .agg(F.min(F.struct("position", "owner")).alias("o"), F.max(F.length("literal")).alias("len"))
-        .select(group, "lit", "len", "o.position", "o.owner")
-        .withColumn("anchor", F.substring(F.col("lit"), F.lit(1), _anchor_width(F.col("lit"))))
+        .select(group, "lit", "len", "o.position", "o.owner", F.substring("lit", 1, HEAD).alias("head")),
+        "literals",
     )
-    pieces = texts.select(group, "text", "low", F.explode(_substrings(F.col("low"))).alias("anchor"))
-    hits = pieces.join(lit, [group, "anchor"]).where(F.col("low").contains(F.col("lit")))
+    width, long = _anchor_width(F.col("lit")), F.length("lit")
+    lengths = lit.groupBy("head").agg(F.collect_set(long).alias("whole"), F.collect_set(width).alias("some"))
+    heads = stored(lengths.select("head", (F.size("whole") <= MOST_LENGTHS).alias("is_whole"), F.when(F.size("whole") <= MOST_LENGTHS, F.col("whole")).otherwise(F.col("some")).alias("sizes")), "heads")
+    widths = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # at most HEAD of them
+    most = heads.agg(F.max(F.array_max("sizes"))).first()[0] or 0
+    low = F.lower("text")
+    shown = lambda w: F.transform(
+        F.when(F.length(low) >= w, F.sequence(F.lit(1), F.length(low) - (w - 1))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.substring(low, i, F.lit(w)).alias("head"), F.substring(low, i, F.lit(most)).alias("tail")),
+    )
+    none = F.array().cast("array<struct<head:string,tail:string>>")
+    places = texts.select(group, "text", F.inline(F.array_distinct(F.concat(none, *[shown(w) for w in widths]))))
+    pieces = places.join(heads, "head").select(
+        group, "text", F.explode(F.transform(F.filter("sizes", lambda n: n <= F.length("tail")), lambda n: F.substring("tail", F.lit(1), n))).alias("key")
+    )
+    keyed = lit.join(heads, "head").select(group, "lit", "len", "position", "owner", F.when(F.col("is_whole"), F.col("lit")).otherwise(F.substring("lit", F.lit(1), width)).alias("key"))
+    hits = pieces.join(keyed.hint("merge"), [group, "key"]).where(low.contains(F.col("lit")))
     best = hits.groupBy(group, "text").agg(
         F.max(F.struct(F.col("len"), (-F.col("position")).alias("neg"), F.col("owner"))).alias("b")
     )
-    return texts.select(group, "text").join(best, [group, "text"], "left").select(
+    return texts.join(best.hint("merge"), [group, "text"], "left").select(
         group, "text", F.col("b.owner").alias("owner"), F.col("b.len").cast("bigint").alias("literal_len")
     )
 

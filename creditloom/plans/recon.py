@@ -359,7 +359,7 @@ def attribute_mismatch(mismatches: DataFrame, literals: DataFrame, paragraphs: D
     """
     hit = longest_literal(mismatches, literals, "file").select("file", "text", "owner")
     n_par = paragraphs.groupBy("file").agg(F.count("*").alias("n_par"))
-    j = mismatches.join(hit, ["file", "text"], "left").join(totals, "file", "left").join(n_par, "file", "left")
+    j = mismatches.join(hit.hint("merge"), ["file", "text"], "left").join(totals, "file", "left").join(n_par, "file", "left")
     idx, span = F.col("line_no") - 1, F.greatest(F.col("lines") - 1, F.lit(1))
     place = F.when(F.col("lines") == 1, F.lit(0)).otherwise(
         F.least(idiv(idx * F.col("n_par"), span), F.col("n_par") - 1)

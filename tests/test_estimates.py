@@ -21,6 +21,15 @@ def estimate(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def test_longest_literal_of_few_and_many_lengths(spark):
+    lines = spark.range(50).select(F.lit("f").alias("file"), F.concat(F.lit("say HELLO "), "id").alias("text"))
+    rows = [("f", "a", "hello 1", 1), ("f", "b", "Hello 12", 2), ("f", "c", "o", 3), ("f", "d", "hello 1", 0), ("g", "e", "hello 13", 1)]
+    rows += [("f", f"n{i}", "say hello 4" + "x" * i, 9) for i in range(20)]  # more lengths than a head may have
+    found = matching.longest_literal(lines, spark.createDataFrame(rows, "file string, owner string, literal string, position int"), "file")
+    got = {r.text: (r.owner, r.literal_len) for r in found.collect()}
+    assert len(got) == 50 and got["say HELLO 12"] == ("b", 8) and got["say HELLO 13"] == ("d", 7) and got["say HELLO 2"] == ("c", 1) and got["say HELLO 45"] == ("n0", 11)
+
+
 def test_rules_are_broadcast_and_texts_are_not(spark):
     lines = spark.range(50).select(F.lit("classification").alias("job"), F.concat(F.lit("CLASS 1 : "), "id").alias("text"))
     plan = recon.tolerances(lines, recon.program_rules(spark))
