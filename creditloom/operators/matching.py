@@ -49,11 +49,11 @@ def fuzzy_match(names: DataFrame, candidates: DataFrame, max_dist: int = 2) -> D
     lk = left.select("name", F.explode(deletion_keys(F.col("name"), max_dist)).alias("k"))
     rk = right.select("candidate", "position", F.explode(deletion_keys(F.col("candidate"), max_dist)).alias("k"))
     dist = F.levenshtein(F.col("name"), F.col("candidate"), max_dist)
-    pairs = lk.join(rk, "k").withColumn("distance", dist).where(F.col("distance") >= 0)
+    pairs = rk.join(lk.hint("merge"), "k").withColumn("distance", dist).where(F.col("distance") >= 0)
     best = pairs.groupBy("name").agg(
         F.min(F.struct("distance", "position", "candidate")).alias("b")
     )
-    return left.join(best, "name", "left").select(
+    return left.join(best.hint("merge"), "name", "left").select(
         "name", F.col("b.candidate").alias("candidate"), F.col("b.distance").cast("bigint").alias("distance")
     )
 

@@ -21,6 +21,11 @@ def estimate(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def test_exploded_pieces_are_merged(spark):
+    n = spark.range(50).select(F.col("id").cast("string").alias("name"))
+    assert broadcasts(matching.fuzzy_match(n, n.select(F.col("name").alias("candidate"), F.lit(1).alias("position")))) == 0
+
+
 def test_longest_literal_of_few_and_many_lengths(spark):
     lines = spark.range(50).select(F.lit("f").alias("file"), F.concat(F.lit("say HELLO "), "id").alias("text"))
     rows = [("f", "a", "hello 1", 1), ("f", "b", "Hello 12", 2), ("f", "c", "o", 3), ("f", "d", "hello 1", 0), ("g", "e", "hello 13", 1)]
