@@ -21,6 +21,13 @@ def estimate(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+@pytest.mark.parametrize("name", list(adapters.TEXTS))
+def test_lines_are_not_taken_for_less_than_they_are(spark, name):
+    lines = adapters.view(spark, ROWS, name)
+    assert estimate(lines) >= lines.agg(F.sum(F.length("file") + 8 + F.length("text"))).first()[0]
+    assert [r.line_no for r in lines.where(F.col("file") == lines.first().file).orderBy("line_no").collect()] == list(range(1, len(adapters.TEXTS[name][2]) + 1))
+
+
 def test_exploded_pieces_are_merged(spark):
     n = spark.range(50).select(F.col("id").cast("string").alias("name"))
     assert broadcasts(matching.fuzzy_match(n, n.select(F.col("name").alias("candidate"), F.lit(1).alias("position")))) == 0
