@@ -14,7 +14,8 @@ from creditloom.plans.estate import _hit, join_continuations
 from creditloom.session import cut
 
 # Statement patterns of a job deck.
-ID = r"[A-Z0-9@#$]{1,8}"
+# Names are read whole: the first eight characters of a longer one may be the name of another program.
+ID = r"[A-Z0-9@#$]+"
 CONTINUED = r"^//\s{9,}(?!\s*DD\s)"
 JOB = rf"(?i)^//({ID})\s+JOB\b"
 EXEC_PGM = rf"(?i)^//({ID})\s+EXEC\s+PGM=({ID})"
