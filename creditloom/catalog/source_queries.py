@@ -315,7 +315,8 @@ def _(s):
 @query("m3_dedupe_submissions", sql="SELECT DISTINCT SUBSTR(SHA256(text), 1, 16) AS source_hash FROM documents")
 def _(s):
     schema = s.table("documents").schema
-    raw = s.spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(s.sf_dir)
+    # The table may be one file or a folder of files; as a pattern, the path may be either.
+    raw = s.spark.readStream.schema(schema).parquet(f"{s.sf_dir.rstrip('/')}/documents.parque[t]")
     subs = raw.select(F.col("text").alias("content"), F.timestamp_seconds(F.col("doc_id") % 60 + 1_700_000_000).alias("ts"))
     out = jobs.run_append(jobs.dedupe_submissions(subs).select("source_hash"), scratch_path(s.spark, "dedupe"))
     return out.select("source_hash")
