@@ -22,9 +22,9 @@ def read_sector_risk(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def active_sectors(table: DataFrame) -> DataFrame:
-    """Active rows, one per code."""
+    """Active rows, one per code: that with the least adjustment and, of several such, the least label."""
     live = table.where(F.col("active_flag") == "Y")
-    return live.groupBy("code").agg(F.min_by("label", "adjustment").alias("label"), F.min("adjustment").alias("adjustment"))
+    return live.groupBy("code").agg(F.min_by("label", F.struct("adjustment", "label")).alias("label"), F.min("adjustment").alias("adjustment"))
 
 
 def read_bureau_latest(spark: SparkSession, path: str) -> DataFrame:
