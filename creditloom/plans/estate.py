@@ -106,7 +106,7 @@ def logical_source(lines: DataFrame) -> DataFrame:
 
 def _header_like(allow_reserved: bool = False) -> Column:
     token = F.regexp_replace("upper", r"\.$", "")
-    ok = F.col("upper").rlike(rf"^{NAME}\.$") & F.col("area_a") & (F.col("indicator") != "-")
+    ok = F.col("area_a") & (F.col("indicator") != "-") & F.col("upper").rlike(rf"^{NAME}\.$")
     return ok if allow_reserved else ok & ~token.isin(*RESERVED, *QUIET_RESERVED)
 
 
@@ -119,9 +119,9 @@ def with_context(code: DataFrame) -> DataFrame:
     up = F.col("upper")
     # Marks first, each pattern once per line; the running values only read them.
     marked = code.select(
-        "*", F.when(up.rlike(r"^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"), F.split(up, " ")[0]).alias("_dv"),
+        "*", F.when(up.contains("DIVISION") & up.rlike(r"^(IDENTIFICATION|ID|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b"), F.split(up, " ")[0]).alias("_dv"),
         F.when(_header_like(), F.regexp_replace(F.col("code"), r"\.$", "")).alias("_hd"),
-        F.when(up.rlike(r"^(IF|WHEN)\s+\S"), 1).otherwise(0).alias("_push"), F.when(up.contains("END-IF"), 1).otherwise(0).alias("_pop"),
+        F.when((up.startswith("IF") | up.startswith("WHEN")) & up.rlike(r"^(IF|WHEN)\s+\S"), 1).otherwise(0).alias("_push"), F.when(up.contains("END-IF"), 1).otherwise(0).alias("_pop"),
         up.contains("END-EVALUATE").alias("_end"),
     )
     div, head = F.col("_dv").isNotNull(), F.col("_hd").isNotNull()
@@ -136,6 +136,7 @@ def with_context(code: DataFrame) -> DataFrame:
             "seg": ("sum", F.when(clears, 1).otherwise(0).cast("bigint")),
             "bal": ("sum", F.when(clears, 0).otherwise(F.col("_push") - F.col("_pop")).cast("bigint")),
         },
+        look=True,
     )
     inside = (F.col("division") == "PROCEDURE") & (F.col("_para_line") > F.col("_div_line"))
     return out.select(
@@ -193,7 +194,7 @@ def data_items(ctx: DataFrame, levels: list[int] | None = None) -> DataFrame:
         _hit(rest, r"\bREDEFINES\s+([A-Z0-9-]+)\b").alias("redefines"),
     )
     level = F.col("level")
-    seen = items if not levels else running(items, ["file"], "line_no", {f"_l{n}": ("max", F.when(level == n, F.col("line_no"))) for n in levels})
+    seen = items if not levels else running(items, ["file"], "line_no", {f"_l{n}": ("max", F.when(level == n, F.col("line_no"))) for n in levels}, look=True)
     places = [F.when(level > n, F.col(f"_l{n}")) for n in levels]
     above = F.greatest(*places) if len(places) > 1 else places[0] if places else F.lit(None).cast("bigint")
     seen = seen.select(*items.columns, above.alias("parent_line"))
@@ -287,7 +288,7 @@ def call_edges(ctx: DataFrame) -> DataFrame:
     pops only when it has something, so its depth is the balance minus the
     running minimum since it was last emptied.
     """
-    low = running(procedure_lines_all(ctx), ["file", "seg"], "line_no", {"_low": ("min", F.col("bal"))})
+    low = running(procedure_lines_all(ctx), ["file", "seg"], "line_no", {"_low": ("min", F.col("bal"))}, look=True)
     stmts = procedure_lines(low)
     up = F.col("upper")
     cond = F.col("bal") > F.col("_low")
@@ -360,7 +361,7 @@ def file_bindings(code: DataFrame) -> DataFrame:
     stop = r"^(ORGANIZATION|ACCESS|RECORD|FILE|SELECT|FD|SD)\b"
     mark = F.when(up.rlike(alone), _hit(up, alone)).when(up.rlike(stop), F.lit(""))
     filled = fill_forward(
-        code, ["file"], "line_no", {"_open": mark, "_select": F.coalesce(_hit(up, r"^SELECT\s+([A-Z0-9-]+)\b"), F.when(up == "DATA DIVISION.", F.lit("")))}
+        code, ["file"], "line_no", {"_open": mark, "_select": F.coalesce(_hit(up, r"^SELECT\s+([A-Z0-9-]+)\b"), F.when(up == "DATA DIVISION.", F.lit("")))}, look=True,
     )
     bare = lambda c: F.regexp_replace(c, "^['\"]|['\"]$", "")
     name = F.coalesce(_hit(up, one), F.when(up.rlike(assign), F.nullif(F.col("_open"), F.lit(""))))

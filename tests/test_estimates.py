@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.catalog import adapters
 from creditloom.operators import matching
-from creditloom.plans import recon
+from creditloom.plans import estate, recon
 
 ROWS = "/root/testdata/sf0.001"
 
@@ -47,3 +47,8 @@ def test_rules_are_broadcast_and_texts_are_not(spark):
     plan = recon.tolerances(lines, recon.program_rules(spark))
     text = plan._jdf.queryExecution().sparkPlan().toString()
     assert "BuildLeft" not in text and {r.tolerance for r in plan.collect()} == {0.0}
+
+
+def test_marks_of_lines_are_filled_once(spark):
+    plan = estate.code_lines(adapters.view(spark, ROWS, "source_line"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") == len(adapters.PROGRAM_MARKS)

@@ -109,3 +109,14 @@ def test_blocks_of_a_hot_key_are_dealt_apart(spark):
     joined = df.join(df.groupBy("k").agg(F.count("*").alias("n")).hint("merge"), "k")
     plan = ordered.running_sum(joined, ["k"], "pos", "s", F.col("v"), block_rows=7)._jdf.queryExecution().executedPlan().toString()
     assert any("hashpartitioning(k#" in line and "_blk#" in line for line in plan.splitlines())
+
+
+def test_looking_for_one_block_changes_no_value(spark):
+    rows = [("a", 1, 5), ("a", 2, None), ("a", 9, -3), ("b", 3, None), (None, 1, 1), ("c", 4, 2)]
+    aggs = {"s": ("sum", F.col("v")), "m": ("min", F.col("v")), "l": ("last", F.col("v"))}
+    for more in ([], [("a", 17, 4), ("b", 12, 1)]):  # one block of ten positions, then two
+        df = spark.createDataFrame(rows + more, "k string, p bigint, v bigint")
+        plain, looked = ([tuple(r) for r in ordered.running(df, ["k"], "p", aggs, 10, look=x).orderBy("k", "p").collect()] for x in (False, True))
+        assert plain == looked and len(plain) == len(rows) + len(more) - 1
+    shuffles = [ordered.running(df.where("p < 10"), ["k"], "p", aggs, 10, look=x)._jdf.queryExecution().sparkPlan().toString().count("Exchange") for x in (False, True)]
+    assert shuffles[1] == 1 < shuffles[0]
