@@ -617,7 +617,8 @@ def impact_slice(targets: DataFrame, calls: DataFrame, pars: DataFrame) -> DataF
     ``targets(file, target)``; all targets are sliced in one job.  The first paragraph of the file joins as ``entry``
     where it calls anything or the target has a caller.
     """
-    c = calls.where(F.col("src").isNotNull()).select("file", F.upper("src").alias("src"), F.upper("dst").alias("dst")).distinct()
+    # Read by four joins: written once.
+    c = cut(calls.where(F.col("src").isNotNull()).select("file", F.upper("src").alias("src"), F.upper("dst").alias("dst")).distinct())
     me = targets.select("file", "target", F.col("target").alias("paragraph"), F.lit(0).alias("role"))
     out = targets.join(c.withColumnRenamed("src", "target"), ["file", "target"]).select("file", "target", F.col("dst").alias("paragraph"), F.lit(1).alias("role"))
     inc = targets.join(c.withColumnRenamed("dst", "target"), ["file", "target"]).select("file", "target", F.col("src").alias("paragraph"), F.lit(2).alias("role"))

@@ -52,3 +52,11 @@ def test_rules_are_broadcast_and_texts_are_not(spark):
 def test_marks_of_lines_are_filled_once(spark):
     plan = estate.code_lines(adapters.view(spark, ROWS, "source_line"))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"(?<!regexp_)replace\(", plan)) == len(adapters.PROGRAM_MARKS)
+
+
+def test_calls_of_a_slice_are_computed_once(spark):
+    calls = spark.createDataFrame([("f", "A", "B"), ("f", "B", "C")], "file string, src string, dst string").withColumn("dst", F.regexp_replace("dst", "x", "y"))
+    pars = spark.createDataFrame([("f", "A", 1), ("f", "B", 2), ("f", "C", 3)], "file string, paragraph string, line_no bigint")
+    found = estate.impact_slice(pars.select("file", F.col("paragraph").alias("target")), calls, pars)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.target, r.paragraph, r.role) for r in found.collect()} == {("A", "A", "target"), ("A", "B", "callee"), ("B", "B", "target"), ("B", "C", "callee"), ("B", "A", "caller"), ("C", "C", "target"), ("C", "B", "caller"), ("C", "A", "entry")}
