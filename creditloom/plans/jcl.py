@@ -150,6 +150,7 @@ def data_lineage(edges: DataFrame, sources: DataFrame | None = None) -> DataFram
     chain takes few rounds; else every dataset is a source, and the result holds all pairs.
     """
     if sources is None:
+        edges = cut(edges)  # read for the sources and for the steps
         asked = edges.select(F.col("src").alias("node")).where(F.col("src").startswith("DSN:")).distinct()
     else:
         asked = sources.select(F.concat(F.lit("DSN:"), "dataset").alias("node"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from creditloom.catalog import adapters
 from creditloom.operators import matching
-from creditloom.plans import estate, recon
+from creditloom.plans import estate, jcl, recon
 
 ROWS = "/root/testdata/sf0.001"
 
@@ -60,3 +60,15 @@ def test_calls_of_a_slice_are_computed_once(spark):
     found = estate.impact_slice(pars.select("file", F.col("paragraph").alias("target")), calls, pars)
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.target, r.paragraph, r.role) for r in found.collect()} == {("A", "A", "target"), ("A", "B", "callee"), ("B", "B", "target"), ("B", "C", "callee"), ("B", "A", "caller"), ("C", "C", "target"), ("C", "B", "caller"), ("C", "A", "entry")}
+
+
+def test_edges_of_lineage_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    edges = spark.createDataFrame([("DSN:A", "PGM:P"), ("PGM:P", "DSN:B"), ("DSN:B", "PGM:Q"), ("PGM:Q", "DSN:C")], "src string, dst string")
+    edges = edges.select(F.udf(told)("src").alias("src"), "dst")
+    assert {tuple(r) for r in jcl.data_lineage(edges).collect()} == {("A", "B", 1), ("A", "C", 2), ("B", "C", 1)} and seen.value == 4
