@@ -43,6 +43,8 @@ END-STRING END-UNSTRING END-CALL
 ARITHMETIC = ["COMPUTE", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE"]
 VARIABLE_LIKE = ("WS-", "ACCT-", "EMP-")
 NAME = r"[A-Z0-9][A-Z0-9-]*"
+#: What a regular expression takes for blank.
+BLANKS = " \t\n\x0b\f\r"
 MAX_SLICE = 4
 WHOLE_LINES, SECTION_LINES, BLOCK_LINES, OVERLAP_LINES = 600, 1500, 120, 10
 # Texts that mark a chunk as usable.
@@ -85,9 +87,10 @@ def code_lines(lines: DataFrame, formats: DataFrame | None = None) -> DataFrame:
         "file", "line_no", mark.alias("indicator"), squeezed.alias("code"), F.upper(squeezed).alias("upper"),
         (~fixed | (F.length(body) - F.length(F.ltrim(body)) <= 3)).alias("area_a"),
         (fixed & (F.trim(F.substring(raw, 73, 8)) != "")).alias("beyond_72"),
-        (F.when(fixed, F.substring(raw, 7, 1).isin("*", "/")).otherwise(F.ltrim(raw).startswith("*"))).alias("_comment"),
+        (F.when(fixed, F.substring(raw, 7, 1).isin("*", "/")).otherwise(F.ltrim(raw).startswith("*"))).alias("_comment"), body.alias("_body"),
     )
-    return out.where(~F.col("_comment") & (F.col("code") != "")).drop("_comment")
+    # As code <> '', but read off the raw line: the filter runs below, and would squeeze each line a second time.
+    return out.where(~F.col("_comment") & (F.btrim(F.col("_body"), F.lit(BLANKS)) != "")).drop("_comment", "_body")
 
 
 def join_continuations(lines: DataFrame, is_continuation: Column, tail: Column, keys: list[str]) -> DataFrame:
@@ -147,7 +150,9 @@ def with_context(code: DataFrame) -> DataFrame:
 
 def procedure_lines(ctx: DataFrame) -> DataFrame:
     """Statement lines of the procedure division."""
-    here = (F.col("division") == "PROCEDURE") & ~F.col("upper").rlike(r"(DIVISION|SECTION)\.$|^PROCEDURE DIVISION")
+    up = F.col("upper")
+    named = (up.contains("DIVISION") | up.contains("SECTION")) & up.rlike(r"(DIVISION|SECTION)\.$|^PROCEDURE DIVISION")
+    here = (F.col("division") == "PROCEDURE") & ~named
     return ctx.where(here & ~F.coalesce(F.col("para_line") == F.col("line_no"), F.lit(False)))
 
 

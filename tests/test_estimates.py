@@ -62,6 +62,13 @@ def test_calls_of_a_slice_are_computed_once(spark):
     assert {(r.target, r.paragraph, r.role) for r in found.collect()} == {("A", "A", "target"), ("A", "B", "callee"), ("B", "B", "target"), ("B", "C", "callee"), ("B", "A", "caller"), ("C", "C", "target"), ("C", "B", "caller"), ("C", "A", "entry")}
 
 
+def test_lines_are_squeezed_once(spark):
+    plan = estate.code_lines(adapters.view(spark, ROWS, "source_line"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_replace\(", plan)) <= 2  # the code and its upper case, which share it; none in the filter
+    odd = spark.createDataFrame([("f", i, " " * 6 + t) for i, t in enumerate(["  \t\x0b\f\r ", "", " \u00a0 ", " X \t Y ", "*X"])], "file string, line_no int, text string")
+    assert {r.line_no: r.code for r in estate.code_lines(odd).collect()} == {2: "\u00a0", 3: "X Y"}
+
+
 def test_edges_of_lineage_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
