@@ -69,6 +69,15 @@ def test_lines_are_squeezed_once(spark):
     assert {r.line_no: r.code for r in estate.code_lines(odd).collect()} == {2: "\u00a0", 3: "X Y"}
 
 
+def test_file_lines_alone_are_dealt(spark):
+    """Lines that say nothing of files are gone before rows are dealt, and the code is computed once."""
+    text = ["FILE-CONTROL.", "SELECT A", "ASSIGN TO 'X'", "MOVE 1 TO B.", "RECORD KEY IS K1", "ALTERNATE RECORD KEY K2", "SELECT B ASSIGN Y INDEXED", "DATA DIVISION.", "FD A.", "05 KEY-1 PIC X.", "SD C", "ASSIGN TO Z"]
+    code = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no int, text string").select("file", "line_no", F.regexp_replace("text", "@", "").alias("upper"))
+    found = estate.file_bindings(code)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("f", "A", "X", "FD", "K1", "K2", False), ("f", "B", "Y", None, None, None, True), ("f", "C", None, "SD", None, None, False)}
+
+
 def test_edges_of_lineage_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
