@@ -88,3 +88,12 @@ def test_edges_of_lineage_are_computed_once(spark):
     edges = spark.createDataFrame([("DSN:A", "PGM:P"), ("PGM:P", "DSN:B"), ("DSN:B", "PGM:Q"), ("PGM:Q", "DSN:C")], "src string, dst string")
     edges = edges.select(F.udf(told)("src").alias("src"), "dst")
     assert {tuple(r) for r in jcl.data_lineage(edges).collect()} == {("A", "B", 1), ("A", "C", 2), ("B", "C", 1)} and seen.value == 4
+
+
+@pytest.mark.parametrize("name", list(adapters.TEXTS))
+def test_marks_are_filled_before_the_loop_over_lines(spark, name):
+    """Without a condition that reads the filled lines, generated code fills the text anew for each of its lines."""
+    lines = adapters.view(spark, ROWS, name)
+    for read in (lines, lines.groupBy("file").agg(F.max("text")), lines.where(F.col("file") != "PGM1").select("text")):
+        assert re.search(r"Join Inner, .*_lines", read._jdf.queryExecution().optimizedPlan().toString())
+    assert lines.select("file", "line_no").distinct().count() == lines.count() == lines.select("file").distinct().count() * len(adapters.TEXTS[name][2])
