@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame
 from creditloom.llm.repeats import STRETCH, Group, Rule, earliest_answers, repeats, stretch_answers
 
 
+def _windows_at(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The n bytes from each place on, without an index for each byte."""
+    return np.lib.stride_tricks.sliding_window_view(data, n)[at] if len(at) else np.zeros((0, n), np.uint8)
+
+
 def _rows_of(group: Group, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The n bytes of each dictionary suffix, and a bucket from its first bytes."""
     n = group.rule.n
-    cells = group.data[at[:, None] + np.arange(n)[None, :]]
+    cells = _windows_at(group.data, at, n)
     keys = group.one.windows(n)[at]
     return np.ascontiguousarray(cells), ((keys >> np.uint64(11)) % np.uint64(buckets)).astype(np.int64)
 
@@ -24,11 +29,11 @@ def _settle(n: int):
     def suffix_array(data: np.ndarray, place: np.ndarray):
         """Suffixes of the dictionary's phrases in corpus order, to n bytes; starts of the runs that agree on them."""
         padded = np.zeros((len(place), width * 8), np.uint8)
-        padded[:, :n] = data[place[:, None] + np.arange(n)[None, :]]
+        padded[:, :n] = _windows_at(data, place, n)
         keys = padded.view(">u8")
         order = np.lexsort(tuple(keys[:, j] for j in range(width - 1, -1, -1)))
-        new = np.ones(len(order), bool)
-        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        keys, new = keys[order], np.ones(len(order), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
         return order, np.flatnonzero(new)
 
     def single(table: pa.Table, hi, lo, row):

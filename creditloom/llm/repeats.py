@@ -2,7 +2,9 @@
 
 Documents are dealt into groups of a few MB by a hash of their id.  Four passes
 read the same dealt texts (Spark reuses the exchange), with small messages
-between them, so texts move once and no key meets more than one row per group:
+between them, so texts move once, compressed, and no key meets more than one row per group.
+Groups grow with the table, as each sends a message to each bucket, and are read
+in pieces:
 
 1. content-defined segments: a segment seen in an earlier document makes all
    windows that start in it repeats; its first document owns it;
@@ -12,13 +14,14 @@ between them, so texts move once and no key meets more than one row per group:
    arrays, see the callers), which settles them exactly;
 4. every document is marked from the answers of 1 and 3.
 
-Segments and anchors are compared by 128-bit and 64-bit hashes.  Rows without
-an id are compared with nothing.  Memory: one group, or one bucket of messages.
+Segments are compared by 128-bit hashes, anchors by their bucket and 32 bits.  Rows
+without an id are compared with nothing.  Memory: the work on one piece and the
+messages of its group, or one bucket of messages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +34,10 @@ from creditloom.llm.hashing import BYTE_VALUES, MULTIPLIERS, U64, Rolling, slidi
 
 #: Text bytes of a group of documents and of what one bucket of messages stands for.
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+#: From so many groups on they grow with the table, up to so many bytes.
+GROUPS, LARGEST_GROUP = 512, 16 << 20
+#: Text bytes of a group that are worked on at a time; what is made of them mostly stays in a core's cache.
+PIECE_BYTES = 1 << 19
 #: Windows whose contents are sorted together.
 WINDOWS_AT_ONCE = 1 << 20
 #: An anchor sent more often than this is hot: its windows travel one by one, by their own hashes.
@@ -43,6 +50,10 @@ MESSAGE_ARROW = pa.schema(
     + [(c, pa.binary()) for c in ("hi", "lo", "first", "last", "content")]
     + [("b", pa.int64())]
 )
+#: Bytes of a value in the columns of messages that are compressed; hashes do not get smaller.
+SQUEEZED = {"first": 8, "last": 8, "content": 1}
+#: Bytes that are hashed at a time where contents are settled.
+HASHED_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -110,10 +121,10 @@ class Group:
         e = a + count - 1 + n
         return self.one.spans(a, e), self.two.spans(a, e), self.doc[a], count
 
-    def marked(self, answers: pa.Table):
+    def marked(self, known: tuple) -> np.ndarray:
         """For each place, whether its segment starts in an earlier document too; else its document owns the segment."""
         hi, lo, doc, count = self.segments()
-        return np.repeat(_lookup(answers, 1, hi, lo) < self.ids[doc], count)
+        return np.repeat(_lookup(known, hi, lo) < self.ids[doc], count)
 
     def anchors(self, places: np.ndarray) -> np.ndarray:
         """Least k-symbol hash in the window at each place."""
@@ -122,40 +133,93 @@ class Group:
         return sliding_min(self.one.windows(self.rule.k), self.rule.n - self.rule.k + 1)[places]
 
 
+def _cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of entries in a row that begin within the same ``most``."""
+    part = (np.cumsum(sizes) - sizes) // most
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+    return list(zip(starts, [*starts[1:], len(sizes)]))
+
+
+def squeeze(cell: bytes, width: int = 1) -> bytes:
+    """Compressed, behind its length; of values of ``width`` bytes all first bytes come first, then all second ones."""
+    if not cell:
+        return b""
+    if width > 1:
+        cell = np.frombuffer(cell, np.uint8).reshape(-1, width).T.tobytes()
+    return len(cell).to_bytes(8, "little") + pa.compress(cell, codec="zstd", asbytes=True)
+
+
+def unsqueeze(cell: bytes, width: int = 1) -> bytes:
+    if not cell:
+        return b""
+    out = pa.decompress(cell[8:], _length(cell), codec="zstd", asbytes=True)
+    return np.frombuffer(out, np.uint8).reshape(width, -1).T.tobytes() if width > 1 else out
+
+
+def _length(cell: bytes | None) -> int:
+    return int.from_bytes((cell or b"")[:8], "little")
+
+
+def squeezed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [squeeze(x.as_py() or b"") for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()), batch.column("g")], names=["doc_id", "text", "g"])
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """Messages with plain values in all columns."""
+    for c, width in SQUEEZED.items():
+        cells = pa.array([unsqueeze(x, width) for x in table.column(c).to_pylist()], pa.binary())
+        table = table.set_column(table.schema.get_field_index(c), c, cells)
+    return table
+
+
+def pieces(table: pa.Table, rule: Rule) -> Iterator[Group]:
+    """The documents of a group, some ``PIECE_BYTES`` at a time."""
+    texts, g = table.column("text").to_pylist(), _g(table)
+    for a, e in _cuts(np.array([_length(x) for x in texts], np.int64), PIECE_BYTES):
+        text = pa.array([unsqueeze(x or b"") for x in texts[a:e]], pa.binary())
+        yield Group(pa.table({"doc_id": table.column("doc_id").slice(a, e - a), "text": text, "g": pa.array([g] * (e - a), pa.int64())}), rule)
+
+
 _NONE = np.iinfo(np.int64).max
 
 
-def _is_in(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of many hashes are among the known ones: a bit table first, then a search."""
+def _members(known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes to look for: a table of their low bits, and all of them in order."""
+    bits = max(16, min(22, int(len(known)).bit_length() + 4))
+    table = np.zeros(1 << bits, bool)
+    table[known & U64((1 << bits) - 1)] = True
+    return table, np.sort(known)
+
+
+def _is_in(x: np.ndarray, members: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of many hashes are among the known ones."""
+    table, known = members
     out = np.zeros(len(x), bool)
     if len(known) and len(x):
-        bits = max(16, min(22, int(len(known)).bit_length() + 4))
-        table, mask = np.zeros(1 << bits, bool), U64((1 << bits) - 1)
-        table[known & mask] = True
-        known = np.sort(known)
-        maybe = np.flatnonzero(table[x & mask])
+        maybe = np.flatnonzero(table[x & U64(len(table) - 1)])
         at = np.minimum(np.searchsorted(known, x[maybe]), len(known) - 1)
         out[maybe] = known[at] == x[maybe]
     return out
 
 
-def _six(keys: np.ndarray) -> np.ndarray:
-    """The low six bytes of each anchor; its bucket tells most of the rest."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+LOW = U64((1 << 32) - 1)
 
 
-def _from_six(cell: bytes) -> np.ndarray:
-    out = np.zeros((len(cell) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _anchor_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> U64(40)) % U64(buckets)).astype(np.int64)
 
 
-LOW = U64((1 << 48) - 1)
+def _anchor_names(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """What is told of anchors: bucket and low bits.  Where two share them, more windows are compared by content."""
+    return _anchor_buckets(keys, buckets).astype(U64) << U64(32) | keys & LOW
 
 
 def _anchors_told(answers: pa.Table, rnd: int) -> np.ndarray:
-    rows = answers.filter(pc.equal(answers.column("round"), rnd)).column("hi").to_pylist()
-    return _from_six(b"".join(rows))
+    rows = answers.filter(pc.equal(answers.column("round"), rnd))
+    cells = [np.frombuffer(x, "<u4").astype(U64) | U64(b) << U64(32) for x, b in zip(rows.column("hi").to_pylist(), rows.column("b").to_pylist())]
+    return np.concatenate(cells) if cells else np.zeros(0, U64)
 
 
 def _joined(answers: pa.Table, rnd: int, column: str, kind) -> np.ndarray:
@@ -164,12 +228,10 @@ def _joined(answers: pa.Table, rnd: int, column: str, kind) -> np.ndarray:
 
 
 def _find(their: np.ndarray, other: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Position of each key (hi, lo) among the known ones, -1 where it is not."""
+    """Position of each key (hi, lo) among the known ones, which are in order; -1 where it is not."""
     out = np.full(len(hi), -1)
     if not len(their) or not len(hi):
         return out
-    order = np.lexsort((other, their))
-    their, other = their[order], other[order]
     at = np.searchsorted(their, hi)
     while True:  # keys that share their first half follow each other
         live = np.flatnonzero((at < len(their)) & (out < 0))
@@ -177,13 +239,20 @@ def _find(their: np.ndarray, other: np.ndarray, hi: np.ndarray, lo: np.ndarray)
         if not len(live):
             return out
         good = other[at[live]] == lo[live]
-        out[live[good]] = order[at[live[good]]]
+        out[live[good]] = at[live[good]]
         at[live] += 1
 
 
-def _lookup(answers: pa.Table, rnd: int, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """Smallest known document of each key; the largest integer where nothing is known."""
+def _known(answers: pa.Table, rnd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that a round tells of, in order, and the smallest document of each."""
     their, other, docs = (_joined(answers, rnd, c, t) for c, t in (("hi", U64), ("lo", U64), ("first", np.int64)))
+    order = np.lexsort((other, their))
+    return their[order], other[order], docs[order]
+
+
+def _lookup(known: tuple, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Smallest known document of each key; the largest integer where nothing is known."""
+    their, other, docs = known
     at = _find(their, other, hi, lo)
     return np.where(at < 0, _NONE, docs[at]) if len(docs) else np.full(len(hi), _NONE)
 
@@ -198,7 +267,7 @@ def _distinct(hi, lo, ids):
 
 
 def messages(g: int, rnd: int, bucket: np.ndarray, **columns) -> pa.Table:
-    """One row per bucket with the packed values that go there."""
+    """One row per bucket with the packed values that go there; ``last`` is told as a distance from ``first``."""
     order = np.argsort(bucket, kind="stable")
     sorted_bucket = bucket[order]
     starts = np.flatnonzero(np.concatenate(([True], sorted_bucket[1:] != sorted_bucket[:-1]))) if len(order) else []
@@ -206,6 +275,8 @@ def messages(g: int, rnd: int, bucket: np.ndarray, **columns) -> pa.Table:
     out = {"g": pa.array([g] * len(starts), pa.int64()), "round": pa.array([rnd] * len(starts), pa.int32())}
     for c in ("hi", "lo", "first", "last", "content"):
         values = columns.get(c)
+        if c == "last" and values is not None:
+            values = values - columns["first"]
         if values is None:
             cells = [b""] * len(starts)
         elif isinstance(values, list):
@@ -213,7 +284,7 @@ def messages(g: int, rnd: int, bucket: np.ndarray, **columns) -> pa.Table:
         else:
             values = values[order]
             cells = [values[a:e].tobytes() for a, e in zip(starts, ends)]
-        out[c] = pa.array(cells, pa.binary())
+        out[c] = pa.array([squeeze(x, SQUEEZED[c]) for x in cells] if c in SQUEEZED else cells, pa.binary())
     out["b"] = pa.array([int(sorted_bucket[a]) for a in starts], pa.int64())
     return pa.table(out, schema=MESSAGE_ARROW)
 
@@ -232,9 +303,11 @@ def _buckets(hi: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def segment_messages(table: pa.Table, rule: Rule, buckets: int) -> pa.Table:
-    group = Group(table, rule)
-    hi, lo, doc, _ = group.segments()
-    ids = group.ids[doc]
+    parts = []
+    for group in pieces(table, rule):
+        hi, lo, doc, _ = group.segments()
+        parts.append((hi, lo, group.ids[doc]))
+    hi, lo, ids = (np.concatenate(x) for x in zip(*parts))
     order, new = _distinct(hi, lo, ids)
     last = np.concatenate((new[1:], [len(order)])).astype(np.int64) - 1 if len(new) else new
     first_at, last_at = order[new], order[last]
@@ -248,31 +321,31 @@ def _g(table: pa.Table) -> int:
 
 def anchor_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int) -> pa.Table:
     """Distinct anchors of owned windows; twice where two documents of the group have it."""
-    group = Group(table, rule)
-    own = group.places[~group.marked(answers)]
-    least, doc = group.anchors(own), group.doc[own]
-    if len(own):  # neighbours mostly share their anchor
-        turn = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))
-        least, doc = least[turn], doc[turn]
-    ids = group.ids[doc]
-    order = np.lexsort((ids, least))
+    known, parts = _known(answers, 1), []
+    for group in pieces(table, rule):
+        own = group.places[~group.marked(known)]
+        least, doc = group.anchors(own), group.doc[own]
+        if len(own):  # neighbours mostly share their anchor
+            turn = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))
+            least, doc = least[turn], doc[turn]
+        parts.append((least, group.ids[doc]))
+    least, ids = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(least)
     key, doc = least[order], ids[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    run = np.cumsum(new) - 1
-    several = np.unique(run[1:][(~new[1:]) & (doc[1:] != doc[:-1])]) if len(key) else run
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     distinct = key[new]
+    several = np.minimum.reduceat(doc, new) < np.maximum.reduceat(doc, new) if len(key) else np.zeros(0, bool)
     keys = np.concatenate((distinct, distinct[several]))
-    return messages(_g(table), 2, ((keys >> U64(40)) % U64(buckets)).astype(np.int64), hi=_six(keys))
+    return messages(_g(table), 2, _anchor_buckets(keys, buckets), hi=(keys & LOW).astype("<u4"))
 
 
 def shared_answers(table: pa.Table) -> pa.Table:
     """Anchors with two entries or more, to each group that sent them; apart those with over ``HOT_ANCHOR``."""
-    cells = [_from_six(x) for x in table.column("hi").to_pylist()]
+    cells = [np.frombuffer(x, "<u4") for x in table.column("hi").to_pylist()]
     if not cells:
         return MESSAGE_ARROW.empty_table()
     keys = np.concatenate(cells)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.ones(len(keys), bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
     first = np.flatnonzero(new)
@@ -281,17 +354,18 @@ def shared_answers(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(x) for x in cells])
     out = []
     for rnd, some in ((2, (times > 1) & (times <= HOT_ANCHOR)), (HOT, times > HOT_ANCHOR)):
-        found = [_six(np.unique(x[some[e - len(x) : e]])) for x, e in zip(cells, ends)]
+        found = [np.unique(x[some[e - len(x) : e]]) for x, e in zip(cells, ends)]
         out.append(_answers(table, rnd, [i for i, x in enumerate(found) if len(x)], hi=found))
     return pa.concat_tables(out)
 
 
 def _answers(table: pa.Table, rnd: int, rows: list[int], **cells) -> pa.Table:
-    g = table.column("g").to_pylist()
+    g, b = table.column("g").to_pylist(), table.column("b").to_pylist()
     out = {"g": pa.array([g[i] for i in rows], pa.int64()), "round": pa.array([rnd] * len(rows), pa.int32())}
     for c in ("hi", "lo", "first", "last", "content"):
-        out[c] = pa.array([cells[c][i].tobytes() if c in cells else b"" for i in rows], pa.binary())
-    out["b"] = pa.array([0] * len(rows), pa.int64())
+        plain = [cells[c][i].tobytes() if c in cells else b"" for i in rows]
+        out[c] = pa.array([squeeze(x, SQUEEZED[c]) for x in plain] if c in SQUEEZED else plain, pa.binary())
+    out["b"] = pa.array([b[i] for i in rows], pa.int64())
     return pa.table(out, schema=MESSAGE_ARROW)
 
 
@@ -304,6 +378,7 @@ def earliest_answers(table: pa.Table, rnd: int, group_of: Callable) -> pa.Table:
     cells = {c: [np.frombuffer(x, dtype=t) for x in table.column(c).to_pylist()] for c, t in (("hi", U64), ("lo", U64), ("first", np.int64), ("last", np.int64))}
     row = np.repeat(np.arange(table.num_rows), [len(x) for x in cells["hi"]])
     hi, lo, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cells.values())
+    last = first + last
     order, new = group_of(table, hi, lo, row)
     if not len(order):
         return MESSAGE_ARROW.empty_table()
@@ -313,9 +388,9 @@ def earliest_answers(table: pa.Table, rnd: int, group_of: Callable) -> pa.Table:
     least = np.empty(len(order), np.int64)
     least[order] = smallest[np.cumsum(run)]
     told = least < last
-    found = {i: told & (row == i) for i in np.unique(row[told])}
-    pick = lambda x: {i: x[m] for i, m in found.items()}
-    return _answers(table, rnd, list(found), hi=pick(hi), lo=pick(lo), first=pick(least))
+    rows = np.unique(row[told]).tolist()
+    hi, lo, least = (_per_row(x, told, row, rows) for x in (hi, lo, least))
+    return _answers(table, rnd, rows, hi=hi, lo=lo, first=least)
 
 
 def by_hash(table: pa.Table, hi, lo, row):
@@ -324,62 +399,85 @@ def by_hash(table: pa.Table, hi, lo, row):
 
 def window_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int, contents: Callable) -> pa.Table:
     """Distinct windows with a shared anchor, with their contents; under stretches those of hot anchors only."""
-    group = Group(table, rule)
-    own = group.places[~group.marked(answers)]
-    shared, hot = (_anchors_told(answers, r) for r in (2, HOT))
-    stretches = _stretches(group, own)
-    least, count = stretches[0] & LOW, stretches[2]
-    cold = _is_in(least, shared)
-    alone = _is_in(least, hot) if rule.stretches else cold | _is_in(least, hot)
-    stretched = stretch_messages(group, stretches, cold, buckets) if rule.stretches else MESSAGE_ARROW.empty_table()
-    return pa.concat_tables([stretched, _single_messages(group, own[np.repeat(alone, count)], buckets, contents, group.g)])
-
-
-def _single_messages(group: Group, own: np.ndarray, buckets: int, contents: Callable, g: int) -> pa.Table:
+    known, (shared, hot) = _known(answers, 1), (_members(_anchors_told(answers, r)) for r in (2, HOT))
+    stretched, single = [], []
+    for group in pieces(table, rule):
+        own = group.places[~group.marked(known)]
+        stretches = _stretches(group, own)
+        name, count = _anchor_names(stretches[0], buckets), stretches[2]
+        cold = _is_in(name, shared)
+        alone = _is_in(name, hot) if rule.stretches else cold | _is_in(name, hot)
+        if rule.stretches:
+            stretched.append(stretch_entries(group, stretches, cold, buckets))
+        single.append(_single_entries(group, own[np.repeat(alone, count)], buckets, contents))
+    return pa.concat_tables([_entry_messages(_g(table), STRETCH, stretched, False), _entry_messages(_g(table), 3, single, True)])
+
+
+def _entry_messages(g: int, rnd: int, parts: list, keyed: bool) -> pa.Table:
+    """Entries of all pieces, each content once; without hashes where its bucket takes them from the content."""
+    parts = [x for x in parts if x is not None]
+    if not parts:
+        return MESSAGE_ARROW.empty_table()
+    *arrays, content = zip(*parts)
+    hi, lo, first, last, bucket = (np.concatenate(x) for x in arrays)
+    order, new = _distinct(hi, lo, first)
+    at, last = order[new], np.maximum.reduceat(last[order], new)
+    if isinstance(content[0], np.ndarray):
+        content = np.concatenate(content)[at]
+    else:
+        every = [x for part in content for x in part]
+        content = [every[i] for i in at.tolist()]
+    hashes = {"hi": hi[at], "lo": lo[at]} if keyed else {}
+    return messages(g, rnd, bucket[at], first=first[at], last=last, content=content, **hashes)
+
+
+def _single_entries(group: Group, own: np.ndarray, buckets: int, contents: Callable) -> tuple | None:
     rule = group.rule
     if not len(own):
-        return MESSAGE_ARROW.empty_table()
+        return None
     hi, lo = group.one.windows(rule.n)[own], group.two.windows(rule.n)[own]
     ids = group.ids[group.doc[own]]
     order, new = _distinct(hi, lo, ids)
     last = np.concatenate((new[1:], [len(order)])) - 1
     at, end = order[new], order[last]
     content, bucket = contents(group, own[at], buckets)
-    return messages(g, 3, bucket, hi=hi[at], lo=lo[at], first=ids[at], last=ids[end], content=content)
+    return hi[at], lo[at], ids[at], ids[end], bucket, content
 
 
 def _stretches(group: Group, own: np.ndarray):
-    """Places in a row (so of one document) under one anchor: anchor, first (in ``own``), count, and hashes of the bytes."""
+    """Places in a row (so of one document) under one anchor: anchor, first (in ``own``), count, start and end of the bytes."""
     least = group.anchors(own)
     new = np.ones(len(own), bool)
     new[1:] = (own[1:] != own[:-1] + 1) | (least[1:] != least[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(own)))
     a, e = own[first], own[first] + count - 1 + group.rule.n
-    return least[first], first, count, a, e, group.one.spans(a, e), group.two.spans(a, e)
+    return least[first], first, count, a, e
 
 
-def stretch_messages(group: Group, stretches: tuple, wanted: np.ndarray, buckets: int) -> pa.Table:
+def stretch_entries(group: Group, stretches: tuple, wanted: np.ndarray, buckets: int) -> tuple | None:
     """Distinct wanted stretches: equal windows have equal anchors, so they meet in the anchor's bucket."""
-    least, _, _, a, e, hi, lo = stretches
+    least, _, _, a, e = stretches
     some = np.flatnonzero(wanted)
     if not len(some):
-        return MESSAGE_ARROW.empty_table()
-    least, a, e, hi, lo = least[some], a[some], e[some], hi[some], lo[some]
+        return None
+    least, a, e = least[some], a[some], e[some]
+    hi, lo = group.one.spans(a, e), group.two.spans(a, e)
     ids = group.ids[group.doc[a]]
     order, new = _distinct(hi, lo, ids)
     at, end = order[new], order[np.append(new[1:], len(order)) - 1]
     raw = group.data.tobytes()
     content = [raw[x:y] for x, y in zip(a[at].tolist(), e[at].tolist())]
-    return messages(group.g, STRETCH, _buckets(least[at], buckets), hi=hi[at], lo=lo[at], first=ids[at], last=ids[end], content=content)
+    return hi[at], lo[at], ids[at], ids[end], _buckets(least[at], buckets), content
 
 
 def stretch_answers(table: pa.Table, n: int, equal_runs: Callable) -> pa.Table:
     """For each stretch with a window that starts in an earlier document, the smallest document of each of its windows."""
     if not table.num_rows:
         return MESSAGE_ARROW.empty_table()
-    hi, lo, first, last = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hi", U64), ("lo", U64), ("first", np.int64), ("last", np.int64)))
-    counts = [len(x) // 8 for x in table.column("hi").to_pylist()]
+    first, last = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("first", "last"))
+    last = first + last
+    counts = [len(x) // 8 for x in table.column("first").to_pylist()]
     cells = table.column("content").to_pylist()
     lens = np.concatenate([np.frombuffer(x, np.uint32, c) for x, c in zip(cells, counts)]).astype(np.int64)
     data = np.frombuffer(b"".join(x[4 * c :] for x, c in zip(cells, counts)), np.uint8)
@@ -387,8 +485,17 @@ def stretch_answers(table: pa.Table, n: int, equal_runs: Callable) -> pa.Table:
     windows = lens - n + 1
     starts = np.cumsum(windows) - windows
     of = np.repeat(np.arange(len(lens)), windows)
-    place = np.repeat(np.cumsum(lens) - lens, windows) + np.arange(len(of)) - starts[of]
-    key = Rolling(BYTE_VALUES[data]).windows(n)[place]
+    end = np.cumsum(lens)
+    begin = end - lens
+    place = np.repeat(begin, windows) + np.arange(len(of)) - starts[of]
+    hi, lo, key = np.empty(len(lens), U64), np.empty(len(lens), U64), np.empty(len(of), U64)
+    for i, j in _cuts(lens, HASHED_AT_ONCE):  # as the groups have hashed them: the place of bytes makes no difference
+        a, some = begin[i], slice(starts[i], starts[j - 1] + windows[j - 1])
+        symbols = BYTE_VALUES[data[a : end[j - 1]]]
+        one = Rolling(symbols)
+        hi[i:j] = one.spans(begin[i:j] - a, end[i:j] - a)
+        lo[i:j] = Rolling(symbols, MULTIPLIERS[1]).spans(begin[i:j] - a, end[i:j] - a)
+        key[some] = one.windows(n)[place[some] - a]
     least = np.empty(len(of), np.int64)
     parts = len(of) // WINDOWS_AT_ONCE + 1
     for part in range(parts):
@@ -410,36 +517,48 @@ def _per_row(values: np.ndarray, wanted: np.ndarray, row: np.ndarray, rows: list
     return {i: values[np.searchsorted(row, i) : np.searchsorted(row, i, side="right")] for i in rows}
 
 
-def _stretch_marks(group: Group, own: np.ndarray, answers: pa.Table, repeat: np.ndarray) -> None:
-    """Set ``repeat`` at the owned places (``own``: numbers of places) that stretches tell of."""
+def _known_stretches(answers: pa.Table) -> tuple:
+    """Keys of the stretches that are told of, in order, where the documents of each one's windows begin, these, and the keys' first halves to look for."""
     their, other, size, docs = (_joined(answers, STRETCH, c, t) for c, t in (("hi", U64), ("lo", U64), ("last", np.int64), ("first", np.int64)))
+    order = np.lexsort((other, their))
+    return their[order], other[order], (np.cumsum(size) - size)[order], docs, _members(their)
+
+
+def _stretch_marks(group: Group, own: np.ndarray, told: tuple, repeat: np.ndarray) -> None:
+    """Set ``repeat`` at the owned places (``own``: numbers of places) that stretches tell of."""
+    their, other, begin, docs, members = told
     if not len(their) or not len(own):
         return
-    _, first, count, a, _, hi, lo = _stretches(group, group.places[own])
-    near = np.flatnonzero(_is_in(hi, their))
-    at = _find(their, other, hi[near], lo[near])
+    _, first, count, a, e = _stretches(group, group.places[own])
+    hi = group.one.spans(a, e)
+    near = np.flatnonzero(_is_in(hi, members))
+    at = _find(their, other, hi[near], group.two.spans(a[near], e[near]))
     near, at = near[at >= 0], at[at >= 0]
-    begin = np.cumsum(size) - size
     inside = np.arange(count[near].sum()) - np.repeat(np.cumsum(count[near]) - count[near], count[near])
     least = docs[np.repeat(begin[at], count[near]) + inside]
     place = own[np.repeat(first[near], count[near]) + inside]
     repeat[place] |= least < group.ids[group.doc[group.places[place]]]
 
 
-def removed_runs(table: pa.Table, answers: pa.Table, rule: Rule) -> tuple[Group, np.ndarray, np.ndarray]:
+def finished(table: pa.Table, answers: pa.Table, rule: Rule, finish: Callable) -> pa.Table:
+    known, told, single = _known(answers, 1), _known_stretches(answers), _known(answers, 3)
+    members = _members(single[0])
+    return pa.concat_tables([finish(*removed_runs(group, known, told, single, members)) for group in pieces(table, rule)])
+
+
+def removed_runs(group: Group, known: tuple, told: tuple, single: tuple, members: tuple) -> tuple[Group, np.ndarray, np.ndarray]:
     """The group, and starts and ends of the maximal runs of removed symbols."""
-    group = Group(table, rule)
-    repeat = group.marked(answers)
+    rule = group.rule
+    repeat = group.marked(known)
     own = np.flatnonzero(~repeat)
     at = group.places[own]
-    _stretch_marks(group, own, answers, repeat)
-    if len(at) and rnd_has(answers, 3):
-        known = np.unique(_joined(answers, 3, "hi", U64))
+    _stretch_marks(group, own, told, repeat)
+    if len(at) and len(single[0]):
         hi = group.one.windows(rule.n)[at]
-        near = _is_in(hi, known)
+        near = _is_in(hi, members)
         hit, at = own[near], at[near]
         lo = group.two.windows(rule.n)[at]
-        repeat[hit] |= _lookup(answers, 3, hi[near], lo) < group.ids[group.doc[at]]
+        repeat[hit] |= _lookup(single, hi[near], lo) < group.ids[group.doc[at]]
     place = group.places[repeat]
     begun = np.zeros(len(group.doc), np.int32)
     begun[place] = 1
@@ -455,22 +574,24 @@ def removed_runs(table: pa.Table, answers: pa.Table, rule: Rule) -> tuple[Group,
     return group, np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after) + 1
 
 
-def rnd_has(answers: pa.Table, rnd: int) -> bool:
-    return bool(pc.any(pc.equal(answers.column("round"), rnd)).as_py())
+def groups_of(total: int) -> int:
+    """Number of groups for so many bytes of text."""
+    return total // max(GROUP_BYTES, min(total // GROUPS, LARGEST_GROUP)) + 1
 
 
 def repeats(docs: DataFrame, rule: Rule, contents: Callable, settle: Callable[[pa.Table], pa.Table], finish: Callable, schema: str) -> DataFrame:
     """Run the four passes; ``contents`` and ``settle`` are the exact third round, ``finish`` makes the output rows."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups, buckets = int(total // GROUP_BYTES) + 1, int(total // BUCKET_BYTES) + 1
-    dealt = base.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups))).repartition("g")
+    groups, buckets = groups_of(int(total)), int(total // BUCKET_BYTES) + 1
+    named = base.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)))
+    dealt = named.mapInArrow(squeezed_texts, "doc_id bigint, text binary, g bigint").repartition("g")
 
     def per_bucket(frame: DataFrame, fn) -> DataFrame:
-        return frame.groupBy("b").applyInArrow(fn, MESSAGE)
+        return frame.groupBy("b").applyInArrow(lambda t: fn(opened(t)), MESSAGE)
 
     def per_group(answers: DataFrame, fn, out: str) -> DataFrame:
-        return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(fn, out)
+        return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(lambda t, a: fn(t, opened(a)), out)
 
     first = per_bucket(
         dealt.groupBy("g").applyInArrow(lambda t: segment_messages(t, rule, buckets), MESSAGE),
@@ -481,4 +602,4 @@ def repeats(docs: DataFrame, rule: Rule, contents: Callable, settle: Callable[[p
         per_group(first.unionByName(second), lambda t, a: window_messages(t, a, rule, buckets, contents), MESSAGE),
         settle,
     )
-    return per_group(first.unionByName(third), lambda t, a: finish(*removed_runs(t, a, rule)), schema)
+    return per_group(first.unionByName(third), lambda t, a: finished(t, a, rule, finish), schema)

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -82,6 +84,52 @@ def test_repeated_words_and_bytes(docs, rows, monkeypatch, hot):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut) == brute_repeats(rows, 50, False)
 
 
+def test_groups_of_several_pieces(docs, rows, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 4_000)
+    monkeypatch.setattr(repeats, "PIECE_BYTES", 3_000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(repeats, "GROUPS", 2)
+    monkeypatch.setattr(repeats, "HASHED_AT_ONCE", 3_000)
+    total = sum(len((t or "").encode()) for _, t, _ in rows)
+    assert repeats.groups_of(total) < total // repeats.GROUP_BYTES // 4
+    words = substring_dedup.drop_repeated_words(docs, 5).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept_text.encode()) for r in words) == brute_repeats(rows, 5, True)
+    cut = parse_dedup.drop_repeated_bytes(docs, 50).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in cut) == brute_repeats(rows, 50, False)
+
+
+def test_messages_between_passes_stay_small():
+    """Their number grows little more than the table, and what they hold stays below three times texts that mostly repeat."""
+    messages = [repeats.groups_of(n << 30) * ((n << 30) // repeats.BUCKET_BYTES + 1) for n in (1, 10)]
+    assert messages[1] < 20 * messages[0]
+    r = random.Random(5)
+    words = ["".join(r.choice("aeinorstl") for _ in range(r.randint(2, 9))) for _ in range(5_000)]
+    text = [r.choice(words) for _ in range(40_000)]
+    texts = [" ".join(text).encode(), " ".join(w if i % 20 else "other" for i, w in enumerate(text)).encode()]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": texts, "g": [0, 1]})
+    table = pa.Table.from_batches(repeats.squeezed_texts(iter([batch])))
+    groups, rule, moved = [table.slice(i, 1) for i in range(2)], repeats.Rule(False, 50, 28, 128, True), []
+
+    def sent(tables):
+        moved.append(pa.concat_tables(tables))
+        return repeats.opened(moved[-1])
+
+    def told(answers, g):
+        return answers.filter(pc.equal(answers.column("g"), g))
+
+    first = sent([repeats.earliest_answers(sent([repeats.segment_messages(x, rule, 1) for x in groups]), 1, repeats.by_hash)])
+    second = sent([repeats.shared_answers(sent([repeats.anchor_messages(x, told(first, g), rule, 1) for g, x in enumerate(groups)]))])
+    known = pa.concat_tables([first, second])
+    asked = sent([repeats.window_messages(x, told(known, g), rule, 1, parse_dedup._rows_of) for g, x in enumerate(groups)])
+    known = pa.concat_tables([first, sent([parse_dedup._settle(50)(asked)])])
+    out = pa.concat_tables([repeats.finished(x, told(known, g), rule, parse_dedup._finish) for g, x in enumerate(groups)])
+    rows = Counter(zip(*(out.column(c).to_pylist() for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept"))))
+    assert rows == brute_repeats([(i + 1, t.decode(), None) for i, t in enumerate(texts)], 50, False)
+    assert table.column("text").nbytes < 0.6 * sum(map(len, texts))
+    cells = [len(x) for t in moved for c in ("hi", "lo", "first", "last", "content") for x in t.column(c).to_pylist()]
+    assert sum(cells) < 3 * sum(map(len, texts))
+
+
 def test_suffixes_with_one_prefix_are_dealt_out():
     lead = "a line of many words that a third of all documents hold".split()
     words = [w.encode() for i in range(2_000) for w in [*lead, f"own{i}"]]
