@@ -40,8 +40,9 @@ GROUPS, LARGEST_GROUP = 512, 16 << 20
 PIECE_BYTES = 1 << 19
 #: Windows whose contents are sorted together.
 WINDOWS_AT_ONCE = 1 << 20
-#: An anchor sent more often than this is hot: its windows travel one by one, by their own hashes.
-HOT_ANCHOR = 64
+#: An anchor found more often than this is hot: its windows travel one by one, by their own hashes, which takes some
+#: twenty times the bytes.  Stretches of colder ones fit their bucket: about 100 bytes for each place.
+HOT_ANCHOR = 1 << 14
 #: Numbers of the kinds of messages besides rounds 1 to 3.
 HOT, STRETCH = 4, 5
 MESSAGE = "g bigint, round int, hi binary, lo binary, first binary, last binary, content binary, b bigint"
@@ -320,7 +321,7 @@ def _g(table: pa.Table) -> int:
 
 
 def anchor_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int) -> pa.Table:
-    """Distinct anchors of owned windows; twice where two documents of the group have it."""
+    """Distinct anchors of owned windows; with how often they are found where two documents of the group have them, else 1."""
     known, parts = _known(answers, 1), []
     for group in pieces(table, rule):
         own = group.places[~group.marked(known)]
@@ -333,24 +334,24 @@ def anchor_messages(table: pa.Table, answers: pa.Table, rule: Rule, buckets: int
     order = np.argsort(least)
     key, doc = least[order], ids[order]
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    distinct = key[new]
-    several = np.minimum.reduceat(doc, new) < np.maximum.reduceat(doc, new) if len(key) else np.zeros(0, bool)
-    keys = np.concatenate((distinct, distinct[several]))
-    return messages(_g(table), 2, _anchor_buckets(keys, buckets), hi=(keys & LOW).astype("<u4"))
+    times = np.ones(len(new), np.int64)
+    if len(new):
+        several = np.minimum.reduceat(doc, new) < np.maximum.reduceat(doc, new)
+        times[several] = np.diff(np.append(new, len(key)))[several]
+    keys = key[new]
+    return messages(_g(table), 2, _anchor_buckets(keys, buckets), hi=(keys & LOW).astype("<u4"), first=times)
 
 
 def shared_answers(table: pa.Table) -> pa.Table:
-    """Anchors with two entries or more, to each group that sent them; apart those with over ``HOT_ANCHOR``."""
+    """Anchors found twice or more, to each group that sent them; apart those found over ``HOT_ANCHOR`` times."""
     cells = [np.frombuffer(x, "<u4") for x in table.column("hi").to_pylist()]
     if not cells:
         return MESSAGE_ARROW.empty_table()
-    keys = np.concatenate(cells)
+    keys, found = np.concatenate(cells), np.frombuffer(b"".join(table.column("first").to_pylist()), np.int64)
     order = np.argsort(keys)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order[1:]] != keys[order[:-1]]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]]))
     times = np.empty(len(keys), np.int64)
-    times[order] = np.repeat(np.diff(np.append(first, len(keys))), np.diff(np.append(first, len(keys))))
+    times[order] = np.repeat(np.add.reduceat(found[order], first), np.diff(np.append(first, len(keys))))
     ends = np.cumsum([len(x) for x in cells])
     out = []
     for rnd, some in ((2, (times > 1) & (times <= HOT_ANCHOR)), (HOT, times > HOT_ANCHOR)):

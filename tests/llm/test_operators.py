@@ -130,6 +130,19 @@ def test_messages_between_passes_stay_small():
     assert sum(cells) < 3 * sum(map(len, texts))
 
 
+def test_lines_of_many_groups_travel_in_stretches():
+    """An anchor is hot by how often it is found, not by the number of groups that have it."""
+
+    def told(times, groups=100):
+        keys = np.array([5 << 40 | 7], np.uint64)
+        sent = [repeats.messages(g, 2, np.zeros(1, np.int64), hi=(keys & repeats.LOW).astype("<u4"), first=np.array([times])) for g in range(groups)]
+        return set(repeats.shared_answers(repeats.opened(pa.concat_tables(sent))).column("round").to_pylist())
+
+    assert told(1) == {2}
+    assert told(repeats.HOT_ANCHOR // 100 + 1) == {repeats.HOT}
+    assert told(1, groups=1) == set()
+
+
 def test_suffixes_with_one_prefix_are_dealt_out():
     lead = "a line of many words that a third of all documents hold".split()
     words = [w.encode() for i in range(2_000) for w in [*lead, f"own{i}"]]
